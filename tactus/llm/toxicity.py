@@ -3,10 +3,11 @@
 Tokens are words and their beginnings of PREFIXES bytes (insults are inflected and
 compounded); a word scores as the best of these.
 
-Learning: over labelled documents, each token's document frequency among toxic and clean
+Learning: over labelled documents (copies of one another count once), each token's document frequency among toxic and clean
 ones gives a log-odds with Dirichlet priors (``prior`` pseudo-documents, dealt by the word's
 overall share, and half a document each).  Tokens whose signed root of the G statistic
-exceeds ``significance`` form the lexicon; all words without one cost ``drift``.
+exceeds ``significance``, and of whose documents a share of ``precision`` or more is toxic, form
+the lexicon; all words without one cost ``drift``.
 
 Scoring: Ruzzo and Tompa's linear-time scan lists all maximal scoring segments of a text.
 Karlin and Altschul's extreme-value law for the clean word distribution (lambda solves
@@ -37,13 +38,13 @@ from tactus.llm import textops as T
 MAX_LABELLED = 200_000
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int = MAX_LABELLED) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int = MAX_LABELLED, with_id: bool = False) -> DataFrame:
     """(text, label) of labelled documents.  The labels of at most ``bound`` rows are broadcast; texts stay where they are."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     n = own.count()
     if n > bound:
         own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id").select("text", F.col("label").cast("int").alias("label"))
+    return docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id").select(*["doc_id"] * with_id, "text", F.col("label").cast("int").alias("label"))
 
 
 #: Lengths of the word beginnings that are tokens, in bytes.
@@ -70,7 +71,24 @@ class Model:
     k: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 10.0, significance: float = 6.0, drift: float = 0.05) -> Model:
+def _once(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id) of the labelled documents that train: of those of one label that share their least
+    five-word shingle, as copies do, the one of least id.  At most MAX_LABELLED."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in T.chunks(batches):
+            h, first = T.kmers(T.words(c.data, c.offs, T.ALNUM), 5)
+            key = np.zeros(c.rows.num_rows, np.uint64)
+            some = np.diff(first) > 0
+            if some.any():
+                key[some] = np.minimum.reduceat(h, first[:-1][some])
+            yield pa.RecordBatch.from_arrays([*T.take_columns(c.rows, ["doc_id", "label"]), pa.array(key.view(np.int64))], names=["doc_id", "label", "key"])
+
+    own = labelled(docs, labels, "toxic", with_id=True)
+    return own.mapInArrow(least, "doc_id long, label int, key long").groupBy("label", "key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 10.0, significance: float = 6.0, precision: float = 0.9, drift: float = 0.05) -> Model:
     """Learn from all labelled documents given (up to MAX_LABELLED)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 10.0, significance: f
             clean_words = int((~toxic[row_of]).sum())
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h), pa.array(np.append(a, toxic.sum())), pa.array(np.append(b, (~toxic).sum())), pa.array(np.append(np.zeros(len(a), np.int64), clean_words))], names=["kind", "h", "a", "b", "words"])
 
-    counts = labelled(docs, labels, "toxic").mapInArrow(count, "kind long, h long, a long, b long, words long").groupBy("kind", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("words").alias("words"))
+    own = docs.join(F.broadcast(_once(docs, labels)), "doc_id", "left_semi")
+    counts = labelled(own, labels, "toxic").mapInArrow(count, "kind long, h long, a long, b long, words long").groupBy("kind", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("words").alias("words"))
     # the totals, and words that toxic documents hold more than once: bounded with the labelled sample
     found = counts.where("kind = 1 or a > 1").toPandas()
     totals = found[found.kind == 1]
@@ -105,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 10.0, significance: f
     at = 0.5 + prior * (a + b) / (docs_a + docs_b)
     odds = lambda x, n: np.log((x + at) / np.maximum(n + prior + 1 - x - at, 0.5))
     score = odds(a, docs_a) - odds(b, docs_b)
-    keep = (root > significance) & (score > drift)
+    keep = (root > significance) & (a >= precision * (a + b)) & (score > drift)
     h, s, p = words.h.to_numpy(np.int64)[keep].view(np.uint64), score[keep], (b[keep] + 0.5) / max(clean_words, 1)
     order = np.argsort(h)
     lam = _lambda(p, s, drift)
