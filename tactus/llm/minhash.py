@@ -6,17 +6,19 @@ the runs of ``k`` words, each labelled with how many equal ones precede it.  For
 share an entry only where they share k-mers and their order: sensitive to edit similarity.
 
 1. Texts of equal word sequence are one class from the start; one representative each goes on.
-2. Representatives that share a sketch entry are candidates.  In each entry's group all are
-   compared with its leader (the smallest id); those that fail elect a new leader among
-   themselves, until none is left.  So a group of n similar texts costs n comparisons, and a
-   text is given up only against leaders it differs from.
+2. Representatives that share a sketch entry are candidates.  The leader of an entry is the
+   smallest id of its group; each text is compared with the one leader it shares most entries
+   with, which joins a group of similar texts in one pass.  Entries whose texts are then not
+   all connected make families (connected over such entries).  A family is cut into blocks of
+   at most FAMILY texts, and each pair of its blocks is one task of bounded size that compares
+   the texts sharing two entries or more unless they are connected already.
 3. A pair is verified by aligning its labelled k-mers: the longest common chain inside the
    diagonal band that a pair at the threshold can't leave.  With c chained of a and b k-mers,
    the similarity is c / (a + b - c), the Jaccard index of the k-mers met in the same order.
-4. Connected pairs make classes (minimum labels with pointer jumping).
+4. Connected pairs make classes (least labels, by contraction).
 
 With l = 3 and m = 20 a pair at similarity s has no common entry with probability
-(1 - s^3)^20: 6e-7 at 0.8.
+(1 - s^3)^20: 6e-7 at 0.8; fewer than two with 1e-5.
 
 Defined results: null texts and texts without words are each their own class; a text of
 fewer than k words is one k-mer; rows that repeat an id are one document; a null id is in no
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactus.llm import textops as T
-from tactus.llm.storage import attach, discard, staged
+from tactus.llm.storage import attach, staged
 
 
 def labelled(w: T.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,45 +137,99 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataF
     return both.mapInArrow(run, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
+#: Texts of a family that one task holds from each of two blocks.
+FAMILY = 2000
+
+
 def links(docs: DataFrame, reps: DataFrame, total: int, k: int, threshold: float) -> DataFrame:
-    """Verified pairs (a, b), b the leader, of representatives (doc_id, sketch)."""
+    """Verified pairs (a, b, similarity) that connect all similar representatives (doc_id, sketch)."""
     entries = staged(reps.select("doc_id", F.posexplode("sketch").alias("j", "v")).select(F.xxhash64("j", "v").alias("entry"), F.col("doc_id").alias("a")), "entries")
-    entries_total = entries.count()
-    found, tried = None, None
-    while True:
-        groups = staged(entries.groupBy("entry").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
-        members = staged(attach(entries, groups, ["entry"], "n", entries_total).where("a <> b").select("entry", "a", "b"), "members")
-        discard(entries)
-        discard(groups)
-        pairs = members.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        if members.isEmpty():
-            break
-        good = staged(verify(pairs, docs, k, threshold), "links")
-        found = good if found is None else found.unionByName(good)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        entries = staged(members.join(found.select("a", "b"), ["a", "b"], "left_anti").select("entry", "a"), "rest")
-        entries_total = entries.count()
-        discard(members)
-        if not entries_total:
-            break
-    return found if found is not None else pairs.withColumn("similarity", F.lit(1.0))
+    n = entries.count()
+    groups = staged(entries.groupBy("entry").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    members = staged(attach(entries, groups, ["entry"], "n", n), "members")
+    shared = members.where("a <> b").groupBy("a", "b").count()
+    pairs = shared.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
+    good = staged(verify(pairs, docs, k, threshold), "links")
+    found = components(good)
+    labelled_ = staged(members.join(found.withColumnRenamed("doc_id", "a"), "a", "left").select("entry", "a", F.coalesce("label", "a").alias("own")), "member-labels")
+    split = staged(labelled_.groupBy("entry").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most"), "split-entries")
+    open_ = staged(attach(labelled_, split, ["entry"], "n", n).select("a", "own", "least").distinct(), "family-members")
+    edges = open_.where("own > least").select(F.col("own").alias("a"), F.col("least").alias("b")).distinct()
+    if open_.isEmpty():
+        return good
+    grouped = components(edges).select(F.col("doc_id").alias("own"), "label")
+    families = staged(open_.select(F.col("a").alias("doc_id"), "own").distinct().join(grouped, "own"), "families")
+    sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    blocks = families.join(sizes, "label").withColumn("blocks", F.ceil(F.col("n") / FAMILY)).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    tasks = blocks.select("doc_id", "own", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    tasks = tasks.select("doc_id", "own", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    texts = tasks.join(reps.select("doc_id", "sketch").hint("merge"), "doc_id").join(docs.select("doc_id", "text").hint("merge"), "doc_id")
+    more = texts.groupBy("label", "i", "j").applyInArrow(_family(k, threshold), "a long, b long, similarity double")
+    return good.unionByName(more)
+
+
+def _family(k: int, threshold: float):
+    """Links among the texts of two blocks of a family (or of one): a forest of verified pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        ids, block = table["doc_id"].to_numpy(), table["block"].to_numpy()
+        across = bool((block != block[0]).any())
+        keys: list[np.ndarray] = []
+        for rows in table.select(["doc_id", "text"]).combine_chunks().to_batches():
+            for c in T.chunks(iter([rows])):
+                key, first = labelled(T.words(c.data, c.offs, T.ALNUM), k)
+                keys += [key[x:y] for x, y in zip(first[:-1], first[1:])]
+        first_of: dict[int, int] = {}  # texts that are connected already
+        parent = [first_of.setdefault(x, i) for i, x in enumerate(table["own"].to_pylist())]
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        met: dict[int, list[int]] = {}
+        out = []
+        for i, entries in enumerate(table["sketch"].to_pylist()):
+            shared = [x for e in entries for x in met.get(e, ())]
+            if shared:
+                others, times = np.unique(shared, return_counts=True)
+                for j in others[times >= min(2, len(entries))][np.argsort(-times[times >= min(2, len(entries))], kind="stable")].tolist():
+                    if across and block[i] == block[j] or root(i) == root(j):
+                        continue
+                    s = chain(keys[i], keys[j], threshold)
+                    if s:
+                        out.append((int(ids[i]), int(ids[j]), s))
+                        parent[root(i)] = root(j)
+            for e in entries:
+                met.setdefault(e, []).append(i)
+        a, b, s = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, label): the smallest id reachable from each id in ``edges`` (a, b)."""
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("doc_id")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
+    """(doc_id, label): the smallest id reachable from each id in ``edges`` (a, b).
+
+    Every round joins each node with its least neighbour and contracts the edges to the nodes left."""
+    edges = staged(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("other").alias("other"))
-        met = labels.join(near, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        jump = labels.select(F.col("doc_id").alias("label"), F.col("label").alias("further"))
-        new = staged(met.join(jump, "label").select("doc_id", "old", F.least("label", "further").alias("label")), "labels")
-        discard(labels)
-        labels = new.select("doc_id", "label")
-        if new.where("old <> label").isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("to"))
+        further = least.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+        step = staged(least.join(further, "to").select("node", F.col("beyond").alias("to")), "steps")
+        if labels is None:
+            labels = step.select(F.col("node").alias("doc_id"), F.col("to").alias("label"))
+        else:
+            moved = labels.join(step.withColumnRenamed("node", "label"), "label", "left")
+            labels = staged(moved.select("doc_id", F.coalesce("to", "label").alias("label")), "labels")
+        ends = [step.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")]
+        left = edges.join(ends[0], "a").join(ends[1], "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a <> b").distinct()
+        edges = staged(left, "edges")
+        if edges.isEmpty():
             return labels
 
 
