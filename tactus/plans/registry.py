@@ -1,4 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tactus.plans import frame_queries, text_queries
+
+QUERIES: dict = text_queries.QUERIES | frame_queries.QUERIES
+ORACLES: dict[str, str] = text_queries.ORACLES | frame_queries.ORACLES
