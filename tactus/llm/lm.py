@@ -4,13 +4,13 @@ A text is lower-cased in A-Z and is its tokens: words ([^\x20\x09-\x0D]+) and on
 
 Spelling.  A word is coded byte by byte with a closing space, the end as one newline, and each
 byte as eight binary decisions from the high bit down.  A bit predictor for each of ORDERS looks
-a decision up in a hashed table of counts by its context: the last one to six bytes of the
+a decision up in a hashed table of counts by its context: the last two to six bytes of the
 word, or the whole word so far.  Their log-odds are mixed by the weights of a gate (bit number
 and how often the two longest contexts were seen), and an adaptive map by preceding byte refines
 the mixed probability.  The product over all decisions is a probability of the word.
 
 Classes.  A text's class is the nearest of CLASSES centres in hashed byte-bigram space (k-means,
-fitted on at most SAMPLE training documents); naming it costs log10(CLASSES) once a text.  Class
+fitted on about SAMPLE training documents); naming it costs log10(CLASSES) once a text.  Class
 is part of every spelling context.
 
 Tokens.  A token's probability mixes three: its share of the text so far, its share of all
@@ -22,7 +22,7 @@ Learning takes all training documents: bit counts over all distinct words of eac
 by an online pass over the same words, each predicted as if it had not been counted, since
 spelling is for new words; the tasks' weights are averaged.  Scoring leaves these as learned, so
 a score depends neither on the order of documents nor on how they are dealt, and a word is
-spelled once for all its occurrences.  Table sizes are fixed by TABLE_BITS (44 MB in all): they
+spelled once for all its occurrences.  Table sizes are fixed by TABLE_BITS (36 MB in all, compressed on the way): they
 are what is broadcast.
 
 Flow: tasks cut their documents into chunks of about CHUNK bytes and write the chunk's distinct
@@ -43,18 +43,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tactus.llm import textops as T
 from tactus.llm.storage import staged
 
-CHUNK = 8 << 20
+CHUNK = 12 << 20
+#: Tokens whose probabilities are held at a time.
+HELD = 300_000
 END = "\n"
 #: Bytes of context of each predictor, 0 for the whole word so far.
-ORDERS = [1, 2, 3, 4, 6, 0]
-TABLE_BITS = [16, 18, 20, 20, 20, 20]
+ORDERS = [2, 3, 4, 6, 0]
+TABLE_BITS = [18, 20, 20, 20, 20]
 BASE = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 GATES = 8 * 5 * 4
+VALUE = np.dtype([("local", "<i4"), ("class", "<i4"), ("n", "<i8"), ("c", "<i8"), ("cost", "<f8")])
 BUCKETS = 33
 BLOCK = 1 << 14
 LIMIT = 12.0
@@ -62,23 +64,29 @@ CLASSES, BINS, SAMPLE = 8, 1024, 2000
 
 
 def bigrams(c: T.Chunk) -> np.ndarray:
-    """Unit vectors of the square roots of hashed byte-bigram counts, one a row."""
-    low = T.LOWER[c.data[: len(c.data) - 16]].astype(np.int64)
-    row = np.repeat(np.arange(len(c.offs) - 1), np.diff(c.offs))
-    inside = row[1:] == row[:-1]
-    bins = (low[:-1] * 37 + low[1:]) % BINS
-    v = np.sqrt(np.bincount((row[1:] * BINS + bins)[inside], minlength=(len(c.offs) - 1) * BINS).reshape(-1, BINS)).astype(np.float32)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    """Unit vectors of the square roots of hashed byte-bigram counts, one a row; a few rows at a time."""
+    out = np.zeros((len(c.offs) - 1, BINS), np.float32)
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(c.offs, c.offs[at] + (1 << 19), "right")) - 1)
+        a, b = c.offs[at], c.offs[to]
+        low = T.LOWER[c.data[a:b]].astype(np.int32)
+        row = np.repeat(np.arange(to - at, dtype=np.int32), np.diff(c.offs[at : to + 1]))
+        bins = (low[:-1] * 37 + low[1:]) % BINS + row[1:] * BINS
+        out[at:to] = np.sqrt(np.bincount(bins[row[1:] == row[:-1]], minlength=(to - at) * BINS).reshape(-1, BINS))
+        at = to
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def centres(docs: DataFrame) -> np.ndarray:
-    """Spherical k-means over at most SAMPLE documents (text), farthest-first start."""
+    """Spherical k-means over about SAMPLE documents (text), dealt by hash of the id, farthest-first start."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in T.chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in bigrams(c)], pa.binary())], names=["v"])
 
-    sample = docs.orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id", "text").limit(SAMPLE).select("text") if docs.count() > SAMPLE else docs.select("text")
+    part = min(1.0, SAMPLE / max(docs.count(), 1))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40)) < int(part * (1 << 40))).select("text")
     rows = sorted(r.v for r in sample.mapInArrow(vectors, "v binary").collect())
     x = np.stack([np.frombuffer(r, np.float32) for r in rows]) if rows else np.zeros((1, BINS), np.float32)
     own = [0]
@@ -147,7 +155,7 @@ def count_tables(vocab: Iterator[tuple[pa.Array, np.ndarray]]) -> tuple[np.ndarr
             set_ = (w.symbol >> (7 - bit)) & 1 == 1
             for j, s in enumerate(slots(w, bit)):
                 for into, part in ((zero, ~set_), (one, set_)):
-                    into[BASE[j] : BASE[j + 1]] += np.bincount(s[part], minlength=1 << TABLE_BITS[j])
+                    np.add.at(into[BASE[j] : BASE[j + 1]], s[part], np.float32(1))
     return zero, one
 
 
@@ -164,17 +172,32 @@ class Model:
     weights: np.ndarray
     apm: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.odds = np.log((self.one + 0.02) / (self.zero + 0.02)).astype(np.float32)
+
+    def __getstate__(self) -> tuple:
+        """Travels with its counts compressed."""
+        return _squeeze(self.zero), _squeeze(self.one), self.weights, self.apm
+
+    def __setstate__(self, state: tuple) -> None:
+        self.zero, self.one = (_widen(x, int(BASE[-1])) for x in state[:2])
+        self.weights, self.apm = state[2:]
+        self.__post_init__()
+
     def inputs(self, w: Words, bit: int, left_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of each predictor and the gate.  left_out: as if the word itself were not counted."""
         set_ = (w.symbol >> (7 - bit)) & 1 == 1
         x = np.empty((len(ORDERS) + 1, len(w.symbol)), np.float32)
         seen = []
         for j, s in enumerate(slots(w, bit)):
-            n0, n1 = self.zero[BASE[j] + s], self.one[BASE[j] + s]
+            s += BASE[j]
             if left_out:
-                n0, n1 = np.maximum(n0 - ~set_, 0), np.maximum(n1 - set_, 0)
-            x[j] = np.log((n1 + 0.02) / (n0 + 0.02))
-            seen.append(n0 + n1)
+                n0, n1 = np.maximum(self.zero[s] - ~set_, 0), np.maximum(self.one[s] - set_, 0)
+                x[j] = np.log((n1 + np.float32(0.02)) / (n0 + np.float32(0.02)))
+                seen.append(n0 + n1)
+            else:
+                x[j] = self.odds[s]
+                seen.append(self.zero[s] + self.one[s] if j >= len(ORDERS) - 2 else None)
         x[-1] = 0.3
         long, mid = np.searchsorted([0.5, 3, 30, 1000], seen[-1]), np.searchsorted([0.5, 5, 100], seen[-2])
         return x, (bit * 5 + long) * 4 + mid
@@ -203,7 +226,7 @@ def bucket(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, at - low
 
 
-def online(model: Model, vocab: Iterator[tuple[pa.Array, np.ndarray]], batch: int = 512, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def online(model: Model, vocab: Iterator[tuple[pa.Array, np.ndarray]], batch: int = 1024, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """One pass over words: weights, the map's sums of set bits and of all, and the number of words."""
     weights = model.weights.copy()
     hits, tries = np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
@@ -238,8 +261,17 @@ def apm_from(hits: np.ndarray, tries: np.ndarray) -> np.ndarray:
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
     for rows in batches:
-        for a in range(0, rows.num_rows, 8192):
-            yield rows.column(0).slice(a, 8192), rows.column(1).slice(a, 8192).to_numpy(zero_copy_only=False)
+        for a in range(0, rows.num_rows, 32768):
+            yield rows.column(0).slice(a, 32768), rows.column(1).slice(a, 32768).to_numpy(zero_copy_only=False)
+
+
+def _squeeze(counts: np.ndarray) -> bytes:
+    """Counts, mostly 0, as compressed bytes."""
+    return pa.compress(counts.astype("<u4").tobytes(), "zstd", asbytes=True)
+
+
+def _widen(raw: bytes, n: int = BLOCK) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), "<u4").astype(np.float32)
 
 
 def fit(vocab: DataFrame) -> Model:
@@ -250,18 +282,18 @@ def fit(vocab: DataFrame) -> Model:
         zero, one = count_tables(_parts(batches))
         for a in range(0, BASE[-1], BLOCK):
             if zero[a : a + BLOCK].any() or one[a : a + BLOCK].any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([a // BLOCK]), "zero": pa.array([zero[a : a + BLOCK].tobytes()], pa.binary()), "one": pa.array([one[a : a + BLOCK].tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([a // BLOCK]), "zero": pa.array([_squeeze(zero[a : a + BLOCK])], pa.binary()), "one": pa.array([_squeeze(one[a : a + BLOCK])], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        total = [sum((np.frombuffer(x.as_py(), np.float32) for x in table[c]), np.float32(0)).tobytes() for c in ("zero", "one")]
-        return pa.table({"block": pa.array([table["block"][0].as_py()]), "zero": pa.array([total[0]], pa.binary()), "one": pa.array([total[1]], pa.binary())})
+        total = {c: sum((_widen(x.as_py()) for x in table[c]), np.float32(0)) for c in ("zero", "one")}
+        return pa.table({"block": pa.array([table["block"][0].as_py()])} | {c: pa.array([_squeeze(x)], pa.binary()) for c, x in total.items()})
 
     kind = "block long, zero binary, one binary"
     zero, one = np.zeros(BASE[-1], np.float32), np.zeros(BASE[-1], np.float32)
     for r in vocab.mapInArrow(tables, kind).groupBy("block").applyInArrow(add, kind).collect():
         a = r.block * BLOCK
-        got = np.frombuffer(r.zero, np.float32)
-        zero[a : a + len(got)], one[a : a + len(got)] = got, np.frombuffer(r.one, np.float32)
+        got = _widen(r.zero)
+        zero[a : a + len(got)], one[a : a + len(got)] = got, _widen(r.one)
     first = Model(zero, one, np.full((GATES, len(ORDERS) + 1), 0.3, np.float32), apm_from(np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))))
     shared = spark.sparkContext.broadcast(first)
 
@@ -271,6 +303,7 @@ def fit(vocab: DataFrame) -> Model:
             yield pa.RecordBatch.from_pydict({"seen": pa.array([float(seen)]), "weights": pa.array([w.astype("<f8").tobytes()], pa.binary()), "hits": pa.array([hits.tobytes()], pa.binary()), "tries": pa.array([tries.tobytes()], pa.binary())})
 
     found = vocab.mapInArrow(learn, "seen double, weights binary, hits binary, tries binary").collect()
+    shared.destroy()
     if not found:
         return first
     seen = sum(r.seen for r in found)
@@ -331,7 +364,7 @@ def chunked(docs: DataFrame, mid: np.ndarray) -> DataFrame:
             of = (bigrams(c) @ mid.T).argmax(1)
             row_of = w.row_of()
             key = T.mix(w.hash + of[row_of].astype(np.uint64))
-            h, first, local = np.unique(key, return_index=True, return_inverse=True)
+            h, first, local = T.distinct(key)
             n = np.bincount(local, ~held[row_of], len(h)).astype(np.int64)
             rows = len(h)
             none = [pa.nulls(rows, t) for t in (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())]
@@ -356,8 +389,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     chunks = staged(chunked(own, centres(own.where("not held_out"))), "lm-chunks")
     words, docs_of = chunks.where("word is not null"), chunks.where("word is null")
-    vocab = words.groupBy("word", "class").agg(F.sum("n_train").alias("n"))
-    vocab = staged(vocab.withColumn("c", F.sum("n").over(Window.partitionBy("word"))), "lm-vocabulary")
+    each = [F.sum(F.when(F.col("class") == k, F.col("n_train"))).alias(f"n{k}") for k in range(CLASSES)]
+    counts = words.groupBy("word").agg(F.sum("n_train").alias("c"), *each)
+    held = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"n{k}").alias("n")) for k in range(CLASSES)]), lambda x: x["n"].isNotNull()))
+    vocab = staged(counts.select("word", "c", held.alias("h")).select("word", "h.class", "h.n", "c"), "lm-vocabulary")
     known = vocab.where("n > 0")
     ends_of = dict.fromkeys(range(CLASSES), 0)
     for r in docs_of.select(F.explode(F.arrays_zip("held", "classes")).alias("d")).where("not d.held").groupBy("d.classes").count().collect():
@@ -386,27 +421,63 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(price)], names=["word", "class", "n", "c", "cost"])
 
     priced = vocab.mapInArrow(cost, "word string, class int, n long, c long, cost double")
-    values = words.select("chunk", "word", "class", "local").join(priced.hint("merge"), ["word", "class"]).select(F.col("chunk").alias("of_chunk"), F.col("local").alias("number"), "class", "n", "c", "cost")
+    values = words.select("chunk", "word", "class", "local").join(priced.hint("shuffle_hash"), ["word", "class"]).select("chunk", "local", "class", "n", "c", "cost")
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a chunk met by a task as one row of little-endian arrays, half a million rows at a time."""
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            cols = [np.concatenate([b.column(j).to_numpy(zero_copy_only=False) for b in held]) for j in range(6)]
+            order = np.argsort(cols[0], kind="stable")
+            chunk = cols[0][order]
+            cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
+            packed = np.zeros(len(order), VALUE)
+            for name, x in zip(VALUE.names, cols[1:]):
+                packed[name] = x[order]
+            return pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]]), pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["of_chunk", "packed"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= 500_000:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    values = values.mapInArrow(bundle, "of_chunk long, packed binary")
     base = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right["number"].to_numpy())
-        c, price = right["c"].to_numpy()[order], right["cost"].to_numpy()[order]
+        got = np.frombuffer(b"".join(right["packed"].to_pylist()), VALUE)
+        got = got[np.argsort(got["local"])]
+        c, price = got["c"], got["cost"]
         based = base(c)
         out: list[list] = [[] for _ in RESULT.split(", ")]
         # the ends of each class are the last token numbers
-        trained = np.append(right["n"].to_numpy()[order] / class_size[right["class"].to_numpy()[order]], class_ends / class_size)
+        trained = np.append(got["n"] / class_size[got["class"]], class_ends / class_size)
         spelled = np.append(10.0**price, 10.0**end_cost)
         for r in left.to_pylist():
             n = np.array(r["n_tokens"], np.int64)
             first = np.concatenate([[0], np.cumsum(n)])
             raw = pa.decompress(r["tokens"], int(first[-1]) * 4, "zstd", asbytes=True) if first[-1] else b""
             at = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-            every = np.insert(at, first[1:], len(c) + np.array(r["classes"], np.int64))
-            ends_at = first + np.arange(len(first))
-            place = np.arange(len(every)) - np.repeat(ends_at[:-1], n + 1)
-            share = T.occurrence(every.astype(np.uint64), ends_at) / np.maximum(place, 1)
-            s = mix_tokens(share, trained[every], spelled[every], ends_at, start) - np.log10(CLASSES)
+            kind = np.array(r["classes"], np.int64)
+            s = np.empty(len(n))
+            longest = np.argsort(-n, kind="stable")
+            parts = np.searchsorted(np.cumsum(n[longest] + 1), np.arange(0, len(at) + len(n), HELD)) if len(n) else []
+            for mine in np.split(longest, np.unique(parts)[1:]) if len(n) else []:
+                ends_at = np.concatenate([[0], np.cumsum(n[mine] + 1)])
+                place = np.arange(ends_at[-1]) - np.repeat(ends_at[:-1], n[mine] + 1)
+                every = np.repeat(first[mine], n[mine] + 1) + place
+                last = ends_at[1:] - 1
+                every[last] = 0
+                every = at[every] if len(at) else every
+                every[last] = len(c) + kind[mine]
+                share = T.occurrence(every.astype(np.uint64), ends_at) / np.maximum(place, 1)
+                s[mine] = mix_tokens(share, trained[every], spelled[every], ends_at, start) - np.log10(CLASSES)
             size = np.array(r["n_bytes"], float)
             cols = [r["doc_ids"], r["held"], n + 1, T.segment_sum((c[at] > 0).astype(np.int64), first) + (ends > 0), np.full(len(n), tokens), T.segment_sum(based[at], first) + base(ends), s, -s / np.log10(2) / np.maximum(size, 1)]
             for o, x in zip(out, cols):

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 #: Bytes of text handled at a time; bounds the memory of a task whatever the batch size.
@@ -149,14 +150,16 @@ def occurrence(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     if not len(h):
         return np.zeros(0, np.int64)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first)).astype(np.uint64)
-    key = mix(h ^ (row * _M1))
-    order = np.argsort(key, kind="stable")
-    s = key[order]
-    new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    run = np.arange(len(s)) - np.repeat(new, np.diff(np.concatenate([new, [len(s)]])))
-    out = np.empty(len(s), np.int64)
-    out[order] = run
-    return out
+    codes = pd.factorize(mix(h ^ (row * _M1)))[0]
+    return pd.Series(codes).groupby(codes, sort=False).cumcount().to_numpy()
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order of appearance, the first place of each, and for each element its number."""
+    code, values = pd.factorize(h)
+    first = np.empty(len(values), np.int64)
+    first[code[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return values, first, code
 
 
 def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
