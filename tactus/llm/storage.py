@@ -26,7 +26,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     recompute it nor depend on an executor that may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tactus-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
