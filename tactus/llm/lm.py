@@ -50,6 +50,8 @@ from tactus.llm.storage import staged
 CHUNK = 12 << 20
 #: Tokens whose probabilities are held at a time.
 HELD = 300_000
+#: log10 of the least probability that enters a token's mixture; a word below it adds the difference.
+LEAST = -290.0
 END = "\n"
 #: Bytes of context of each predictor, 0 for the whole word so far.
 ORDERS = [2, 3, 4, 6, 0]
@@ -458,7 +460,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         out: list[list] = [[] for _ in RESULT.split(", ")]
         # the ends of each class are the last token numbers
         trained = np.append(got["n"] / class_size[got["class"]], class_ends / class_size)
-        spelled = np.append(10.0**price, 10.0**end_cost)
+        cost = np.append(price, end_cost)
+        beyond = np.minimum(cost - LEAST, 0)  # of words too long for a double
+        spelled = 10.0 ** np.maximum(cost, LEAST)
         for r in left.to_pylist():
             n = np.array(r["n_tokens"], np.int64)
             first = np.concatenate([[0], np.cumsum(n)])
@@ -477,7 +481,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 every = at[every] if len(at) else every
                 every[last] = len(c) + kind[mine]
                 share = T.occurrence(every.astype(np.uint64), ends_at) / np.maximum(place, 1)
-                s[mine] = mix_tokens(share, trained[every], spelled[every], ends_at, start) - np.log10(CLASSES)
+                alone = np.where((share == 0) & (trained[every] == 0), beyond[every], 0.0)
+                s[mine] = mix_tokens(share, trained[every], spelled[every], ends_at, start) + T.segment_sum(alone, ends_at) - np.log10(CLASSES)
             size = np.array(r["n_bytes"], float)
             cols = [r["doc_ids"], r["held"], n + 1, T.segment_sum((c[at] > 0).astype(np.int64), first) + (ends > 0), np.full(len(n), tokens), T.segment_sum(based[at], first) + base(ends), s, -s / np.log10(2) / np.maximum(size, 1)]
             for o, x in zip(out, cols):
