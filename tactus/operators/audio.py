@@ -91,9 +91,13 @@ def trimmed(outputs: DataFrame, left: int, keep: int, frames: DataFrame) -> Data
 
 def log_softmax(values: Column) -> Column:
     """Natural-log softmax of an array in doubles."""
-    top = F.array_max(values).cast("double")
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))
-    return F.transform(values, lambda x: x.cast("double") - top - F.log(total))
+    bind = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  evaluates x once for all elements
+
+    def with_top(top: Column) -> Column:
+        total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))
+        return bind(F.log(total), lambda log: F.transform(values, lambda x: x.cast("double") - top - log))
+
+    return bind(F.array_max(values).cast("double"), with_top)
 
 
 def log_probabilities(values: Column, kind: str) -> Column:
