@@ -26,8 +26,8 @@ def normalized_line(line, ascii_only: bool = False):
 def line_kinds(of: DataFrame, ascii_only: bool = False) -> DataFrame:
     """Adds kind; blank and section lines are decided before any normalisation."""
     body = F.trim(normalized_line(F.col("line"), ascii_only))
-    # a letter decides without normalising, unless parentheses or entities may take it away
-    letter = F.col("line").rlike(f"[^{text.SPACE}{text.DIGIT}{text.PUNCTUATION}{text.DELETE}]") & ~F.col("line").rlike("[(&（]")
+    # in Latin-1 a letter decides without normalising, unless parentheses or entities may take it away
+    letter = F.col("line").rlike(r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]") & ~F.col("line").rlike(r"[(&]|[^\x{0}-\x{FF}]")
     kind = F.when(~text.has_text(F.col("line")), "BLANK").when(text.is_section_marker(F.col("line")), "SECTION_MARKER").when(letter, "ALIGNABLE").when(body != "", "ALIGNABLE").otherwise("PUNCTUATION_ONLY")
     return of.withColumn("kind", kind)
 
