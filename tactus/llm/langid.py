@@ -62,7 +62,7 @@ def profiles(docs: DataFrame, size: int = SIZE, lang_col: str = "lang", text_col
     """Each language's most frequent n-grams over all of ``docs``; at most languages x size reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in T.chunks(batches):
+        for c in T.chunks(batches, size=2 << 20):
             key, row = grams(c)
             langs = c.rows.column(0).dictionary_encode()
             code = langs.indices.to_numpy(zero_copy_only=False)
@@ -114,7 +114,7 @@ def identify(docs: DataFrame, by_lang: dict[str, np.ndarray], size: int = SIZE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ranker.value
-        for c in T.chunks(batches):
+        for c in T.chunks(batches, size=1 << 20):
             rows = c.rows.num_rows
             has = _has_letter(c)
             langs, score = np.full(rows, "und", object), np.zeros(rows)
