@@ -91,7 +91,7 @@ def align(emissions: DataFrame, tokens: DataFrame, blank: int = 0, stars: str =
         return pd.DataFrame({"doc_id": frames.doc_id.to_numpy(), "frame": frames.frame.to_numpy(), "state": state, "token_index": pd.array(np.where(index < 0, None, index), "Int32"), "token_id": label, "is_blank": is_blank, "is_star": is_star, "score": value})
 
     left = emissions.select("doc_id", "frame", "values").groupBy("doc_id")
-    return left.cogroup(tokens.select("doc_id", "token_index", "token_id", "starts_segment").groupBy("doc_id")).applyInPandas(run, PATH)
+    return left.cogroup(tokens.select(F.col("doc_id").alias("owner"), "token_index", "token_id", "starts_segment").groupBy("owner")).applyInPandas(run, PATH)
 
 
 def infeasible(emissions: DataFrame, tokens: DataFrame) -> DataFrame:

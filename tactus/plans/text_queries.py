@@ -314,3 +314,18 @@ def running_sections(spark, sf_dir):
     ends = F.when(F.col("line").endswith("."), 1).otherwise(0)
     w = Window.partitionBy("doc_id").orderBy("line_index")
     return rows.withColumn("section", F.sum(ends).over(w)).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""with {TOKENS_SQL},
+g as (select doc_id, line_index, cast(floor(cast(cast((3 * min(token_index) + 1) * 0.02 as float) as double) * 100 + 0.5) as integer) as h from t group by all)
+select g.doc_id, string_agg({_STAMP} || line, chr(10) order by g.line_index) || chr(10) as text from g join l using (doc_id, line_index) group by g.doc_id"""
+)
+def generated_sheets(spark, sf_dir):
+    """The whole chain over item texts, with emissions that say their tokens."""
+    from tactus.plans import generate as whole
+
+    vocab = L.vocabulary(spark)
+    own = sheets(spark, sf_dir, "benchmark", "item_id")
+    _, tokens = whole.target_tokens(own, vocab)
+    return whole.generate(own, whole.made_up_emissions(tokens, len(L.TOKENS)), vocab)

@@ -165,3 +165,22 @@ def test_stream_sessions(spark, sf_dir, tmp_path):
     assert q.exception() is None
     batch = silence.levels(e)
     assert batch.agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_generate_with_blank_lines_and_silence(spark):
+    from tactus.operators import lines as L
+    from tactus.plans import generate as whole
+
+    sheet = spark.createDataFrame([(1, "ab\n\n[Chorus]\ncd e\n"), (2, "zz")], "doc_id long, text string")
+    vocab = L.vocabulary(spark)
+    _, tokens = whole.target_tokens(sheet, vocab)
+    said = whole.made_up_emissions(tokens.where("doc_id = 1"), len(L.TOKENS))
+    late = said.withColumn("frame", F.when(F.col("frame") >= 6, F.col("frame") + 100).otherwise(F.col("frame")))
+    still = late.where("frame = 0").select("doc_id", F.explode(F.sequence(F.lit(6), F.lit(105))).alias("frame"), "values")
+    got = whole.generate(sheet, late.unionByName(still), vocab).collect()
+    assert [(r.doc_id, r.text) for r in got] == [(1, "[00:00.02]ab\n[00:00.12]\n\n[00:02.14]cd e\n")]
+    quiet = spark.createDataFrame([(1, 0.5)], "doc_id long, start_s double")
+    moved = whole.generate(sheet, late.unionByName(still), vocab, quiet=quiet).first().text
+    assert moved == "[00:00.02]ab\n[00:00.50]\n\n[00:02.14]cd e\n"
+    with pytest.raises(ValueError):
+        whole.Options(split="sentence")
