@@ -9,9 +9,9 @@ word, or the whole word so far.  Their log-odds are mixed by the weights of a ga
 and how often the two longest contexts were seen), and an adaptive map by preceding byte refines
 the mixed probability.  The product over all decisions is a probability of the word.
 
-Classes.  A text's class is the nearest of CLASSES centres in hashed byte-bigram space (k-means,
-fitted on about SAMPLE training documents); naming it costs log10(CLASSES) once a text.  Class
-is part of every spelling context.
+Classes.  A text's class is the nearest of CLASSES centres in hashed byte-bigram space (k-means
+over all training documents, started from centres of about SAMPLE of them); naming it costs
+log10(CLASSES) once a text.  Class is part of every spelling context.
 
 Tokens.  A token's probability mixes three: its share of the text so far, its share of all
 training tokens of the text's class, and its spelling.  The weights of a gate (which of the three explained the token
@@ -63,6 +63,8 @@ BUCKETS = 33
 BLOCK = 1 << 14
 LIMIT = 12.0
 CLASSES, BINS, SAMPLE = 8, 1024, 2000
+#: Passes of k-means over all training documents, and the unit their sums are rounded to, which makes these exact.
+ROUNDS, UNIT = 2, 1 << 20
 
 
 def bigrams(c: T.Chunk) -> np.ndarray:
@@ -81,7 +83,8 @@ def bigrams(c: T.Chunk) -> np.ndarray:
 
 
 def centres(docs: DataFrame) -> np.ndarray:
-    """Spherical k-means over about SAMPLE documents (text), dealt by hash of the id, farthest-first start."""
+    """Spherical k-means over all documents (text).  It starts from the centres of about SAMPLE of them,
+    dealt by hash of the id, with a farthest-first start."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in T.chunks(batches):
@@ -101,9 +104,35 @@ def centres(docs: DataFrame) -> np.ndarray:
         of = (x @ mid.T).argmax(1)
         sums = np.stack([x[of == k].sum(0) if (of == k).any() else mid[k] for k in range(CLASSES)])
         mid = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    for _ in range(ROUNDS):
+        mid = refined(docs.select("text"), mid)
     return mid
 
 
+def refined(docs: DataFrame, mid: np.ndarray) -> np.ndarray:
+    """Centres after one pass over all documents: each task sends its sums by class and bin, and the
+    driver gets CLASSES * BINS of them.  A class without documents keeps its centre."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CLASSES, BINS), np.int64)
+        for c in T.chunks(batches):
+            x = bigrams(c)
+            of = (x @ mid.T).argmax(1)
+            for k in np.unique(of):
+                total[k] += np.rint(x[of == k] * np.float32(UNIT)).astype(np.int64).sum(0)
+        flat = total.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["at", "total"])
+
+    found = docs.mapInArrow(sums, "at int, total long").groupBy("at").agg(F.sum("total").alias("total")).collect()
+    total = np.zeros(CLASSES * BINS)
+    for r in found:
+        total[r["at"]] = r["total"]
+    total = total.reshape(CLASSES, BINS)
+    size = np.linalg.norm(total, axis=1, keepdims=True)
+    return np.where(size > 0, total / np.maximum(size, 1e-9), mid).astype(np.float32)
+
+
 @dataclass
 class Words:
     """Symbols of some words: byte, its word, preceding byte, and for each predictor a context hash."""

@@ -73,3 +73,21 @@ def test_edges(edge, empty):
     assert lm.score(empty, F.lit(False)).count() == 0
     none = lm.score(edge, F.lit(True)).collect()
     assert {r.train_tokens for r in none} == {0} and all(r.n_known == 0 and math.isfinite(r.score) for r in none)
+
+
+def test_centres_come_from_all_documents(docs):
+    """One pass equals k-means by hand over every row, however the rows are dealt."""
+    texts = [(r.text or "").encode().lower() for r in docs.collect()]
+    x = np.zeros((len(texts), lm.BINS))
+    for i, t in enumerate(texts):
+        for a, b in zip(t, t[1:]):
+            x[i, (a * 37 + b) % lm.BINS] += 1
+    x = np.sqrt(x)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    mid = x[: lm.CLASSES].astype(np.float32)
+    of = (x @ mid.T).argmax(1)
+    want = np.stack([x[of == k].sum(0) for k in range(lm.CLASSES)])
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    own = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    one, many = lm.refined(own.coalesce(1), mid), lm.refined(own.repartition(7), mid)
+    assert (one == many).all() and np.abs(one - want).max() < 1e-4
