@@ -64,7 +64,7 @@ BLOCK = 1 << 14
 LIMIT = 12.0
 CLASSES, BINS, SAMPLE = 8, 1024, 2000
 #: Passes of k-means over all training documents, and the unit their sums are rounded to, which makes these exact.
-ROUNDS, UNIT = 2, 1 << 20
+ROUNDS, UNIT = 1, 1 << 20
 
 
 def bigrams(c: T.Chunk) -> np.ndarray:
