@@ -324,13 +324,27 @@ def output_samples(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", F.round(A.output_sample(model, F.col("l_discount")), 6).alias("residual"), F.round(A.output_sample(model), 6).alias("vocal"))
 
 
+def dealt_emissions(embeddings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Emissions (doc_id, frame, values) for every document of ``tokens``: twice the frames that its
+    labels and edge stars need, read from the embeddings in order of vec_id, a document 40 further
+    on than the one before and from the first again after the last."""
+    # numbered within ranges of ids, so that no task holds all of them
+    ranged = embeddings.withColumn("range", F.floor(F.col("vec_id") / 4096))
+    before = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("vec_id")) - 1
+    numbered = ranged.withColumn("place", place).join(before, "range").select((F.col("before") + F.col("place")).alias("number"), A.log_softmax(F.slice("embedding", 1, 31)).alias("values"))
+    need = G.required_frames(tokens).select("doc_id", (2 * (F.col("required") + 2)).alias("n"))
+    frames = need.crossJoin(F.broadcast(embeddings.agg(F.count(F.lit(1)).alias("total")))).where("total > 0")
+    at = frames.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("frame"))
+    return at.withColumn("number", F.pmod(F.col("doc_id") * 40 + F.col("frame"), F.col("total"))).join(numbered, "number").select("doc_id", F.col("frame").cast("int").alias("frame"), "values")
+
+
 @query()
 def viterbi_align(spark, sf_dir):
-    """Forty frames of embeddings a document against the first tokens of the item of its number."""
-    em = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 40).alias("doc_id"), (F.col("vec_id") % 40).cast("int").alias("frame"), A.log_softmax(F.slice("embedding", 1, 31)).alias("values"))
+    """Every item's whole target against frames of embeddings."""
     segs = L.segments(L.lines(sheets(spark, sf_dir, "benchmark", "item_id")))
-    toks = L.tokens(segs, L.vocabulary(spark)).where("token_index < 15")
-    return G.align(em, toks, stars="edges")
+    toks = L.tokens(segs, L.vocabulary(spark))
+    return G.align(dealt_emissions(table(spark, sf_dir, "embeddings"), toks), toks, stars="edges")
 
 
 @query()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tactus.operators import align as G
 from tactus.operators import audio as A
 from tactus.operators import compare as C
+from tactus.operators import lines as L
 from tactus.operators import spans as S
 from tactus.sources import tables
 from tactus.streaming import silence
@@ -55,6 +56,42 @@ def test_align_to_lines(spark):
     assert G.align(short, toks).count() == 0 and G.infeasible(short, toks).first().required == 3
 
 
+def test_viterbi_align_takes_whole_targets_of_all_items(spark, tmp_path):
+    """Every item and token has frames; a short item's path is the best of all paths."""
+    from tactus.plans import frame_queries
+
+    items = [(0, "ab"), (1, "aa"), (2, "the quick brown fox jumps over\nthe lazy dog"), (70, "c")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    vectors = np.random.default_rng(3).normal(size=(50, 31)) * 2
+    spark.createDataFrame([(i * 300, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = {}
+    for r in frame_queries.viterbi_align(spark, str(tmp_path)).orderBy("doc_id", "frame").collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert set(found) == {i for i, _ in items}
+    for key, text in items:
+        said = text.replace(" ", "").replace("\n", "")
+        heard = dict.fromkeys((r.token_index, r.token_id) for r in found[key] if r.token_index is not None)
+        assert [*heard] == [(i, L.TOKENS.index(c)) for i, c in enumerate(said)]
+        labels = [G.STAR, *map(L.TOKENS.index, said), G.STAR]
+        n = 2 * (len(labels) + sum(a == b for a, b in zip(said, said[1:])))
+        assert [r.frame for r in found[key]] == [*range(n)]
+        rows = [vectors[(key * 40 + t) % 50] for t in range(n)]
+        scores = [v - np.log(np.exp(v).sum()) for v in rows]
+        state = [0 if k % 2 == 0 else labels[k // 2] for k in range(2 * len(labels) + 1)]
+        worth = lambda t, s: 0.0 if state[s] == G.STAR else float(scores[t][state[s]])
+        assert sum(r.score for r in found[key]) == pytest.approx(sum(worth(r.frame, r.state) for r in found[key]), abs=1e-4)
+        if len(said) > 2:
+            continue
+
+        def best(t, s):  # over every path, none left out
+            if t == n - 1:
+                return worth(t, s) if s >= len(state) - 2 else -math.inf
+            steps = [s, s + 1] + ([s + 2] if s % 2 == 1 and s + 2 < len(state) and state[s] != state[s + 2] else [])
+            return worth(t, s) + max(best(t + 1, x) for x in steps if x < len(state))
+
+        assert sum(r.score for r in found[key]) == pytest.approx(max(best(0, 0), best(0, 1)), abs=1e-3)
+
+
 def test_clear_lines(spark):
     cases = [(0.99, False), (1.0, True), (0.0, False), (-0.5, False)]
     rows = [(i, k, "ALIGNABLE", 1.0 if k == 0 else 2.0 + gap, 2.0 if k == 0 else 9.0, "x") for i, (gap, _) in enumerate(cases) for k in (0, 1)]
