@@ -9,7 +9,7 @@ All segments of a chunk's texts advance together, so numpy does each jump for th
 
 Items are taken in blocks of at most ``block_bytes`` of text: a block's tables are what is
 broadcast.  Most benchmarks are one block; with more, each block is searched against all
-documents and the hits of a document are merged.
+documents and the hits of a row are merged, whatever its id.
 
 Defined results: null and empty texts have no words and are clean; items without words have
 no windows; repeated items each count; texts of any length are searched whole; a null item
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactus.llm import textops as T
+from tactus.llm.storage import staged
 
 SEGMENT = 512
 TABLE_BITS = 18
@@ -148,14 +149,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     contaminated, spans (word starts and ends of the hit passages) and items (their ids, sorted)."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = [own.mapInArrow(_searcher(spark.sparkContext.broadcast(p)), f"doc_id long, {RESULT}") for p in pattern_blocks(benchmark, window, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    grouped = whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    return grouped.mapInArrow(_combine, f"doc_id long, {RESULT}")
+    blocks = [spark.sparkContext.broadcast(p) for p in pattern_blocks(benchmark, window, block_bytes)]
+    if len(blocks) == 1:
+        return own.mapInArrow(_searcher(blocks[0]), f"doc_id long, {RESULT}")
+    # rows are numbered once and kept, so that every block's results say which row they are of
+    rows = staged(own.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
+    whole = None
+    for p in blocks:
+        part = rows.select("row", "text").mapInArrow(_searcher(p, "row"), f"row long, {RESULT}")
+        whole = part if whole is None else whole.unionByName(part)
+    lists = whole.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return rows.select("row", "doc_id").join(lists, "row").drop("row").mapInArrow(_combine, f"doc_id long, {RESULT}")
 
 
 def _row(n: int, hit: np.ndarray, items: list[str]) -> tuple:
@@ -167,17 +171,17 @@ _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(
 _NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
-def _batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*rows), _TYPES))], names=["doc_id", *_NAMES])
+def _batch(ids: pa.Array, rows: list[tuple], key: str = "doc_id") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(zip(*rows), _TYPES))], names=[key, *_NAMES])
 
 
-def _searcher(patterns):
+def _searcher(patterns, key: str = "doc_id"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in T.chunks(batches):
             w = T.words(c.data, c.offs, T.ALNUM)
             s, e, items = patterns.value.hits(w)
             hit = _merged(s, e, len(w.start))
-            yield _batch(c.rows.column(0), [_row(int(b - a), hit[a:b], sorted(items.get(r, ()))) for r, (a, b) in enumerate(zip(w.first[:-1], w.first[1:]))])
+            yield _batch(c.rows.column(0), [_row(int(b - a), hit[a:b], sorted(items.get(r, ()))) for r, (a, b) in enumerate(zip(w.first[:-1], w.first[1:]))], key)
 
     return run
 

@@ -56,3 +56,16 @@ def test_edges(spark, edge, empty, benchmark_):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.scan(edge, none).where("contaminated").count() == 0
     assert D.keep_clean(edge, none).columns == edge.columns
+
+
+def test_blocks_keep_every_row(spark, edge, benchmark_):
+    """Rows without id or with the id of another row stay apart when the items are several blocks."""
+    items = [tuple(r) for r in benchmark_.collect()]
+    leak = next(t for _, t in items if len(WORD.findall(t)) >= 10)
+    texts = [(r.doc_id, r.text) for r in edge.collect()] + [(None, leak), (None, "clean and short"), (4, "before " + leak), (5, leak), (5, "another clean text")]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = brute(texts, items)
+    assert sum(r[5] for r in want) == 3
+    assert len([*D.pattern_blocks(benchmark_, 10, 1500)]) > 1
+    assert sorted(rows(D.scan(d, benchmark_, block_bytes=1500)), key=repr) == sorted(want, key=repr)
+    assert sorted(rows(D.scan(d, benchmark_)), key=repr) == sorted(want, key=repr)
