@@ -32,12 +32,17 @@ def line_kinds(of: DataFrame, ascii_only: bool = False) -> DataFrame:
     return of.withColumn("kind", kind)
 
 
-def segments(of: DataFrame, split: str = "word") -> DataFrame:
+def segments(of: DataFrame, split: str = "word", romanize: bool = True) -> DataFrame:
     """Words or characters of lines with their normalised text and offsets in the document's
     normalised text (chunks joined by a space between words, by nothing between characters).
-    Chunks that normalise to nothing keep their number and are empty."""
-    pieces = text.split_words(F.lower("line")) if split == "word" else text.split_chars(F.lower("line"))
-    rows = of.select("doc_id", "line_index", F.posexplode(pieces).alias("place", "source")).withColumn("norm", text.clean_chunk(F.col("source")))
+    A chunk is split off first, then normalised (NFKC, lower case, clean_chunk) and, with
+    ``romanize``, brought to a-z and '.  Chunks that normalise to nothing keep their number and
+    are empty."""
+    pieces = text.split_words(F.col("line")) if split == "word" else text.split_chars(F.col("line"))
+    rows = of.select("doc_id", "line_index", F.posexplode(pieces).alias("place", "piece"))
+    rows = rows.select("doc_id", "line_index", "place", F.lower("piece").alias("source"), text.clean_chunk(text.nfkc_lower("piece")).alias("norm"))
+    if romanize:
+        rows = text.romanize(rows, "norm").withColumn("norm", F.col("romanized")).drop("romanized")
     w = Window.partitionBy("doc_id").orderBy("line_index", "place")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     gap = F.lit(1 if split == "word" else 0) * F.count_if(F.col("norm") != "").over(before)

@@ -20,6 +20,7 @@ class Options:
     """Choices of a run, checked when made."""
 
     split: str = "word"
+    romanize: bool = True
     stars: str = "none"
     emissions: str = "log-probabilities"
     blank_id: int = 0
@@ -44,7 +45,7 @@ def made_up_emissions(tokens: DataFrame, vocabulary_size: int, hold: int = 2, lo
 def target_tokens(sheets: DataFrame, vocab: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """Lines with kinds, and the tokens of the alignable ones."""
     lines = L.line_kinds(L.lines(sheets))
-    return lines, L.tokens(L.segments(lines.where("kind = 'ALIGNABLE'"), options.split), vocab)
+    return lines, L.tokens(L.segments(lines.where("kind = 'ALIGNABLE'"), options.split, options.romanize), vocab)
 
 
 def generate(sheets: DataFrame, emissions: DataFrame, vocab: DataFrame, options: Options = Options(), quiet: DataFrame | None = None) -> DataFrame:

@@ -92,12 +92,12 @@ from l left join n using (doc_id, line_index)"""
 
 @query(KIND_SQL)
 def line_kinds(spark, sf_dir):
-    return L.line_kinds(L.lines(sheets(spark, sf_dir)), ascii_only=True).select("doc_id", "line_index", "kind")
+    return L.line_kinds(L.lines(sheets(spark, sf_dir))).select("doc_id", "line_index", "kind")
 
 
 @query(f"select doc_id, kind, count(*) as n_lines from ({KIND_SQL}) group by all")
 def line_kind_counts(spark, sf_dir):
-    return L.line_kinds(L.lines(sheets(spark, sf_dir)), ascii_only=True).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n_lines"))
+    return L.line_kinds(L.lines(sheets(spark, sf_dir))).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 @query(f"with {lines_sql()}, {lowered_words_sql()} select doc_id, line_index, place, source as word from w")
@@ -161,12 +161,21 @@ def current_mode(spark, sf_dir):
     return sheets(spark, sf_dir).select("doc_id", text.current_mode(F.col("text")).alias("out"))
 
 
+def _segments(spark, sf_dir, romanize: bool) -> DataFrame:
+    """Segments of item texts; the queries with SQL have no romanisation, as their SQL has none."""
+    return L.segments(L.lines(sheets(spark, sf_dir, "benchmark", "item_id")), romanize=romanize)
+
+
+def _targets(spark, sf_dir, romanize: bool) -> DataFrame:
+    words = _segments(spark, sf_dir, romanize).groupBy("doc_id", "line_index").agg(F.array_sort(F.collect_list(F.struct("segment_index", "norm"))).alias("w"))
+    return words.select("doc_id", "line_index", text.target_text(F.col("w.norm")).alias("target"))
+
+
 @query(
     f"with {lines_sql('benchmark', 'item_id')}, {lowered_words_sql()}, {clean_sql('w')} select doc_id, line_index, array_to_string(list(array_to_string(string_split(norm, ''), ' ') order by place) filter (norm <> ''), ' ') as target from c group by all"
 )
 def target_text(spark, sf_dir):
-    rows = L.lines(sheets(spark, sf_dir, "benchmark", "item_id")).select("doc_id", "line_index", F.transform(text.split_words(F.lower("line")), text.clean_chunk).alias("w"))
-    return rows.where(F.size("w") > 0).select("doc_id", "line_index", text.target_text(F.col("w")).alias("target"))
+    return _targets(spark, sf_dir, False)
 
 
 SEGMENTS_SQL = f"""{lines_sql('benchmark', 'item_id')}, {lowered_words_sql()}, {clean_sql('w')},
@@ -177,7 +186,18 @@ s as (select doc_id, line_index, segment_index, source, norm, cast(chars + case
 
 @query(f"with {SEGMENTS_SQL} select *, norm_start + length(norm) as norm_end from s")
 def segment_offsets(spark, sf_dir):
-    return L.segments(L.lines(sheets(spark, sf_dir, "benchmark", "item_id")))
+    return _segments(spark, sf_dir, False)
+
+
+@query()
+def romanized_segments(spark, sf_dir):
+    """The whole normalisation of words, with their offsets."""
+    return _segments(spark, sf_dir, True)
+
+
+@query()
+def romanized_targets(spark, sf_dir):
+    return _targets(spark, sf_dir, True)
 
 
 VOCAB_SQL = "v as (select * from (values " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(L.TOKENS)) + ") as t(token_id, text))"
@@ -187,9 +207,8 @@ t as (select doc_id, row_number() over (partition by doc_id order by segment_ind
   from t1 left join v on v.text = ch and token_id not in (0, 3) where ch <> ' ')"""
 
 
-def _tokens(spark, sf_dir) -> DataFrame:
-    segs = L.segments(L.lines(sheets(spark, sf_dir, "benchmark", "item_id")))
-    return L.tokens(segs, L.vocabulary(spark))
+def _tokens(spark, sf_dir, romanize: bool = False) -> DataFrame:
+    return L.tokens(_segments(spark, sf_dir, romanize), L.vocabulary(spark))
 
 
 @query(f"with {TOKENS_SQL} select * from t")
@@ -197,6 +216,11 @@ def vocab_tokens(spark, sf_dir):
     return _tokens(spark, sf_dir)
 
 
+@query()
+def romanized_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir, True)
+
+
 @query(f"with {TOKENS_SQL} select ch, count(*) as n from t where token_id = 3 group by ch")
 def unknown_tokens(spark, sf_dir):
     return _tokens(spark, sf_dir).where("token_id = 3").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
@@ -218,7 +242,7 @@ def longest_match(spark, sf_dir):
     f"with {TOKENS_SQL}, o as (select doc_id, line_index as number, min(norm_start) as a, max(norm_start + length(norm)) as b from s where norm <> '' group by all) select t.doc_id, token_index as number, t.norm_start as start, t.norm_start + 1 as \"end\", min(o.number) as outer_number from t left join o on o.doc_id = t.doc_id and t.norm_start >= a and t.norm_start + 1 <= b group by all"
 )
 def token_line_containment(spark, sf_dir):
-    segs = L.segments(L.lines(sheets(spark, sf_dir, "benchmark", "item_id")))
+    segs = _segments(spark, sf_dir, False)
     toks = L.tokens(segs, L.vocabulary(spark)).select("doc_id", F.col("token_index").alias("number"), F.col("norm_start").alias("start"), (F.col("norm_start") + 1).alias("end"))
     outer = segs.where("norm <> ''").groupBy("doc_id", F.col("line_index").alias("number")).agg(F.min("norm_start").alias("start"), F.max("norm_end").alias("end"))
     return L.contained(toks, outer)
@@ -322,10 +346,19 @@ g as (select doc_id, line_index, cast(floor(cast(cast((3 * min(token_index) + 1)
 select g.doc_id, string_agg({_STAMP} || line, chr(10) order by g.line_index) || chr(10) as text from g join l using (doc_id, line_index) group by g.doc_id"""
 )
 def generated_sheets(spark, sf_dir):
-    """The whole chain over item texts, with emissions that say their tokens."""
+    """The whole chain over item texts, with emissions that say their tokens; not romanised, as its SQL."""
+    return _generated(spark, sf_dir, False)
+
+
+@query()
+def romanized_sheets(spark, sf_dir):
+    return _generated(spark, sf_dir, True)
+
+
+def _generated(spark, sf_dir, romanize: bool) -> DataFrame:
     from tactus.plans import generate as whole
 
-    vocab = L.vocabulary(spark)
+    vocab, options = L.vocabulary(spark), whole.Options(romanize=romanize)
     own = sheets(spark, sf_dir, "benchmark", "item_id")
-    _, tokens = whole.target_tokens(own, vocab)
-    return whole.generate(own, whole.made_up_emissions(tokens, len(L.TOKENS)), vocab)
+    _, tokens = whole.target_tokens(own, vocab, options)
+    return whole.generate(own, whole.made_up_emissions(tokens, len(L.TOKENS)), vocab, options)

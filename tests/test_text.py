@@ -51,6 +51,26 @@ def test_target_and_segments(spark):
     assert toks[0].token_id == L.TOKENS.index("h")
 
 
+def test_segments_take_the_whole_normalisation(spark):
+    """NFKC and romanisation reach the tokens: none of these letters is unknown."""
+    lines = spark.createDataFrame([("d", 0, "Ｃafé ﬁn\u00a0Straße Привет 猫 77"), ("d", 1, "l’Été")], "doc_id string, line_index int, line string")
+    segs = L.segments(lines)
+    assert [r.norm for r in segs.orderBy("segment_index").collect()] == ["cafe", "fin strasse", "privet", "mao", "", "l'ete"]
+    toks = L.tokens(segs, L.vocabulary(spark))
+    assert toks.where("token_id = 3").count() == 0 and toks.count() == 4 + 10 + 6 + 3 + 5
+    plain = [r.norm for r in L.segments(lines, romanize=False).orderBy("segment_index").collect()]
+    assert plain == ["café", "fin straße", "привет", "猫", "77", "l'été"]
+
+
+def test_generation_romanizes_unless_told(spark):
+    from tactus.plans import generate as whole
+
+    sheet = spark.createDataFrame([(1, "Été")], "doc_id long, text string")
+    ids = lambda o: [r.token_id for r in whole.target_tokens(sheet, L.vocabulary(spark), o)[1].orderBy("token_index").collect()]
+    assert ids(whole.Options()) == [L.TOKENS.index(c) for c in "ete"]
+    assert ids(whole.Options(romanize=False)) == [3, L.TOKENS.index("t"), 3]
+
+
 def test_romanize(spark):
     words = spark.createDataFrame([("猫",), ("Привет",), ("你好",), ("hello",)], "word string")
     got = {r.word: r.romanized for r in text.romanize(words).collect()}
