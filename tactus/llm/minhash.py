@@ -11,14 +11,15 @@ share an entry only where they share k-mers and their order: sensitive to edit s
    with, which joins a group of similar texts in one pass.  Entries whose texts are then not
    all connected make families (connected over such entries).  A family is cut into blocks of
    at most FAMILY texts, and each pair of its blocks is one task of bounded size that compares
-   the texts sharing two entries or more unless they are connected already.
+   the texts sharing an entry unless they are connected already.
 3. A pair is verified by aligning its labelled k-mers: the longest common chain inside the
    diagonal band that a pair at the threshold can't leave.  With c chained of a and b k-mers,
    the similarity is c / (a + b - c), the Jaccard index of the k-mers met in the same order.
 4. Connected pairs make classes (least labels, by contraction).
 
 With l = 3 and m = 20 a pair at similarity s has no common entry with probability
-(1 - s^3)^20: 6e-7 at 0.8; fewer than two with 1e-5.
+(1 - s^3)^20 if both are long: 6e-7 at 0.8.  Short ones share less: 4 of 5 k-mers make an entry
+equal with chance C(4,3) / C(5,3) = 0.4, and none of 20 with 3.7e-5.
 
 Defined results: null texts and texts without words are each their own class; a text of
 fewer than k words is one k-mer; rows that repeat an id are one document; a null id is in no
@@ -195,7 +196,7 @@ def _family(k: int, threshold: float):
             shared = [x for e in entries for x in met.get(e, ())]
             if shared:
                 others, times = np.unique(shared, return_counts=True)
-                for j in others[times >= min(2, len(entries))][np.argsort(-times[times >= min(2, len(entries))], kind="stable")].tolist():
+                for j in others[np.argsort(-times, kind="stable")].tolist():
                     if across and block[i] == block[j] or root(i) == root(j):
                         continue
                     s = chain(keys[i], keys[j], threshold)

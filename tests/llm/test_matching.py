@@ -100,6 +100,23 @@ def test_near_duplicates_against_brute_force(spark, docs, rng):
         minhash.FAMILY = kept
 
 
+def test_family_links_short_texts_that_share_one_entry():
+    """8 words and the same with one more are 4 of 5 shingles, and may share just one entry."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tactus.llm import textops as T
+
+    short = "w507616 w50853 w382455 w487733 w511832 w378968 w19142 w360703"
+    texts = [short, short + " z962347"]
+    raw = [t.encode() for t in texts]
+    w = T.words(np.frombuffer(b"".join(raw) + bytes(16), np.uint8), np.cumsum([0, *map(len, raw)]), T.ALNUM)
+    sketches = [x.view(np.int64) for x in minhash.sketch(*minhash.labelled(w, 5), 3, 20)]
+    assert len(np.intersect1d(*sketches)) == 1 and similarity(kmers(texts[0]), kmers(texts[1])) == 0.8
+    family = pa.table({"doc_id": [1, 2], "own": [1, 2], "block": [0, 0], "sketch": pa.array([x.tolist() for x in sketches], pa.list_(pa.int64())), "text": texts})
+    assert minhash._family(5, 0.8)(family).to_pylist() == [{"a": 2, "b": 1, "similarity": 0.8}]
+
+
 def test_near_duplicate_edges(edge, empty):
     got = {r.doc_id: (r.class_id, r.kept) for r in minhash.near_duplicates(edge).collect()}
     assert got[1] == (1, True) and got[2] == (2, True) and got[7] == (7, True) and got[6] == (5, False) and got[None] == (None, True)
