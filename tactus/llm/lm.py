@@ -1,346 +1,296 @@
-"""Operator 6: language-model scores by logistic mixing of hashed-context bit predictors.
-
-A text is lower-cased in A-Z and is its tokens: words ([^\x20\x09-\x0D]+) and one end.
-
-Spelling.  A word is coded byte by byte with a closing space, the end as one newline, and each
-byte as eight binary decisions from the high bit down.  A bit predictor for each of ORDERS looks
-a decision up in a hashed table of counts by its context: the last two to six bytes of the
-word, or the whole word so far.  Their log-odds are mixed by the weights of a gate (bit number
-and how often the two longest contexts were seen), and an adaptive map by preceding byte refines
-the mixed probability.  The product over all decisions is a probability of the word.
-
-Classes.  A text's class is the nearest of CLASSES centres in hashed byte-bigram space (k-means
-over all training documents, started from centres of about SAMPLE of them); naming it costs
-log10(CLASSES) once a text.  Class is part of every spelling context.
-
-Tokens.  A token's probability mixes three: its share of the text so far, its share of all
-training tokens of the text's class, and its spelling.  The weights of a gate (which of the three explained the token
-before) start from the training corpus and are refined after every token of the text.  The
-product is a probability of the text, and -log2 of it per byte gives bits per byte.
-
-Learning takes all training documents: bit counts over all distinct words of each class, then weights and map
-by an online pass over the same words, each predicted as if it had not been counted, since
-spelling is for new words; the tasks' weights are averaged.  Scoring leaves these as learned, so
-a score depends neither on the order of documents nor on how they are dealt, and a word is
-spelled once for all its occurrences.  Table sizes are fixed by TABLE_BITS (36 MB in all, compressed on the way): they
-are what is broadcast.
+"""Operator 6: language-model scores by online logistic context mixing over the bits of a text.
+
+A text is lower-cased in A-Z and is its tokens: words ([^\x20\x09-\x0D]+) and one end.  Each
+token is coded as binary decisions, and the sum of their costs is the text's total bits.
+
+Code.  A Huffman tree holds the FREQUENT commonest training words, the end, one symbol for each
+class of counts (words met 1, 2, 3 ... times; EDGES), REPEAT (a word outside the commonest that
+the text has had) and NEW (a word never met).  A class or NEW is followed by the word's group, a
+second tree over its first two bytes (the commonest pairs, else OTHER).  A word of a class then
+costs the logarithm of the number of the class's words in the group, a REPEAT that of the word's
+share of the text's rarer tokens; a new word the spelling of its bytes after the group (see
+``spelling``), which is mixed bit by bit too.
+
+Decisions.  Five bit predictors give log-odds for a node of the trees: its counts over the
+corpus; under the last of the GUIDES commonest words (which tells language and register); under
+the symbol before (for a group: its class); under a hash of symbol before and guide; and its
+counts in the text so far, which adapt to the text.  They are mixed by the weights of a gate
+(depth in the tree, how often the hashed context and the node in the text were seen), and an
+adaptive map by guide refines the result.
+
+Learning takes all training documents in one online pass: each part is predicted with what the
+task has counted so far, weights and map are moved, and then the part is counted.  Tasks' counts
+are added up, their weights averaged.  A word's class is that of its count in the other
+documents, so that words of one document are NEW (the Good-Turing estimate).  Spelling learns
+from all words of one training occurrence.  Scoring leaves weights as learned, so a score depends
+neither on the order of documents nor on how they are dealt; what adapts in a text are its own
+counts.
+
+What is gathered grows with the corpus in the words and their counts, which are a partitioned
+table.  Decision tables have a fixed size by construction: their contexts are symbols of the trees,
+of which there are about FREQUENT + 160 whatever the corpus (HASH_BITS slots for the pairs).
 
 Flow: tasks cut their documents into chunks of about CHUNK bytes and write the chunk's distinct
-words and, as one row, its token numbers; words are counted over all chunks and scored; a
-chunk's words get count and cost back and are met with the chunk's token numbers.
+words and, as one row, its token numbers; words are counted over all chunks by one shuffle; a
+chunk's words get their counts back and are met with its token numbers, which gives the table that the two passes read.
 
 Defined results: a null text is empty, and an empty text is one end; no training documents:
-every token is unknown and is spelled by an empty model; repeated rows and ids are each
-scored; texts of any length are scored whole; other columns are ignored.
+every word is NEW and is spelled by an empty model; repeated rows and ids are each scored; texts
+of any length are scored whole, PART tokens at a time; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tactus.llm import spelling as S
 from tactus.llm import textops as T
-from tactus.llm.storage import staged
-
-CHUNK = 12 << 20
-#: Tokens whose probabilities are held at a time.
-HELD = 300_000
-#: log10 of the least probability that enters a token's mixture; a word below it adds the difference.
-LEAST = -290.0
-END = "\n"
-#: Bytes of context of each predictor, 0 for the whole word so far.
-ORDERS = [2, 3, 4, 6, 0]
-TABLE_BITS = [18, 20, 20, 20, 20]
-BASE = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
-GATES = 8 * 5 * 4
-VALUE = np.dtype([("local", "<i4"), ("class", "<i4"), ("n", "<i8"), ("c", "<i8"), ("cost", "<f8")])
-BUCKETS = 33
-BLOCK = 1 << 14
-LIMIT = 12.0
-CLASSES, BINS, SAMPLE = 8, 1024, 2000
-#: Passes of k-means over all training documents, and the unit their sums are rounded to, which makes these exact.
-ROUNDS, UNIT = 1, 1 << 20
-
-
-def bigrams(c: T.Chunk) -> np.ndarray:
-    """Unit vectors of the square roots of hashed byte-bigram counts, one a row; a few rows at a time."""
-    out = np.zeros((len(c.offs) - 1, BINS), np.float32)
-    at = 0
-    while at < len(out):
-        to = max(at + 1, int(np.searchsorted(c.offs, c.offs[at] + (1 << 19), "right")) - 1)
-        a, b = c.offs[at], c.offs[to]
-        low = T.LOWER[c.data[a:b]].astype(np.int32)
-        row = np.repeat(np.arange(to - at, dtype=np.int32), np.diff(c.offs[at : to + 1]))
-        bins = (low[:-1] * 37 + low[1:]) % BINS + row[1:] * BINS
-        out[at:to] = np.sqrt(np.bincount(bins[row[1:] == row[:-1]], minlength=(to - at) * BINS).reshape(-1, BINS))
-        at = to
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-
-def centres(docs: DataFrame) -> np.ndarray:
-    """Spherical k-means over all documents (text).  It starts from the centres of about SAMPLE of them,
-    dealt by hash of the id, with a farthest-first start."""
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in T.chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in bigrams(c)], pa.binary())], names=["v"])
-
-    part = min(1.0, SAMPLE / max(docs.count(), 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 40)) < int(part * (1 << 40))).select("text")
-    rows = sorted(r.v for r in sample.mapInArrow(vectors, "v binary").collect())
-    x = np.stack([np.frombuffer(r, np.float32) for r in rows]) if rows else np.zeros((1, BINS), np.float32)
-    own = [0]
-    near = x @ x[0]
-    while len(own) < CLASSES:
-        own.append(int(near.argmin()))
-        near = np.maximum(near, x @ x[own[-1]])
-    mid = x[own]
-    for _ in range(20):
-        of = (x @ mid.T).argmax(1)
-        sums = np.stack([x[of == k].sum(0) if (of == k).any() else mid[k] for k in range(CLASSES)])
-        mid = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    for _ in range(ROUNDS):
-        mid = refined(docs.select("text"), mid)
-    return mid
-
-
-def refined(docs: DataFrame, mid: np.ndarray) -> np.ndarray:
-    """Centres after one pass over all documents: each task sends its sums by class and bin, and the
-    driver gets CLASSES * BINS of them.  A class without documents keeps its centre."""
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES, BINS), np.int64)
-        for c in T.chunks(batches):
-            x = bigrams(c)
-            of = (x @ mid.T).argmax(1)
-            for k in np.unique(of):
-                total[k] += np.rint(x[of == k] * np.float32(UNIT)).astype(np.int64).sum(0)
-        flat = total.ravel()
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["at", "total"])
-
-    found = docs.mapInArrow(sums, "at int, total long").groupBy("at").agg(F.sum("total").alias("total")).collect()
-    total = np.zeros(CLASSES * BINS)
-    for r in found:
-        total[r["at"]] = r["total"]
-    total = total.reshape(CLASSES, BINS)
-    size = np.linalg.norm(total, axis=1, keepdims=True)
-    return np.where(size > 0, total / np.maximum(size, 1e-9), mid).astype(np.float32)
+from tactus.llm.storage import discard, staged
+
+CHUNK = 8 << 20
+#: Tokens whose decisions are held at a time.
+PART = 16_000
+FREQUENT, GUIDES = 2048, 256
+#: Least counts of the classes: 1 to 8, then by half more.
+EDGES = np.unique(np.concatenate([np.arange(1, 9), (8 * 1.5 ** np.arange(1, 90)).astype(np.int64)]))
+N_CLASSES = len(EDGES)
+#: Symbols: the commonest words, the classes, then these.
+END, REPEAT, NEW, START = (FREQUENT + N_CLASSES + k for k in range(4))
+SYMBOLS = START
+GROUPS = 64
+OTHER = GROUPS - 1
+NODES = SYMBOLS - 1 + GROUPS - 1
+HASH_BITS = [21, 22]
+BASE = np.cumsum([0, NODES, (GUIDES + 1) * NODES, 1 << HASH_BITS[0], 1 << HASH_BITS[1]])
+INPUTS, GATES, STEP = 6, 8 * 4 * 4, 32_768
+#: Chunks that a task of the learning passes takes, at least.
+CHUNKS_A_TASK = 16
+PRIOR = np.float32(0.3)
+LOGS = np.log(np.arange(1024, dtype=np.float32) + PRIOR)
+SURE = np.searchsorted([0.5, 4, 40], np.arange(1024)).astype(np.int64)
+
+
+def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code of each symbol: first (symbols + 1) into (nodes, bits) of its path from the root, node 0."""
+    heap = [(float(w), s) for s, w in enumerate(weights)]
+    heapq.heapify(heap)
+    up: dict[int, tuple[int, int]] = {}
+    new = len(weights)
+    while len(heap) > 1:
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        up[x], up[y] = (new, 0), (new, 1)
+        heapq.heappush(heap, (a + b, new))
+        new += 1
+    paths = []
+    for s in range(len(weights)):
+        path = []
+        while s in up:
+            s, bit = up[s]
+            path.append((new - 1 - s, bit))
+        paths.append(path[::-1])
+    first = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
+    nodes, bits = (np.array([x[i] for p in paths for x in p], t) for i, t in ((0, np.int32), (1, np.uint8)))
+    return first, nodes, bits
+
+
+def class_of(count: np.ndarray) -> np.ndarray:
+    """Symbol of a word outside the commonest by its count; NEW for 0."""
+    k = np.searchsorted(EDGES, count, "right")
+    return np.where(k > 0, FREQUENT + k - 1, NEW)
+
+
+class Code:
+    """The trees, by weights of symbols and groups, and log2 of the number of words of each class and group."""
+
+    def __init__(self, weights: np.ndarray, group_weights: np.ndarray, sizes: np.ndarray):
+        (self.first, a, x), (g, b, y) = huffman(weights), huffman(group_weights)
+        self.nodes, self.bits = np.concatenate([a, b + SYMBOLS - 1]).astype(np.int64), np.concatenate([x, y])
+        self.group_first = g + len(a)
+        self.size, self.group_size = np.diff(self.first), np.diff(self.group_first)
+        self.number = np.log2(np.maximum(sizes, 1))
 
 
 @dataclass
-class Words:
-    """Symbols of some words: byte, its word, preceding byte, and for each predictor a context hash."""
-
-    symbol: np.ndarray
-    word: np.ndarray
-    before: np.ndarray
-    context: list[np.ndarray]
-    size: np.ndarray
-
-
-def spell(words: pa.Array, kind: np.ndarray) -> Words:
-    """The coded bytes of words (strings) in texts of a class; END is its one byte, every other word is closed by a space."""
-    col = words.cast(pa.large_binary())
-    offs = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
-    raw = np.frombuffer(col.buffers()[2], np.uint8) if len(col) and offs[-1] > offs[0] else np.zeros(0, np.uint8)
-    size = np.diff(offs)
-    is_end = np.zeros(len(size), bool)
-    one = np.flatnonzero(size == 1)
-    is_end[one] = raw[offs[one]] == 10
-    total = size + ~is_end
-    start = np.concatenate([[0], np.cumsum(total)])
-    text = np.full(start[-1] + 16, 32, np.uint8)
-    word = np.repeat(np.arange(len(size)), total)
-    place = np.arange(start[-1]) - start[:-1][word]
-    inside = place < size[word]
-    text[np.flatnonzero(inside)] = raw[offs[0] : offs[-1]]
-    at = np.arange(start[-1])
-    last = [np.where(place >= k, text[np.maximum(at - k, 0)], 0).astype(np.uint64) for k in range(1, 7)]
-    packed, context = np.zeros(len(at), np.uint64), {}
-    for k in range(6):
-        packed = packed | (last[k] << np.uint64(8 * k))
-        context[k + 1] = T.mix(packed + np.uint64((k + 1) << 56))
-    own = (kind.astype(np.uint64) << np.uint64(48))[word]
-    context[0] = T.hash_runs(text, start[:-1][word], at)
-    return Words(text[: start[-1]], word, last[0].astype(np.int64), [T.mix(context[k] + own) for k in ORDERS], size)
-
-
-def slots(w: Words, bit: int) -> list[np.ndarray]:
-    """Table slots of a bit of every symbol, one array a predictor."""
-    node = ((1 << bit) | (w.symbol.astype(np.uint64) >> np.uint64(8 - bit))) * T._M1
-    return [(((c + node) * T._M2) >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(w.context, TABLE_BITS)]
-
-
-def count_tables(vocab: Iterator[tuple[pa.Array, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of bits 0 and 1 over distinct words, all tables end to end."""
-    zero, one = np.zeros(BASE[-1], np.float32), np.zeros(BASE[-1], np.float32)
-    for words, kind in vocab:
-        w = spell(words, kind)
-        for bit in range(8):
-            set_ = (w.symbol >> (7 - bit)) & 1 == 1
-            for j, s in enumerate(slots(w, bit)):
-                for into, part in ((zero, ~set_), (one, set_)):
-                    np.add.at(into[BASE[j] : BASE[j + 1]], s[part], np.float32(1))
-    return zero, one
-
-
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -LIMIT, LIMIT)))
+class Texts:
+    """The texts of a chunk: tokens as local word numbers (-1 for the end), text i being
+    first[i]:first[i + 1], with each local word's rank (FREQUENT + group if not of the commonest),
+    count and spelling cost in bits."""
+
+    local: np.ndarray
+    first: np.ndarray
+    rank: np.ndarray
+    count: np.ndarray
+    spelled: np.ndarray
+
+
+def symbols(t: Texts, a: int, b: int, code: Code, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol and group (-1 for none) of each token of texts a to b, and what its number or spelling
+    costs in bits.  left_out: words are counted without the text they are in."""
+    at = t.local[t.first[a] : t.first[b]]
+    first = t.first[a : b + 1] - t.first[a]
+    out, group = np.full(len(at), END, np.int64), np.full(len(at), -1, np.int64)
+    extra = np.zeros(len(at))
+    word = np.flatnonzero(at >= 0)
+    out[word] = t.rank[at[word]]
+    rare = word[out[word] >= FREQUENT]
+    if not len(rare):
+        return out, group, extra
+    w, own = at[rare], out[rare] - FREQUENT
+    rare_first = np.searchsorted(rare, first)
+    row = np.repeat(np.arange(b - a), np.diff(rare_first))
+    code_of = pd.factorize(row * (len(t.rank) + 1) + w)[0]
+    before = pd.Series(code_of).groupby(code_of, sort=False).cumcount().to_numpy()
+    count = t.count[w]
+    if left_out:
+        count = count - np.bincount(code_of)[code_of]
+    symbol = class_of(count)
+    new = symbol == NEW
+    cost = code.number[np.where(new, 0, symbol - FREQUENT), own]
+    cost[new] = t.spelled[w[new]]
+    seen = before > 0
+    place = np.arange(len(rare)) - rare_first[row]
+    symbol[seen] = REPEAT
+    own[seen] = -1
+    cost[seen] = np.log2(place[seen] / before[seen])
+    out[rare], group[rare], extra[rare] = symbol, own, cost
+    return out, group, extra
+
+
+@dataclass
+class Part:
+    """Decisions of some tokens: its token and text, node, bit, for each predictor the table slot,
+    guide, gate by depth, and counts of 0 and 1 at the node in the text so far."""
+
+    token: np.ndarray
+    text: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+    slots: list[np.ndarray]
+    guide: np.ndarray
+    depth: np.ndarray
+    own: list[np.ndarray]
+
+
+def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Code) -> Iterator[Part]:
+    """The decisions of texts' tokens (text i is symbol[first[i]:first[i + 1]]), PART tokens or less at a time."""
+    n = len(symbol)
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    prev = np.concatenate([[START], symbol[:-1]])[:n]
+    prev[first[:-1][np.diff(first) > 0]] = START
+    at = np.maximum.accumulate(np.where(symbol < GUIDES, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+    at = np.concatenate([[-1], at[:-1]])[:n]
+    guide = np.where(at >= first[:-1][row], symbol[np.maximum(at, 0)], GUIDES) if n else at
+    both = T.mix((prev * (GUIDES + 1) + guide).astype(np.uint64) + T._M2)
+    alone, within = (T.mix(x.astype(np.uint64) + T._M1) for x in (prev, symbol + SYMBOLS + 1))
+    carried = None
+    for a in range(0, n, PART):
+        b = min(n, a + PART)
+        main = code.size[symbol[a:b]]
+        length = main + np.where(group[a:b] >= 0, code.group_size[group[a:b]], 0)
+        ends = np.cumsum(length)
+        token = np.repeat(np.arange(b - a), length)
+        depth = np.arange(ends[-1]) - (ends - length)[token]
+        grouped = depth >= main[token]
+        where = (code.first[symbol[a:b]])[token] + depth
+        inside = np.flatnonzero(grouped)
+        where[inside] = (code.group_first[group[a:b]] - main)[token[inside]] + depth[inside]
+        node, bit = code.nodes[where], code.bits[where]
+        step = (node + 1).astype(np.uint64) * T._M1
+        here = guide[a:b][token]
+        slots = [node, BASE[1] + here * NODES + node]
+        context = alone[a:b][token]
+        context[inside] = within[a:b][token[inside]]
+        for j, h in enumerate((context, both[a:b][token])):
+            slots.append(BASE[2 + j] + (((h + step) * T._M2) >> np.uint64(64 - HASH_BITS[j])).astype(np.int64))
+        text = row[a:b][token]
+        groups = pd.Series(bit.astype(np.int64)).groupby((text - row[a]) * NODES + node, sort=False)
+        ones = groups.cumsum().to_numpy() - bit
+        own = [groups.cumcount().to_numpy() - ones, ones]
+        if carried is not None and carried[0] == row[a]:  # a text that began in the part before
+            same = np.flatnonzero(text == row[a])
+            for k in range(2):
+                own[k][same] += carried[1][k][node[same]]
+        if b < n and row[b] == row[b - 1]:
+            last = np.flatnonzero(text == row[b])
+            past = carried[1] if carried is not None and carried[0] == row[b] else np.zeros((2, NODES), np.int64)
+            carried = row[b], past + np.stack([np.bincount(node[last], bit[last] == k, NODES).astype(np.int64) for k in range(2)])
+        own = [np.minimum(x, len(LOGS) - 1) for x in own]
+        yield Part(token + a, text, node, bit, slots, here, np.where(grouped, 6 + (depth > main[token]), np.minimum(depth, 5)), own)
+
+
+def _gate(depth: np.ndarray, sure: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
+    return (depth * 4 + sure) * 4 + SURE[np.minimum(own[0] + own[1], len(SURE) - 1)]
 
 
 @dataclass
 class Model:
-    """Bit counts, the mixer's weights (gate, predictor and bias) and the adaptive map (byte, bucket)."""
+    """Counts of decisions (slots, 2), the mixer's weights and the adaptive map (guide, bucket)."""
 
-    zero: np.ndarray
-    one: np.ndarray
+    counts: np.ndarray
     weights: np.ndarray
-    apm: np.ndarray
+    map: np.ndarray
 
     def __post_init__(self) -> None:
-        self.odds = np.log((self.one + 0.02) / (self.zero + 0.02)).astype(np.float32)
+        self.odds = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR))
+        self.sure = SURE[np.minimum(self.counts[BASE[3] :].sum(1), len(SURE) - 1).astype(np.int64)].astype(np.uint8)
 
     def __getstate__(self) -> tuple:
-        """Travels with its counts compressed."""
-        return _squeeze(self.zero), _squeeze(self.one), self.weights, self.apm
+        return S._squeeze(self.counts), self.weights, self.map
 
     def __setstate__(self, state: tuple) -> None:
-        self.zero, self.one = (_widen(x, int(BASE[-1])) for x in state[:2])
-        self.weights, self.apm = state[2:]
+        self.counts, self.weights, self.map = S._widen(state[0]), *state[1:]
         self.__post_init__()
+        del self.counts
 
-    def inputs(self, w: Words, bit: int, left_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each predictor and the gate.  left_out: as if the word itself were not counted."""
-        set_ = (w.symbol >> (7 - bit)) & 1 == 1
-        x = np.empty((len(ORDERS) + 1, len(w.symbol)), np.float32)
-        seen = []
-        for j, s in enumerate(slots(w, bit)):
-            s += BASE[j]
-            if left_out:
-                n0, n1 = np.maximum(self.zero[s] - ~set_, 0), np.maximum(self.one[s] - set_, 0)
-                x[j] = np.log((n1 + np.float32(0.02)) / (n0 + np.float32(0.02)))
-                seen.append(n0 + n1)
-            else:
-                x[j] = self.odds[s]
-                seen.append(self.zero[s] + self.one[s] if j >= len(ORDERS) - 2 else None)
-        x[-1] = 0.3
-        long, mid = np.searchsorted([0.5, 3, 30, 1000], seen[-1]), np.searchsorted([0.5, 5, 100], seen[-2])
-        return x, (bit * 5 + long) * 4 + mid
-
-    def refine(self, p: np.ndarray, x: np.ndarray, before: np.ndarray) -> np.ndarray:
-        low, part = bucket(x)
-        mapped = self.apm[before, low] * (1 - part) + self.apm[before, low + 1] * part
-        return np.clip((p + mapped) / 2, 1e-6, 1 - 1e-6)
-
-    def log10(self, words: pa.Array, kind: np.ndarray) -> np.ndarray:
-        """log10 probability of each word in its class."""
-        w = spell(words, kind)
-        total = np.zeros(len(w.symbol))
-        for bit in range(8):
-            x, gate = self.inputs(w, bit)
-            mixed = np.einsum("ij,ji->j", x, self.weights[gate])
-            p = self.refine(squash(mixed), mixed, w.before)
-            total += np.log10(np.where((w.symbol >> (7 - bit)) & 1 == 1, p, 1 - p))
-        return np.bincount(w.word, total, len(words))
-
-
-def bucket(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bucket of a log-odds and how far it lies towards the next."""
-    at = (np.clip(x, -LIMIT, LIMIT - 1e-3) + LIMIT) * (BUCKETS - 1) / (2 * LIMIT)
-    low = at.astype(np.int64)
-    return low, at - low
-
-
-def online(model: Model, vocab: Iterator[tuple[pa.Array, np.ndarray]], batch: int = 1024, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """One pass over words: weights, the map's sums of set bits and of all, and the number of words."""
-    weights = model.weights.copy()
-    hits, tries = np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
-    speed = np.full((GATES, 1), 1e-8)
-    seen = step = 0
-    for words, kind in vocab:
-        for a in range(0, len(words), batch):
-            w = spell(words.slice(a, batch), kind[a : a + batch])
-            step += 1
-            for bit in range(8):
-                x, gate = model.inputs(w, bit, True)
-                mixed = np.einsum("ij,ji->j", x, weights[gate])
-                set_ = ((w.symbol >> (7 - bit)) & 1).astype(float)
-                miss = set_ - squash(mixed)
-                per = np.bincount(gate, minlength=GATES)[:, None]
-                slope = np.stack([np.bincount(gate, miss * x[j], GATES) for j in range(len(x))], 1) / np.maximum(per, 1)
-                speed = np.where(per > 0, 0.95 * speed + 0.05 * (slope**2).mean(1, keepdims=True), speed)
-                weights += rate * (per / (20 + per)) * slope / (np.sqrt(speed) + 1e-3) / np.sqrt(1 + step / 100)
-                if step > 20:
-                    low, part = bucket(mixed)
-                    for at, s in ((low, 1 - part), (low + 1, part)):
-                        hits += np.bincount(w.before * BUCKETS + at, s * set_, 256 * BUCKETS)
-                        tries += np.bincount(w.before * BUCKETS + at, s, 256 * BUCKETS)
-        seen += len(words)
-    return weights, hits.reshape(256, BUCKETS), tries.reshape(256, BUCKETS), seen
-
-
-def apm_from(hits: np.ndarray, tries: np.ndarray) -> np.ndarray:
-    middle = squash(np.arange(BUCKETS) * 2 * LIMIT / (BUCKETS - 1) - LIMIT)
-    return (hits + 20 * middle) / (tries + 20)
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    for rows in batches:
-        for a in range(0, rows.num_rows, 32768):
-            yield rows.column(0).slice(a, 32768), rows.column(1).slice(a, 32768).to_numpy(zero_copy_only=False)
-
-
-def _squeeze(counts: np.ndarray) -> bytes:
-    """Counts, mostly 0, as compressed bytes."""
-    return pa.compress(counts.astype("<u4").tobytes(), "zstd", asbytes=True)
-
-
-def _widen(raw: bytes, n: int = BLOCK) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), "<u4").astype(np.float32)
-
-
-def fit(vocab: DataFrame) -> Model:
-    """Learn from the distinct training words of each class (word, class)."""
-    spark = vocab.sparkSession
-
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zero, one = count_tables(_parts(batches))
-        for a in range(0, BASE[-1], BLOCK):
-            if zero[a : a + BLOCK].any() or one[a : a + BLOCK].any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([a // BLOCK]), "zero": pa.array([_squeeze(zero[a : a + BLOCK])], pa.binary()), "one": pa.array([_squeeze(one[a : a + BLOCK])], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = {c: sum((_widen(x.as_py()) for x in table[c]), np.float32(0)) for c in ("zero", "one")}
-        return pa.table({"block": pa.array([table["block"][0].as_py()])} | {c: pa.array([_squeeze(x)], pa.binary()) for c, x in total.items()})
-
-    kind = "block long, zero binary, one binary"
-    zero, one = np.zeros(BASE[-1], np.float32), np.zeros(BASE[-1], np.float32)
-    for r in vocab.mapInArrow(tables, kind).groupBy("block").applyInArrow(add, kind).collect():
-        a = r.block * BLOCK
-        got = _widen(r.zero)
-        zero[a : a + len(got)], one[a : a + len(got)] = got, _widen(r.one)
-    first = Model(zero, one, np.full((GATES, len(ORDERS) + 1), 0.3, np.float32), apm_from(np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))))
-    shared = spark.sparkContext.broadcast(first)
+    def bits(self, p: Part) -> np.ndarray:
+        """Cost of each decision in bits."""
+        x = np.empty((INPUTS, len(p.bit)), np.float32)
+        for j, s in enumerate(p.slots):
+            self.odds.take(s, out=x[j])
+        x[4] = LOGS[p.own[1]] - LOGS[p.own[0]]
+        x[5] = 0.3
+        mixed = S.mix(x, self.weights, _gate(p.depth, self.sure[p.slots[3] - BASE[3]], p.own))
+        q = S.refine(self.map, S.squash(mixed), mixed, p.guide)
+        return -np.log2(np.where(p.bit > 0, q, 1 - q))
+
+
+def text_bits(model: Model, code: Code, t: Texts, a: int, b: int) -> np.ndarray:
+    """Total bits of texts a to b."""
+    symbol, group, extra = symbols(t, a, b, code, False)
+    first = t.first[a : b + 1] - t.first[a]
+    total = T.segment_sum(extra, first)
+    for p in decisions(symbol, group, first, code):
+        total += np.bincount(p.text, model.bits(p), len(total))
+    return total
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, hits, tries, seen = online(shared.value, _parts(batches))
-        if seen:
-            yield pa.RecordBatch.from_pydict({"seen": pa.array([float(seen)]), "weights": pa.array([w.astype("<f8").tobytes()], pa.binary()), "hits": pa.array([hits.tobytes()], pa.binary()), "tries": pa.array([tries.tobytes()], pa.binary())})
 
-    found = vocab.mapInArrow(learn, "seen double, weights binary, hits binary, tries binary").collect()
-    shared.destroy()
-    if not found:
-        return first
-    seen = sum(r.seen for r in found)
-    weights = sum(np.frombuffer(r.weights) * (r.seen / seen) for r in found).reshape(GATES, -1)
-    hits, tries = (sum(np.frombuffer(r[c]) for r in found).reshape(256, BUCKETS) for c in ("hits", "tries"))
-    return Model(zero, one, weights.astype(np.float32), apm_from(hits, tries))
+def groups_of(t: Texts, rows: np.ndarray) -> Iterator[tuple[Texts, int, int]]:
+    """The texts ``rows`` (boolean) alone, in runs a to b of about PART tokens."""
+    if not rows.all():
+        n = np.diff(t.first)
+        t = Texts(t.local[np.repeat(rows, n)], np.concatenate([[0], np.cumsum(n[rows])]), t.rank, t.count, t.spelled)
+    a = 0
+    while a < len(t.first) - 1:
+        b = max(a + 1, int(np.searchsorted(t.first, t.first[a] + PART, "right")) - 1)
+        yield t, a, b
+        a = b
+
+
+_CHUNKS = "chunk long, word string, local int, n_train long, doc_ids array<long>, held array<boolean>, n_bytes array<long>, n_tokens array<long>, tokens binary"
+_CHUNK_TYPES = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -351,39 +301,20 @@ def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offs), pa.py_buffer(data[at])).cast(pa.string())
 
 
-def mix_tokens(share: np.ndarray, trained: np.ndarray, spelled: np.ndarray, first: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """log10 probability of each text from its tokens' three probabilities.  start: initial weights.
-    All texts advance together, token by token."""
-    n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    at, n = first[:-1][order], n[order]
-    p = np.stack([share, trained, spelled], 1)
-    weights = np.tile(start, (len(n), 3, 1))
-    gate = np.ones(len(n), np.int64)
-    total = np.zeros(len(n))
-    tries = np.full((len(n), 3), 25.0)
-    alive = np.searchsorted(-n, -np.arange(n[0] if len(n) else 0), "left")
-    rows = np.arange(len(n))
-    for t, k in enumerate(alive):
-        r, g = rows[:k], gate[:k]
-        w = weights[r, g]
-        part = w * p[at[:k] + t]
-        sum_ = part.sum(1, keepdims=True)
-        total[:k] += np.log10(sum_[:, 0])
-        part /= sum_
-        tries[r, g] += 1
-        weights[r, g] = w + (part - w) / tries[r, g][:, None]
-        gate[:k] = part.argmax(1)
-    out = np.empty(len(n))
-    out[order] = total
-    return out
-
-
-_CHUNKS = "chunk long, word string, class int, local int, n_train long, doc_ids array<long>, held array<boolean>, classes array<int>, n_bytes array<long>, n_tokens array<long>, tokens binary"
-
-
-def chunked(docs: DataFrame, mid: np.ndarray) -> DataFrame:
-    """(doc_id, text, held_out) as chunks: a row for each distinct word of a class, and one with the documents' token numbers."""
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as compressed byte planes."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, held_out) as chunks: a row for each distinct word, and one with the documents' token numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -392,132 +323,196 @@ def chunked(docs: DataFrame, mid: np.ndarray) -> DataFrame:
         for c in T.chunks(batches, "text", CHUNK):
             w = T.words(c.data, c.offs, T.NONSPACE)
             held = c.rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            of = (bigrams(c) @ mid.T).argmax(1)
-            row_of = w.row_of()
-            key = T.mix(w.hash + of[row_of].astype(np.uint64))
-            h, first, local = T.distinct(key)
-            n = np.bincount(local, ~held[row_of], len(h)).astype(np.int64)
+            h, first, local = T.distinct(w.hash)
+            n = np.bincount(local, ~held[w.row_of()], len(h)).astype(np.int64)
             rows = len(h)
-            none = [pa.nulls(rows, t) for t in (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, chunk)), _gather(w.data, w.start[first], w.end[first]), pa.array(of[row_of[first]].astype(np.int32)), pa.array(np.arange(rows, dtype=np.int32)), pa.array(n), *none], names=NAMES)
-            packed = pa.compress(np.ascontiguousarray(local.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True) if rows else b""
-            one = [[chunk], [None], [None], [None], [None], [c.rows.column(0).to_pylist()], [held.tolist()], [of.tolist()], [np.diff(c.offs).tolist()], [w.counts().tolist()], [packed]]
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, kinds)], names=NAMES)
+            own = [pa.array(np.full(rows, chunk)), _gather(w.data, w.start[first], w.end[first]), pa.array(np.arange(rows, dtype=np.int32)), pa.array(n)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(rows, t) for t in _CHUNK_TYPES[4:])], names=_names(_CHUNKS))
+            one = [[chunk], [None], [None], [None], [c.rows.column(0).to_pylist()], [held.tolist()], [np.diff(c.offs).tolist()], [w.counts().tolist()], [_planes(local)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, _CHUNK_TYPES)], names=_names(_CHUNKS))
             chunk += 1
 
     return docs.mapInArrow(run, _CHUNKS)
 
 
-NAMES = [x.split()[0] for x in _CHUNKS.split(", ")]
-RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+_VALUE = np.dtype([("local", "<i4"), ("rank", "<i4"), ("c", "<i8"), ("spelled", "<f4")])
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Learn from the documents where ``held_out`` is false and score all: doc_id, held_out, n_tokens,
-    n_known, train_tokens, base_score, score, bits_per_byte."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    spark = docs.sparkSession
-    chunks = staged(chunked(own, centres(own.where("not held_out"))), "lm-chunks")
-    words, docs_of = chunks.where("word is not null"), chunks.where("word is null")
-    each = [F.sum(F.when(F.col("class") == k, F.col("n_train"))).alias(f"n{k}") for k in range(CLASSES)]
-    counts = words.groupBy("word").agg(F.sum("n_train").alias("c"), *each)
-    held = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("class"), F.col(f"n{k}").alias("n")) for k in range(CLASSES)]), lambda x: x["n"].isNotNull()))
-    vocab = staged(counts.select("word", "c", held.alias("h")).select("word", "h.class", "h.n", "c"), "lm-vocabulary")
-    known = vocab.where("n > 0")
-    ends_of = dict.fromkeys(range(CLASSES), 0)
-    for r in docs_of.select(F.explode(F.arrays_zip("held", "classes")).alias("d")).where("not d.held").groupBy("d.classes").count().collect():
-        ends_of[r.classes] = r["count"]
-    tokens_of = dict(ends_of)
-    once = 0
-    for r in known.groupBy("class").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once")).collect():
-        tokens_of[r["class"]] += r["n"]
-        once += r.once
-    ends, tokens = sum(ends_of.values()), sum(tokens_of.values())
-    distinct = known.select("word").distinct().count() + (ends > 0)
-    end_rows = spark.createDataFrame([(END, k, n) for k, n in ends_of.items()], "word string, class int, n long")
-    model = fit(known.select("word", "class", "n").unionByName(end_rows).where("n > 0").select("word", "class"))
-    new = (once + 1) / (tokens + 2)
-    start = np.array([0.3, 0.7 * (1 - new), 0.7 * new])
-    shared = spark.sparkContext.broadcast(model)
-    end_cost = model.log10(pa.array([END] * CLASSES), np.arange(CLASSES))
-    class_size = np.array([max(tokens_of[k], 1) for k in range(CLASSES)])
-    class_ends = np.array([ends_of[k] for k in range(CLASSES)])
-
-    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for a in range(0, rows.num_rows, 8192):
-                part = rows.slice(a, 8192)
-                price = shared.value.log10(part.column(0), part.column(1).to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(price)], names=["word", "class", "n", "c", "cost"])
-
-    priced = vocab.mapInArrow(cost, "word string, class int, n long, c long, cost double")
-    values = words.select("chunk", "word", "class", "local").join(priced.hint("shuffle_hash"), ["word", "class"]).select("chunk", "local", "class", "n", "c", "cost")
-
-    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of a chunk met by a task as one row of little-endian arrays, half a million rows at a time."""
-        held, size = [], 0
+def _bundle(shared):
+    """The rows (chunk, local, rank, c, word) of a task as one row a chunk of packed values, half a
+    million rows at a time; words of no training occurrence (only those are given) are spelled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            cols = [np.concatenate([b.column(j).to_numpy(zero_copy_only=False) for b in held]) for j in range(6)]
-            order = np.argsort(cols[0], kind="stable")
-            chunk = cols[0][order]
+            chunk, packed = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(chunk, kind="stable")
+            chunk, packed = chunk[order], packed[order]
             cuts = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
-            packed = np.zeros(len(order), VALUE)
-            for name, x in zip(VALUE.names, cols[1:]):
-                packed[name] = x[order]
             return pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]]), pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["of_chunk", "packed"])
 
         for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.num_rows
+            if not b.num_rows:
+                continue
+            packed = np.zeros(b.num_rows, _VALUE)
+            for j, name in enumerate(("local", "rank", "c")):
+                packed[name] = b.column(j + 1).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(packed["c"] == 0)
+            for a in range(0, len(new), 8192):
+                at = new[a : a + 8192]
+                skip = np.where(packed["rank"][at] == FREQUENT + OTHER, 0, 2)
+                packed["spelled"][at] = shared.value.log10(b.column(4).take(pa.array(at)), skip) / -np.log10(2)
+            held.append((b.column(0).to_numpy(), packed))
+            size += b.num_rows
             if size >= 500_000:
                 yield flush()
-                held, size = [], 0
+                held.clear()
+                size = 0
         if held:
             yield flush()
 
-    values = values.mapInArrow(bundle, "of_chunk long, packed binary")
+    return run
+
+
+_TEXTS = "doc_ids array<long>, held array<boolean>, n_bytes array<long>, n_tokens array<long>, n_known array<long>, base array<double>, tokens binary, values binary, n_words long"
+_TEXT_TYPES = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.int64()]
+
+
+def _assemble(tokens: int, distinct: int, ends: int):
+    """A chunk's token numbers met with its words' values; base scores are made here."""
     base = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
-    def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = np.frombuffer(b"".join(right["packed"].to_pylist()), VALUE)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = np.frombuffer(b"".join(right["packed"].to_pylist()), _VALUE)
         got = got[np.argsort(got["local"])]
-        c, price = got["c"], got["cost"]
-        based = base(c)
-        out: list[list] = [[] for _ in RESULT.split(", ")]
-        # the ends of each class are the last token numbers
-        trained = np.append(got["n"] / class_size[got["class"]], class_ends / class_size)
-        cost = np.append(price, end_cost)
-        beyond = np.minimum(cost - LEAST, 0)  # of words too long for a double
-        spelled = 10.0 ** np.maximum(cost, LEAST)
+        based, known = base(got["c"]), (got["c"] > 0).astype(np.int64)
+        out: list[list] = [[] for _ in _TEXT_TYPES]
         for r in left.to_pylist():
             n = np.array(r["n_tokens"], np.int64)
             first = np.concatenate([[0], np.cumsum(n)])
-            raw = pa.decompress(r["tokens"], int(first[-1]) * 4, "zstd", asbytes=True) if first[-1] else b""
-            at = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-            kind = np.array(r["classes"], np.int64)
-            s = np.empty(len(n))
-            longest = np.argsort(-n, kind="stable")
-            parts = np.searchsorted(np.cumsum(n[longest] + 1), np.arange(0, len(at) + len(n), HELD)) if len(n) else []
-            for mine in np.split(longest, np.unique(parts)[1:]) if len(n) else []:
-                ends_at = np.concatenate([[0], np.cumsum(n[mine] + 1)])
-                place = np.arange(ends_at[-1]) - np.repeat(ends_at[:-1], n[mine] + 1)
-                every = np.repeat(first[mine], n[mine] + 1) + place
-                last = ends_at[1:] - 1
-                every[last] = 0
-                every = at[every] if len(at) else every
-                every[last] = len(c) + kind[mine]
-                share = T.occurrence(every.astype(np.uint64), ends_at) / np.maximum(place, 1)
-                alone = np.where((share == 0) & (trained[every] == 0), beyond[every], 0.0)
-                s[mine] = mix_tokens(share, trained[every], spelled[every], ends_at, start) + T.segment_sum(alone, ends_at) - np.log10(CLASSES)
-            size = np.array(r["n_bytes"], float)
-            cols = [r["doc_ids"], r["held"], n + 1, T.segment_sum((c[at] > 0).astype(np.int64), first) + (ends > 0), np.full(len(n), tokens), T.segment_sum(based[at], first) + base(ends), s, -s / np.log10(2) / np.maximum(size, 1)]
-            for o, x in zip(out, cols):
-                o.extend(x)
-        kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
-        return pa.table([pa.array(o, t) for o, t in zip(out, kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
-
-    left = docs_of.select("chunk", "doc_ids", "held", "classes", "n_bytes", "n_tokens", "tokens").groupBy("chunk")
-    return left.cogroup(values.groupBy("of_chunk")).applyInArrow(total, RESULT)
+            at = _numbers(r["tokens"], int(first[-1]))
+            values = pa.compress(b"".join(np.ascontiguousarray(got[x]).tobytes() for x in ("rank", "c", "spelled")), "zstd", asbytes=True)
+            row = [r["doc_ids"], r["held"], r["n_bytes"], n, T.segment_sum(known[at], first) + (ends > 0), T.segment_sum(based[at], first) + base(ends), r["tokens"], values, len(got)]
+            for o, x in zip(out, row):
+                o.append(x)
+        return pa.table([pa.array(o, t) for o, t in zip(out, _TEXT_TYPES)], names=_names(_TEXTS))
+
+    return run
+
+
+def texts_of(r: dict) -> Texts:
+    """A row of _TEXTS as texts, with the end after each one's words."""
+    k = r["n_words"]
+    values = pa.decompress(r["values"], 16 * k, "zstd", asbytes=True) if k else b""
+    rank, count, spelled = np.frombuffer(values, "<i4", k), np.frombuffer(values, "<i8", k, 4 * k), np.frombuffer(values, "<f4", k, 12 * k)
+    n = np.array(r["n_tokens"], np.int64)
+    local = np.insert(_numbers(r["tokens"], int(n.sum())), np.cumsum(n), -1)
+    return Texts(local, np.concatenate([[0], np.cumsum(n + 1)]), rank.astype(np.int64), count, spelled.astype(float))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def learn_texts(rows: Iterator[dict], code: Code) -> tuple[np.ndarray, S.Learner]:
+    """One online pass over training texts: counts of all decisions, weights and map."""
+    counts = np.zeros((BASE[-1], 2), np.float32)
+    flat, pairs = counts.ravel(), counts.view(np.uint64).ravel()
+    learner = S.Learner(GATES, INPUTS, GUIDES + 1)
+    for r in rows:
+        whole = texts_of(r)
+        for t, a, b in groups_of(whole, ~np.array(r["held"], bool)):
+            symbol, group, _ = symbols(t, a, b, code, True)
+            for p in decisions(symbol, group, t.first[a : b + 1] - t.first[a], code):
+                for k in range(0, len(p.bit), STEP):
+                    some = slice(k, k + STEP)
+                    own = [x[some] for x in p.own]
+                    x = np.empty((INPUTS, len(own[0])), np.float32)
+                    for j, s in enumerate(p.slots):
+                        n = pairs.take(s[some]).view(np.float32).reshape(-1, 2)
+                        x[j] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
+                    x[4] = LOGS[own[1]] - LOGS[own[0]]
+                    x[5] = 0.3
+                    sure = SURE[np.minimum(n[:, 0] + n[:, 1], len(SURE) - 1).astype(np.int64)]
+                    learner.step(x, _gate(p.depth[some], sure, own), p.bit[some].astype(np.float32), p.guide[some])
+                learner.seen += len(p.bit)
+                for s in p.slots:
+                    np.add.at(flat, s * 2 + p.bit, np.float32(1))
+    return counts, learner
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Learn from the documents where ``held_out`` is false and score all: doc_id, held_out, n_tokens,
+    n_known, train_tokens, base_score, score (log10 probability), bits_per_byte."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    spark = docs.sparkSession
+    chunks = staged(chunked(own), "lm-chunks")
+    docs_of = chunks.where("word is null").select("chunk", "doc_ids", "held", "n_bytes", "n_tokens", "tokens")
+    of_word = Window.partitionBy("word")
+    counted = chunks.where("word is not null").select("word", "chunk", "local", F.sum("n_train").over(of_word).alias("c"), (F.min("chunk").over(of_word) == F.col("chunk")).alias("first"))
+    counted = staged(counted, "lm-words")
+    known = counted.where("first and c > 0")
+    top = known.select("word", "c").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+    ranks = F.broadcast(spark.createDataFrame([(r.word, k) for k, r in enumerate(top)], "word string, rank int"))
+    edge_of = lambda c: sum(((c >= int(e)).cast("int") for e in EDGES[1:]), (c >= 1).cast("int"))
+    pair = F.hex(F.substring(F.encode("word", "UTF-8"), 1, 2)).alias("pair")
+    rare = known.join(ranks, "word", "left_anti").select("c", pair)
+    pairs = rare.groupBy("pair").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "pair").limit(GROUPS - 1).collect()
+    group_ids = F.broadcast(spark.createDataFrame([(r.pair, k) for k, r in enumerate(pairs)], "pair string, g int"))
+    group = F.coalesce("g", F.lit(OTHER))
+    stats = rare.join(group_ids, "pair", "left").groupBy(group.alias("g"), edge_of(F.col("c")).alias("k"), edge_of(F.col("c") - 1).alias("k_out")).agg(F.count(F.lit(1)).alias("words"), F.sum("c").alias("tokens")).collect()
+    ends = docs_of.select(F.explode("held").alias("held")).where("not held").count()
+    once = sum(r.words for r in stats if r.k_out == 0)
+    tokens = sum(r.c for r in top) + sum(r.tokens for r in stats) + ends
+    distinct = len(top) + sum(r.words for r in stats) + (ends > 0)
+    weights, group_weights, sizes = np.ones(SYMBOLS), np.ones(GROUPS), np.zeros((N_CLASSES, GROUPS))
+    weights[: len(top)] += [r.c for r in top]
+    weights[END] += ends
+    for r in stats:
+        weights[FREQUENT + r.k_out - 1 if r.k_out else NEW] += 0.9 * r.tokens
+        weights[REPEAT] += 0.1 * r.tokens
+        group_weights[r.g] += r.tokens
+        sizes[r.k - 1, r.g] += r.words
+    code = Code(weights, group_weights, sizes)
+
+    speller = spark.sparkContext.broadcast(S.fit(known.where("c = 1").select("word"), once))
+    ranked = counted.withColumn("pair", pair).join(ranks, "word", "left").join(group_ids, "pair", "left")
+    ranked = ranked.select("chunk", "local", F.coalesce("rank", F.lit(FREQUENT) + group).alias("rank"), "c", F.when(F.col("c") == 0, F.col("word")).alias("word"))
+    values = ranked.mapInArrow(_bundle(speller), "of_chunk long, packed binary")
+    texts = staged(docs_of.groupBy("chunk").cogroup(values.groupBy("of_chunk")).applyInArrow(_assemble(tokens, distinct, ends), _TEXTS), "lm-texts")
+    speller.destroy()
+    discard(chunks)
+    discard(counted)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, learner = learn_texts(rows_of(batches), code)
+        if learner.seen:
+            yield from S.table_rows(counts)
+            yield from S.vector_rows(learner.vector())
+
+    tasks = max(spark.sparkContext.defaultParallelism, texts.count() // CHUNKS_A_TASK)
+    found = staged(texts.coalesce(tasks).mapInArrow(learn, S.FOUND), "lm-learned")
+    counts = S.summed(found, int(BASE[-1]))
+    weights, map_ = S.learned(found, GATES, INPUTS, GUIDES + 1)
+    shared = spark.sparkContext.broadcast(Model(counts, weights, map_))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in rows_of(batches):
+            t = texts_of(r)
+            n = len(r["held"])
+            total = np.zeros(n)
+            for t, a, b in groups_of(t, np.ones(n, bool)):
+                total[a:b] = text_bits(shared.value, code, t, a, b)
+            size = np.maximum(np.array(r["n_bytes"], float), 1)
+            cols = [r["doc_ids"], r["held"], np.array(r["n_tokens"]) + 1, r["n_known"], np.full(n, tokens), r["base"], total * -np.log10(2), total / size]
+            kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=_names(RESULT))
+
+    return texts.mapInArrow(run, RESULT)

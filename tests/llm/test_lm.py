@@ -1,6 +1,7 @@
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tactus.llm import lm
+from tactus.llm import spelling as S
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -32,37 +34,133 @@ def test_base_and_gain(docs):
         w = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3] and r.base_score == pytest.approx(w[3])
         assert r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
-    out = [r for r in rows if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / max(len((texts[r.doc_id] or "").encode()), 1))
+    train = [r for r in rows if not r.held_out]
+    assert sum(r.score for r in train) > sum(r.base_score for r in train)
+
+
+def learned_spelling(words):
+    counts, learner = S.learn_words(iter([words] * 50), S.table_bits(len(words)))
+    return S.Model(counts, S.table_bits(len(words)), learner.weights.astype(np.float32), S.map_from(learner.hits.reshape(256, -1), learner.tries.reshape(256, -1)))
 
 
 def test_spelling_is_a_distribution():
-    """Over all words of up to two of three letters plus all that begin otherwise, probabilities add up to at most 1."""
-    words = pa.array(["ab", "ba", "abc", "c", "b"])
-    zero, one = lm.count_tables(iter([(words, np.zeros(5, int))]))
-    first = lm.Model(zero, one, np.full((lm.GATES, len(lm.ORDERS) + 1), 0.3, np.float32), lm.apm_from(np.zeros((256, lm.BUCKETS)), np.zeros((256, lm.BUCKETS))))
-    weights, hits, tries, seen = lm.online(first, iter([(words, np.zeros(5, int))] * 50))
-    model = lm.Model(zero, one, weights.astype(np.float32), lm.apm_from(hits, tries))
-    each = [chr(i) for i in range(1, 128) if chr(i).strip() and i > 32]
-    all_words = pa.array(each + [x + y for x in each for y in each] + ["\n"])
-    mass = (10 ** model.log10(all_words, np.zeros(len(all_words), int))).sum()
-    assert 0.3 < mass <= 1 + 1e-9 and seen == 250
-
-
-def test_token_mixture_by_hand():
-    share, trained, spelled = np.array([0, 0.5, 0]), np.array([0.1, 0.2, 0.3]), np.array([0.01, 0.01, 0.01])
-    start = np.array([0.3, 0.6, 0.1])
-    weights, gate, total = {g: start.copy() for g in range(3)}, 1, 0.0
-    tries = {g: 25.0 for g in range(3)}
-    for p in zip(share, trained, spelled):
-        part = weights[gate] * np.array(p)
-        total += math.log10(part.sum())
-        part /= part.sum()
-        tries[gate] += 1
-        weights[gate] = weights[gate] + (part - weights[gate]) / tries[gate]
-        gate = int(part.argmax())
-    got = lm.mix_tokens(share, trained, spelled, np.array([0, 0, 3]), start)
-    assert got.tolist() == pytest.approx([0.0, total])
+    """Over all words of up to two bytes, probabilities add up to at most 1; known first bytes cost nothing."""
+    model = learned_spelling(pa.array(["ab", "ba", "abc", "c", "b"]))
+    each = [chr(i) for i in range(33, 128)]
+    all_words = pa.array(each + [x + y for x in each for y in each])
+    mass = (10 ** model.log10(all_words)).sum()
+    assert 0.3 < mass <= 1 + 1e-9
+    whole, rest = model.log10(pa.array(["ab"]))[0], model.log10(pa.array(["ab"]), np.array([2]))[0]
+    assert whole < rest < 0
+
+
+def small(rng, n_texts=12):
+    """Texts of a small vocabulary as lm.Texts with its code; words 0 to 5 are frequent, 6 to 13 are rarer, 14 and 15 new."""
+    n_words = 16
+    rank = np.array([0, 1, 2, 3, 300, 400] + [lm.FREQUENT + g for g in (0, 1, 2, 3, 0, 1, 2, lm.OTHER, 5, lm.OTHER)])
+    count = np.array([90, 80, 70, 60, 50, 40] + [1, 2, 3, 5, 8, 13, 21, 34] + [0, 0])
+    spelled = np.where(count == 0, 20.5, 0.0)
+    texts = [[rng.randrange(n_words) for _ in range(rng.randrange(0, 40))] for _ in range(n_texts)]
+    local = np.array([x for t in texts for x in [*t, -1]])
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    weights = np.ones(lm.SYMBOLS)
+    weights[rank[:6]] += count[:6]
+    sizes = np.ones((lm.N_CLASSES, lm.GROUPS)) * 3
+    code = lm.Code(weights, np.arange(1, lm.GROUPS + 1, dtype=float), sizes)
+    return lm.Texts(local, first, rank, count, spelled), code, texts
+
+
+def path(code, symbol):
+    a, b = code.first[symbol : symbol + 2]
+    return list(zip(code.nodes[a:b].tolist(), code.bits[a:b].tolist()))
+
+
+def group_path(code, g):
+    a, b = code.group_first[g : g + 2]
+    return list(zip(code.nodes[a:b].tolist(), code.bits[a:b].tolist()))
+
+
+def test_codes_are_prefix_free():
+    first, nodes, bits = lm.huffman(np.array([5, 1, 1, 2, 9, 1.0]))
+    codes = ["".join(map(str, bits[a:b])) for a, b in zip(first, first[1:])]
+    assert sum(2.0 ** -len(c) for c in codes) == 1 and len(set(codes)) == 6 and min(map(len, codes)) == len(codes[4])
+    assert all(nodes[a] == 0 for a in first[:-1])
+
+
+def test_whole_text_by_hand(rng):
+    """Total bits of each text equal a walk decision by decision with plain dictionaries."""
+    t, code, texts = small(rng)
+    counts, learner = None, None
+    real = lm.texts_of
+    lm.texts_of = lambda r: t
+    try:
+        counts, learner = lm.learn_texts(iter([{"held": [False] * len(texts)}] * 3), code)
+    finally:
+        lm.texts_of = real
+    model = lm.Model(counts, learner.weights.astype(np.float32), S.map_from(learner.hits.reshape(-1, S.BUCKETS), learner.tries.reshape(-1, S.BUCKETS)))
+    got = lm.text_bits(model, code, t, 0, len(texts))
+    mix = lambda v: int(lm.T.mix(np.array([v], np.uint64))[0])
+    sure = lambda n: bisect_left([0.5, 4, 40], n)
+    for i, words in enumerate(texts):
+        total, own, prev, guide = 0.0, {}, lm.START, lm.GUIDES
+        seen: list[int] = []
+        for w in [*words, None]:
+            group = None
+            if w is None:
+                symbol = lm.END
+            elif w < 6:
+                symbol = int(t.rank[w])
+            elif w in seen:
+                symbol = lm.REPEAT
+                total += math.log2(len(seen) / seen.count(w))
+            else:
+                symbol = lm.FREQUENT + bisect_right(lm.EDGES.tolist(), int(t.count[w])) - 1 if t.count[w] else lm.NEW
+                group = int(t.rank[w]) - lm.FREQUENT
+                total += math.log2(3) if t.count[w] else t.spelled[w]
+            if w is not None and w >= 6:
+                seen.append(w)
+            for d, (node, bit) in enumerate(path(code, symbol) + (group_path(code, group) if group is not None else [])):
+                inside = d - len(path(code, symbol))
+                step = (node + 1) * int(lm.T._M1)
+                one = mix(prev + int(lm.T._M1)) if inside < 0 else mix(symbol + lm.SYMBOLS + 1 + int(lm.T._M1) & (1 << 64) - 1)
+                two = mix(prev * (lm.GUIDES + 1) + guide + int(lm.T._M2))
+                at = [node, int(lm.BASE[1]) + guide * lm.NODES + node]
+                at += [int(lm.BASE[2 + j]) + ((h + step) * int(lm.T._M2) % (1 << 64) >> 64 - lm.HASH_BITS[j]) for j, h in enumerate((one, two))]
+                c0, c1 = own.get(node, (0, 0))
+                x = [math.log((counts[s, 1] + 0.3) / (counts[s, 0] + 0.3)) for s in at] + [math.log((c1 + 0.3) / (c0 + 0.3)), 0.3]
+                depth = min(d, 5) if inside < 0 else 6 + (inside > 0)
+                gate = (depth * 4 + sure(counts[at[3]].sum())) * 4 + sure(c0 + c1)
+                mixed = sum(a * b for a, b in zip(x, learner.weights[gate]))
+                p = float(S.refine(model.map, S.squash(np.array([mixed])), np.array([mixed]), np.array([guide]))[0])
+                total -= math.log2(p if bit else 1 - p)
+                own[node] = (c0 + 1 - bit, c1 + bit)
+            prev = symbol
+            guide = symbol if symbol < lm.GUIDES else guide
+        assert got[i] == pytest.approx(total, rel=1e-4), i
+
+
+def test_parts_and_runs_do_not_change_bits(rng, monkeypatch):
+    t, code, texts = small(rng, 30)
+    model = lm.Model(np.zeros((lm.BASE[-1], 2), np.float32), S.Learner(lm.GATES, lm.INPUTS, 1).weights, S.map_from(np.zeros((lm.GUIDES + 1, S.BUCKETS)), np.zeros((lm.GUIDES + 1, S.BUCKETS))))
+    want = lm.text_bits(model, code, t, 0, len(texts))
+    monkeypatch.setattr(lm, "PART", 7)
+    assert np.allclose(lm.text_bits(model, code, t, 0, len(texts)), want)
+    some = np.arange(len(texts)) % 3 == 0
+    alone = np.concatenate([lm.text_bits(model, code, s, a, b) for s, a, b in lm.groups_of(t, some)])
+    assert np.allclose(alone, want[some])
+
+
+def test_left_out_counts_are_of_other_texts(rng):
+    t, code, texts = small(rng)
+    symbol, group, _ = lm.symbols(t, 0, len(texts), code, True)
+    at = 0
+    for words in texts:
+        for k, w in enumerate([*words, None]):
+            if w is not None and w >= 6 and w not in words[:k]:
+                left = int(t.count[w]) - words.count(w)
+                assert symbol[at] == (lm.FREQUENT + bisect_right(lm.EDGES.tolist(), left) - 1 if left > 0 else lm.NEW) and group[at] == t.rank[w] - lm.FREQUENT
+            at += 1
 
 
 def test_edges(edge, empty):
@@ -73,21 +171,3 @@ def test_edges(edge, empty):
     assert lm.score(empty, F.lit(False)).count() == 0
     none = lm.score(edge, F.lit(True)).collect()
     assert {r.train_tokens for r in none} == {0} and all(r.n_known == 0 and math.isfinite(r.score) for r in none)
-
-
-def test_centres_come_from_all_documents(docs):
-    """One pass equals k-means by hand over every row, however the rows are dealt."""
-    texts = [(r.text or "").encode().lower() for r in docs.collect()]
-    x = np.zeros((len(texts), lm.BINS))
-    for i, t in enumerate(texts):
-        for a, b in zip(t, t[1:]):
-            x[i, (a * 37 + b) % lm.BINS] += 1
-    x = np.sqrt(x)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    mid = x[: lm.CLASSES].astype(np.float32)
-    of = (x @ mid.T).argmax(1)
-    want = np.stack([x[of == k].sum(0) for k in range(lm.CLASSES)])
-    want /= np.linalg.norm(want, axis=1, keepdims=True)
-    own = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    one, many = lm.refined(own.coalesce(1), mid), lm.refined(own.repartition(7), mid)
-    assert (one == many).all() and np.abs(one - want).max() < 1e-4
