@@ -109,7 +109,7 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.deduplicate(_table(spark, sf_dir, "documents"), exact.new_index(spark))
+    return exact.deduplicate_table(_table(spark, sf_dir, "documents"))
 
 
 OP9_SQL = r"""

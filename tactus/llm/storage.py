@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it holds at least 1/HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 256
+#: Ids that are broadcast at most (about 50 MB); more go through a shuffle.
+MOST_IDS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``, which all machines must share.  A session of one
+    machine (master local) that names none gets a temporary one; elsewhere it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if not found and spark.sparkContext.master.startswith("local"):
         found = f"file://{tempfile.gettempdir()}/tactus-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found.rstrip("/")
 
 
@@ -51,3 +55,13 @@ def attach(rows: DataFrame, groups: DataFrame, key: list[str], count: str, total
     hot = F.broadcast(groups.where(F.col(count) >= least))
     cold = groups.where(F.col(count) < least)
     return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id (null too) isn't in ``gone`` (one column of distinct ids, staged).
+
+    Up to MOST_IDS ids, counted first, are broadcast, so that texts stay where they are; more are
+    met by a sort-merge anti-join, where a hot id's rows can be split as none are collected."""
+    few = gone.count() <= MOST_IDS
+    ids = gone.select(F.col(gone.columns[0]).alias("__gone"))
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), docs[id_col].eqNullSafe(ids["__gone"]), "left_anti")

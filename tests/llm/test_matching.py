@@ -143,8 +143,7 @@ def normal(t):
     return hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest()
 
 
-def test_exact(spark, edge, empty):
-    rows = exact.deduplicate(edge, exact.new_index(spark)).collect()
+def check_exact(rows, edge):
     ids = {}
     for r in edge.collect():
         ids.setdefault(normal(r.text), []).append(r.doc_id)
@@ -153,22 +152,59 @@ def test_exact(spark, edge, empty):
         own = ids[r.text_sha256]
         keep = min([x for x in own if x is not None], default=None)
         assert r.keep_id == keep and r.group_size == len(own) and r.kept == (r.doc_id == keep)
-    assert exact.deduplicate(empty, exact.new_index(spark)).count() == 0
+    return ids
+
+
+def test_exact(spark, edge, empty):
+    index = exact.new_index(spark)
+    check_exact(exact.deduplicate(edge, index).collect(), edge)
+    index.drop()
+    for batches in (1, 2, 5):
+        ids = check_exact(exact.deduplicate_table(edge, batches).collect(), edge)
+        assert exact.deduplicate_table(empty, batches).count() == 0
     kept = exact.keep_first(edge)
     assert kept.columns == edge.columns and kept.count() == len(ids)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tactus_digests")]
+
+
+def test_keep_first_with_repeated_ids(spark, monkeypatch):
+    from tactus.llm import storage
+
+    rows = [(1, "a"), (1, "b"), (1, "a"), (2, "a"), (2, "c"), (None, "d"), (None, "a"), (3, "d"), (4, "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e")]
+    assert sorted(tuple(r) for r in exact.keep_first(d).collect()) == want
+    monkeypatch.setattr(storage, "MOST_IDS", 0)  # as with too many ids to broadcast
+    assert sorted(tuple(r) for r in exact.keep_first(d).collect()) == want
 
 
 def test_index_persists(spark):
-    index = exact.new_index(spark, 4)
+    index = exact.DigestIndex(spark, "tactus_digests_test", 4)
     first = spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id long, text string")
     second = spark.createDataFrame([(1, "a\n b"), (2, "d"), (3, "d")], "doc_id long, text string")
     exact.deduplicate(first, index).count()
+    index = exact.DigestIndex(spark, "tactus_digests_test")
+    assert index.buckets == 4
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact.deduplicate(second, index).collect()}
     assert got == {1: (5, False), 2: (2, True), 3: (2, False)} and index.table().count() == 3
+    before = sorted(map(tuple, index.table().collect()))
+    index.compact()
+    assert sorted(map(tuple, index.table().collect())) == before and exact.DigestIndex(spark, "tactus_digests_test").buckets == 4
+    assert exact.deduplicate(first, index).where("kept").count() == 2 and index.table().count() == 3
     index.drop()
     assert not index.exists() and "keep_id" in OP9_SQL
 
 
+def test_index_side_is_not_shuffled(spark):
+    index = exact.DigestIndex(spark, "tactus_digests_plan", 4)
+    groups = spark.createDataFrame([(bytes([k]) * 32, k, 1) for k in range(50)], "digest binary, min_id long, n long")
+    index.append(groups)
+    plan = index.unseen(groups)._jdf.queryExecution().executedPlan().toString()
+    index.drop()
+    join = plan[plan.index("SortMergeJoin") :]
+    assert "LeftAnti" in join and join.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
 def test_pipeline(spark, sf_dir, docs, benchmark_):
     import corpus_pipeline
     from tactus.llm.storage import staged
