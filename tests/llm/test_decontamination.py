@@ -69,3 +69,22 @@ def test_blocks_keep_every_row(spark, edge, benchmark_):
     assert len([*D.pattern_blocks(benchmark_, 10, 1500)]) > 1
     assert sorted(rows(D.scan(d, benchmark_, block_bytes=1500)), key=repr) == sorted(want, key=repr)
     assert sorted(rows(D.scan(d, benchmark_)), key=repr) == sorted(want, key=repr)
+
+
+def test_shift_table_skips_and_tables_are_bounded(rng):
+    """With many items most blocks of unrelated text jump far, and tables stay near the text's size."""
+    import pickle
+
+    import numpy as np
+
+    from tactus.llm import textops as T
+
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    items = [(str(k), " ".join([*(word() for _ in range(60)), "and", "so", "on"])) for k in range(1500)]
+    patterns = D.Patterns(items)
+    one = patterns.lengths[0][0]
+    assert one.shift.mean() > 0.7 * (one.m - 1)
+    assert len(pickle.dumps(patterns)) < 20 * sum(len(t) for _, t in items)
+    raw = (" ".join(word() for _ in range(5000)) + " " + items[7][1] + " " + items[9][1]).encode()
+    w = T.words(np.frombuffer(raw + bytes(16), np.uint8), np.array([0, len(raw)]), T.ALNUM)
+    assert patterns.hits(w)[2] == {0: {"7", "9"}}
