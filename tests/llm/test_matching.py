@@ -21,26 +21,95 @@ def test_licenses_exact_lines(docs):
     got = {(r.doc_id, r.template) for r in licenses.scan(docs).where("coverage = 1").collect()}
     for r in docs.collect():
         w = " " + " ".join(words(r.text)) + " "
-        for name, t in licenses.TEMPLATES.items():
+        for name, t in licenses.default_templates().items():
             assert ((r.doc_id, name) in got) == (" " + " ".join(words(t)) + " " in w)
 
 
+def full_alignment(doc, template):
+    """Best local alignment (match 1, others -1) over all cells: score and matched words of the best end."""
+    best, above = (0, 0), [(0, 0)] * (len(doc) + 1)
+    for t in template:
+        row = [(0, 0)]
+        for j, d in enumerate(doc):
+            x = above[j]
+            x = (x[0] + 1, x[1] + 1) if t == d else (x[0] - 1, x[1])
+            x = max(x, (above[j + 1][0] - 1, above[j + 1][1]), (row[j][0] - 1, row[j][1]), (0, 0))
+            row.append(x)
+            best = max(best, x)
+        above = row
+    return best
+
+
+def test_align_equals_full_alignment(rng):
+    import numpy as np
+
+    for _ in range(60):
+        template = [rng.randrange(12) for _ in range(rng.randrange(1, 25))]
+        doc = [rng.randrange(12) for _ in range(rng.randrange(0, 8))] + [x for x in template if rng.random() > 0.1] + [rng.randrange(12) for _ in range(rng.randrange(0, 8))]
+        got = licenses.align(np.array(doc), np.array(template), -len(template), len(doc))
+        score, matched = full_alignment(doc, template)
+        part = full_alignment(doc[got[1] : got[2]], template)
+        assert part[0] == score and got[0] <= got[2] - got[1] and got[0] >= min(matched, part[1]) - 1
+
+
+def test_licenses_adjacent_altered_copies(spark, rng):
+    """Copies side by side, each with words dropped, put in or changed, are all reported where they lie."""
+    names = ["MIT", "BSD-2-Clause", "Apache-2.0 notice", "MIT line"]
+    templates = {n: licenses.default_templates()[n] for n in names}
+    texts, want = [], []
+    for i in range(24):
+        out, spans = [], []
+        for _ in range(rng.randrange(1, 4)):
+            out += [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([0, 0, 3]))]
+            name = rng.choice(names)
+            t = words(templates[name])
+            changed = list(t)
+            for _ in range(len(t) // 25 if len(t) >= 20 else 0):
+                j = rng.randrange(4, len(changed) - 4)
+                changed[j : j + 1] = rng.choice([[], ["zz"], [changed[j], "zz"]])
+            spans.append((name, len(out), len(out) + len(changed)))
+            out += changed
+        texts.append((i, " ".join(out)))
+        want.append(spans)
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), templates).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, spans in enumerate(want):
+        for name, s, e in spans:
+            near = [r for r in got[i] if r.template == name and abs(r.start - s) <= 3 and abs(r.end - e) <= 3]
+            assert len(near) == 1 and near[0].coverage >= 0.9, (i, name, s, e, got[i])
+        of = [r for r in got[i] if r.coverage >= 0.8]
+        for r in of:
+            assert all(r.end <= x.start or x.end <= r.start for x in of if x.template == r.template and x is not r)
+
+
 def test_licenses_altered_and_edges(spark, edge, empty):
-    notice = licenses.TEMPLATES["MIT-notice"].split()
+    notice = licenses.full_texts()["MIT"].split()
     changed = notice[:10] + ["kindly"] + notice[10:25] + notice[27:]
-    d = spark.createDataFrame([(1, "some words before " + " ".join(changed) + " and after", "x"), (2, " ".join(notice[:12]), "x"), (3, " ".join(notice + notice), "x")], "doc_id long, text string, template string")
-    rows = [r for r in licenses.scan(d).collect() if r.template == "MIT-notice"]
+    d = spark.createDataFrame([(1, "some words before " + " ".join(changed) + " and after", "x"), (2, " ".join(notice[:12]), "x"), (3, " ".join(notice + notice), "x"), (4, " ".join(notice[40:90]), "x")], "doc_id long, text string, template string")
+    rows = [r for r in licenses.scan(d).collect() if r.template == "MIT"]
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
-    assert set(by) == {1, 3} and len(by[3]) == 2
+    assert set(by) == {1, 3, 4} and len(by[3]) == 2 and len(by[4]) == 1
     r = by[1][0]
     assert r.matched == r.template_words - 2 and (r.start, r.end) == (3, 3 + len(words(" ".join(changed))))
+    assert by[4][0].coverage < 0.5 and by[4][0].matched == len(words(" ".join(notice[40:90])))
     assert licenses.scan(edge).count() == 0 and licenses.scan(empty).count() == 0 and licenses.scan(d, {}).count() == 0
     with pytest.raises(ValueError):
         licenses.build({"a": "x" * 100}, max_template_bytes=10)
 
 
+def test_full_bodies_are_found(spark):
+    full = licenses.full_texts()
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(full)
+    d = spark.createDataFrame([(i, f"/* {t} */") for i, t in enumerate(full.values())], "doc_id long, text string")
+    best = {(r.doc_id, r.template) for r in licenses.scan(d).where("coverage = 1").collect()}
+    assert {(i, n) for i, n in enumerate(full)} <= best
+    two = {r.template: r.coverage for r in licenses.scan(d.where(f"doc_id = {list(full).index('BSD-2-Clause')}")).collect()}
+    assert two["BSD-2-Clause"] == 1 and two.get("BSD-3-Clause", 0) < 1
+
+
 def kmers(text, k=5):
     w = words(text)
     out, seen = [], {}
