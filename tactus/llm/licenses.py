@@ -145,6 +145,29 @@ def align(doc: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[i
     return int(matched), int(start), int(end)
 
 
+def dense_runs(doc: np.ndarray, template: np.ndarray, a: int, b: int, low: int, high: int, need: float) -> list[tuple[int, int]]:
+    """The parts of document words a to b that can hold an alignment of ``need`` matched words in the
+    band: as every beginning of a local alignment scores above 0, so does the count of words that the
+    band can match less those that it can't, since it last was 0."""
+    hit = np.zeros(b - a, bool)
+    for d in range(low, high + 1):
+        x, y = max(a, d), min(b, d + len(template))
+        if x < y:
+            hit[x - a : y - a] |= doc[x:y] == template[x - d : y - d]
+    total = np.concatenate([[0], np.cumsum(np.where(hit, 1, -1))])
+    above = total > np.minimum.accumulate(total)
+    cuts = np.flatnonzero(np.diff(np.concatenate([[False], above[1:], [False]]).astype(np.int8)))
+    met = np.concatenate([[0], np.cumsum(hit)])
+    return [(a + int(x), a + int(y)) for x, y in zip(cuts[0::2], cuts[1::2]) if met[y] - met[x] >= need]
+
+
+def align_run(doc: np.ndarray, template: np.ndarray, a: int, b: int, low: int, high: int) -> tuple[int, int, int]:
+    """``align`` of document words a to b with the template words that the band can meet there."""
+    q = max(0, a - high)
+    got, s, e = align(doc[a:b], template[q : max(q, b - low)], low - a + q, high - a + q)
+    return got, a + s, a + e
+
+
 def candidates(index: Index, h: np.ndarray, first: np.ndarray, band: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(row, template, document places, diagonals) of the votes for each candidate copy, most votes first
     within a row and template."""
@@ -189,14 +212,15 @@ def matches(index: Index, w: T.Words, min_coverage: float, min_matched: int, ban
             free = [x for a, b in free for x in ((a, min(b, s)), (max(a, e), b)) if x[0] < x[1]]
         while free:
             a, b = free.pop()
-            if not ((places >= a) & (places < b)).any() or np.isin(doc[a:b], tw).sum() < need:  # no more words than these can match
+            if not ((places >= a) & (places < b)).any():
                 continue
-            got, s, e = align(doc[a:b], tw, low - a, high - a)
+            found = max((align_run(doc, tw, x, y, low, high) for x, y in dense_runs(doc, tw, a, b, low, high, need)), default=(0, 0, 0))
+            got, s, e = found
             coverage = got / max(len(tw), e - s)
             if got and (coverage >= min_coverage and len(tw) >= min_matched or got >= min_matched or coverage == 1):
-                taken.append((a + s, a + e))
-                free += [(a, a + s), (a + e, b)]
-                yield r, index.names[t], coverage, got, len(tw), a + s, a + e
+                taken.append((s, e))
+                free += [(a, s), (e, b)]
+                yield r, index.names[t], coverage, got, len(tw), s, e
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = 0.8, min_matched: int = 20, band: int = 8, k: int = 3, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -467,7 +467,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     pairs = rare.groupBy("pair").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "pair").limit(GROUPS - 1).collect()
     group_ids = F.broadcast(spark.createDataFrame([(r.pair, k) for k, r in enumerate(pairs)], "pair string, g int"))
     group = F.coalesce("g", F.lit(OTHER))
-    stats = rare.join(group_ids, "pair", "left").groupBy(group.alias("g"), edge_of(F.col("c")).alias("k"), edge_of(F.col("c") - 1).alias("k_out")).agg(F.count(F.lit(1)).alias("words"), F.sum("c").alias("tokens")).collect()
+    by_count = rare.join(group_ids, "pair", "left").groupBy(group.alias("g"), "c").agg(F.count(F.lit(1)).alias("words"))
+    by_class = by_count.groupBy("g", edge_of(F.col("c")).alias("k"), edge_of(F.col("c") - 1).alias("k_out"))
+    stats = by_class.agg(F.sum("words").alias("words"), F.sum(F.col("c") * F.col("words")).alias("tokens")).collect()
     ends = docs_of.select(F.explode("held").alias("held")).where("not held").count()
     once = sum(r.words for r in stats if r.k_out == 0)
     tokens = sum(r.c for r in top) + sum(r.tokens for r in stats) + ends
