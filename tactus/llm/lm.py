@@ -71,12 +71,13 @@ OTHER = GROUPS - 1
 NODES = SYMBOLS - 1 + GROUPS - 1
 HASH_BITS = [21, 22]
 BASE = np.cumsum([0, NODES, (GUIDES + 1) * NODES, 1 << HASH_BITS[0], 1 << HASH_BITS[1]])
+STEPS = np.arange(1, NODES + 1, dtype=np.uint64) * T._M1
 INPUTS, GATES, STEP = 6, 8 * 4 * 4, 32_768
 #: Chunks that a task of the learning passes takes, at least.
 CHUNKS_A_TASK = 16
 PRIOR = np.float32(0.3)
 LOGS = np.log(np.arange(1024, dtype=np.float32) + PRIOR)
-SURE = np.searchsorted([0.5, 4, 40], np.arange(1024)).astype(np.int64)
+SURE = np.searchsorted([0.5, 4, 40], np.arange(2048)).astype(np.int64)
 
 
 def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +115,7 @@ class Code:
     def __init__(self, weights: np.ndarray, group_weights: np.ndarray, sizes: np.ndarray):
         (self.first, a, x), (g, b, y) = huffman(weights), huffman(group_weights)
         self.nodes, self.bits = np.concatenate([a, b + SYMBOLS - 1]).astype(np.int64), np.concatenate([x, y])
-        self.group_first = g + len(a)
+        self.first, self.group_first = self.first.astype(np.int64), (g + len(a)).astype(np.int64)
         self.size, self.group_size = np.diff(self.first), np.diff(self.group_first)
         self.number = np.log2(np.maximum(sizes, 1))
 
@@ -188,7 +189,7 @@ def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Co
     prev[first[:-1][np.diff(first) > 0]] = START
     at = np.maximum.accumulate(np.where(symbol < GUIDES, np.arange(n), -1)) if n else np.zeros(0, np.int64)
     at = np.concatenate([[-1], at[:-1]])[:n]
-    guide = np.where(at >= first[:-1][row], symbol[np.maximum(at, 0)], GUIDES) if n else at
+    guide = (np.where(at >= first[:-1][row], symbol[np.maximum(at, 0)], GUIDES) if n else at)
     both = T.mix((prev * (GUIDES + 1) + guide).astype(np.uint64) + T._M2)
     alone, within = (T.mix(x.astype(np.uint64) + T._M1) for x in (prev, symbol + SYMBOLS + 1))
     carried = None
@@ -198,20 +199,18 @@ def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Co
         length = main + np.where(group[a:b] >= 0, code.group_size[group[a:b]], 0)
         ends = np.cumsum(length)
         token = np.repeat(np.arange(b - a), length)
-        depth = np.arange(ends[-1]) - (ends - length)[token]
-        grouped = depth >= main[token]
-        where = (code.first[symbol[a:b]])[token] + depth
-        inside = np.flatnonzero(grouped)
-        where[inside] = (code.group_first[group[a:b]] - main)[token[inside]] + depth[inside]
-        node, bit = code.nodes[where], code.bits[where]
-        step = (node + 1).astype(np.uint64) * T._M1
-        here = guide[a:b][token]
-        slots = [node, BASE[1] + here * NODES + node]
-        context = alone[a:b][token]
-        context[inside] = within[a:b][token[inside]]
-        for j, h in enumerate((context, both[a:b][token])):
-            slots.append(BASE[2 + j] + (((h + step) * T._M2) >> np.uint64(64 - HASH_BITS[j])).astype(np.int64))
-        text = row[a:b][token]
+        depth = np.arange(ends[-1]) - (ends - length).take(token)
+        inside = depth - main.take(token)  # place in the group's path, below 0 before it
+        grouped = inside >= 0
+        where = np.where(grouped, (code.group_first[group[a:b]] - main).take(token), code.first[symbol[a:b]].take(token)) + depth
+        node, bit = code.nodes.take(where), code.bits.take(where)
+        step = STEPS.take(node)
+        here = guide[a:b].take(token)
+        slots = [node, here * NODES + (node + BASE[1])]
+        context = np.where(grouped, within[a:b].take(token), alone[a:b].take(token))
+        for j, h in enumerate((context, both[a:b].take(token))):
+            slots.append((((h + step) * T._M2) >> np.uint64(64 - HASH_BITS[j])).astype(np.int64) + BASE[2 + j])
+        text = row[a:b].take(token)
         groups = pd.Series(bit.astype(np.int64)).groupby((text - row[a]) * NODES + node, sort=False)
         ones = groups.cumsum().to_numpy() - bit
         own = [groups.cumcount().to_numpy() - ones, ones]
@@ -224,11 +223,11 @@ def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Co
             past = carried[1] if carried is not None and carried[0] == row[b] else np.zeros((2, NODES), np.int64)
             carried = row[b], past + np.stack([np.bincount(node[last], bit[last] == k, NODES).astype(np.int64) for k in range(2)])
         own = [np.minimum(x, len(LOGS) - 1) for x in own]
-        yield Part(token + a, text, node, bit, slots, here, np.where(grouped, 6 + (depth > main[token]), np.minimum(depth, 5)), own)
+        yield Part(token + a, text, node, bit, slots, here, np.where(grouped, 6 + (inside > 0), np.minimum(depth, 5)), own)
 
 
 def _gate(depth: np.ndarray, sure: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
-    return (depth * 4 + sure) * 4 + SURE[np.minimum(own[0] + own[1], len(SURE) - 1)]
+    return (depth * 4 + sure) * 4 + SURE.take(own[0] + own[1], mode="clip")
 
 
 @dataclass
@@ -241,7 +240,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.odds = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR))
-        self.sure = SURE[np.minimum(self.counts[BASE[3] :].sum(1), len(SURE) - 1).astype(np.int64)].astype(np.uint8)
+        self.sure = SURE.take(self.counts[BASE[3] :].sum(1).astype(np.int64), mode="clip").astype(np.uint8)
 
     def __getstate__(self) -> tuple:
         return S._squeeze(self.counts), self.weights, self.map
@@ -255,10 +254,10 @@ class Model:
         """Cost of each decision in bits."""
         x = np.empty((INPUTS, len(p.bit)), np.float32)
         for j, s in enumerate(p.slots):
-            self.odds.take(s, out=x[j])
-        x[4] = LOGS[p.own[1]] - LOGS[p.own[0]]
+            self.odds.take(s, out=x[j], mode="clip")
+        x[4] = LOGS.take(p.own[1]) - LOGS.take(p.own[0])
         x[5] = 0.3
-        mixed = S.mix(x, self.weights, _gate(p.depth, self.sure[p.slots[3] - BASE[3]], p.own))
+        mixed = S.mix(x, self.weights, _gate(p.depth, self.sure.take(p.slots[3] - BASE[3]), p.own))
         q = S.refine(self.map, S.squash(mixed), mixed, p.guide)
         return -np.log2(np.where(p.bit > 0, q, 1 - q))
 
@@ -435,9 +434,9 @@ def learn_texts(rows: Iterator[dict], code: Code) -> tuple[np.ndarray, S.Learner
                     for j, s in enumerate(p.slots):
                         n = pairs.take(s[some]).view(np.float32).reshape(-1, 2)
                         x[j] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
-                    x[4] = LOGS[own[1]] - LOGS[own[0]]
+                    x[4] = LOGS.take(own[1]) - LOGS.take(own[0])
                     x[5] = 0.3
-                    sure = SURE[np.minimum(n[:, 0] + n[:, 1], len(SURE) - 1).astype(np.int64)]
+                    sure = SURE.take((n[:, 0] + n[:, 1]).astype(np.int64), mode="clip")
                     learner.step(x, _gate(p.depth[some], sure, own), p.bit[some].astype(np.float32), p.guide[some])
                 learner.seen += len(p.bit)
                 for s in p.slots:

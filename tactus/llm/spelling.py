@@ -90,7 +90,7 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 def bucket(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower bucket of a log-odds and how far it lies towards the next."""
-    at = (np.clip(x, -LIMIT, LIMIT - 1e-3) + LIMIT) * ((BUCKETS - 1) / (2 * LIMIT))
+    at = (np.clip(x, -LIMIT, LIMIT - 1e-3) + x.dtype.type(LIMIT)) * x.dtype.type((BUCKETS - 1) / (2 * LIMIT))
     low = at.astype(np.int64)
     return low, at - low
 
@@ -106,7 +106,8 @@ def refine(map_: np.ndarray, p: np.ndarray, x: np.ndarray, context: np.ndarray)
     low, part = bucket(x)
     at = context * BUCKETS + low
     flat = map_.ravel()
-    mapped = flat[at] * (1 - part) + flat[at + 1] * part
+    mapped = flat.take(at)
+    mapped += (flat.take(at + 1) - mapped) * part
     return np.clip((p + mapped) / 2, 1e-6, 1 - 1e-6)
 
 
