@@ -22,13 +22,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures_of(pages: DataFrame, later: int = 1000) -> DataFrame:
-    """A crawl made of ``pages``: each page is a full response at time page_id, and is asked for
-    again ``later`` captures on with its own ETag, answered by a not-modified revisit."""
-    etag = F.md5(F.coalesce("html", F.lit("")))
-    first = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), etag, F.lit("date"), F.col("page_id").cast("string"))
-    again = F.create_map(F.lit("content-length"), F.lit("0"), F.lit("etag"), F.concat(F.lit("W/"), etag), F.lit("date"), (F.col("page_id") + later).cast("string"), F.lit("cache-control"), F.lit("max-age=60"))
-    response = pages.select(F.col("page_id").alias("record_id"), F.lit("response").alias("kind"), "url", F.col("page_id").alias("ts"), first.alias("headers"))
-    return response.unionByName(pages.select(F.col("page_id").alias("record_id"), F.lit("revisit").alias("kind"), "url", (F.col("page_id") + later).alias("ts"), again.alias("headers")))
+    """A crawl made of ``pages``: each page is a full response at time page_id, and is asked for again
+    ``later`` captures on.  By page_id mod 4 the not-modified revisit names the page's own ETag, only its
+    time of change, nothing, or a wrong ETag; responses of the third kind have no time of change."""
+    etag, changed = F.md5(F.coalesce("html", F.lit(""))), F.floor(F.col("page_id") / 10).cast("string")
+    kind = F.pmod("page_id", F.lit(4))
+    page, text = F.col("page_id"), lambda c: c.cast("string")
+    headers = lambda some: F.map_filter(F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in some])), lambda _, v: v.isNotNull())
+    first = headers([("content-type", F.lit("text/html")), ("etag", etag), ("date", text(page)), ("last-modified", F.when(kind != 2, changed))])
+    own = F.when(kind == 0, F.concat(F.lit("W/"), etag)).when(kind == 3, F.lit("other"))
+    again = headers([("content-length", F.lit("0")), ("etag", own), ("date", text(page + later)), ("cache-control", F.lit("max-age=60")), ("last-modified", F.when(kind == 1, changed))])
+    response = pages.select(page.alias("record_id"), F.lit("response").alias("kind"), "url", page.alias("ts"), first.alias("headers"))
+    return response.unionByName(pages.select(page.alias("record_id"), F.lit("revisit").alias("kind"), "url", (page + later).alias("ts"), again.alias("headers")))
 
 
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,22 +44,30 @@ def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 with p as (
-  select page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare, md5(coalesce(html, '')) as etag from pages),
+  select page_id, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare, md5(coalesce(html, '')) as etag,
+    cast(page_id // 10 as varchar) as changed, page_id % 4 as kind from pages),
 q as (
-  select page_id, etag, bare,
+  select page_id, etag, changed, kind, bare,
     regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', ''), ':(80|443)$', '') as host,
     regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') as path,
     list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' and string_split(x, '=')[1] not in ('fbclid', 'gclid', 'ref', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))) as args from p),
 c as (
-  select page_id, etag, case when bare is null then null else host || path || case when len(args) > 0 then '?' || array_to_string(args, '&') else '' end end as canonical from q),
+  select page_id, case when bare is null then null else host || path || case when len(args) > 0 then '?' || array_to_string(args, '&') else '' end end as canonical,
+    etag, case when kind <> 2 then changed end as changed,
+    case kind when 0 then etag when 3 then 'other' end as asked_etag, case kind when 0 then 'W/' || etag when 3 then 'other' end as shown_etag, case when kind = 1 then changed end as asked_changed from q),
 j as (
-  select v.page_id, v.canonical, v.etag, r.page_id as latest_id, r.etag as old
-  from c v asof left join c r on v.canonical = r.canonical and v.page_id + 1000 >= r.page_id)
-select page_id, canonical, case when etag = old then latest_id end as resolved_id, latest_id,
-  case when latest_id is null then 'unresolved' when etag = old then 'etag' else 'mismatch' end as outcome,
-  case when etag = old then 'cache-control: max-age=60; content-type: text/html; date: ' || (page_id + 1000) || '; etag: W/' || etag
-    else 'cache-control: max-age=60; content-length: 0; date: ' || (page_id + 1000) || '; etag: W/' || etag end as headers
-from j
+  select v.page_id, v.canonical, v.asked_etag, v.shown_etag, v.asked_changed, r.page_id as latest_id, r.etag as old_etag, r.changed as old_changed
+  from c v asof left join c r on v.canonical = r.canonical and v.page_id + 1000 >= r.page_id),
+o as (
+  select *, case when latest_id is null then 'unresolved'
+    when asked_etag is not null then case when asked_etag = old_etag then 'etag' else 'mismatch' end
+    when asked_changed is not null and old_changed is not null then case when asked_changed = old_changed then 'last-modified' else 'mismatch' end
+    else 'no validator' end as outcome from j)
+select page_id, canonical, case when outcome in ('unresolved', 'mismatch') then null else latest_id end as resolved_id, latest_id, outcome,
+  case when outcome in ('unresolved', 'mismatch')
+    then 'cache-control: max-age=60; content-length: 0; date: ' || (page_id + 1000) || coalesce('; etag: ' || shown_etag, '') || coalesce('; last-modified: ' || asked_changed, '')
+    else 'cache-control: max-age=60; content-type: text/html; date: ' || (page_id + 1000) || '; etag: ' || coalesce(shown_etag, old_etag) || coalesce('; last-modified: ' || coalesce(asked_changed, old_changed), '') end as headers
+from o
 """
 
 

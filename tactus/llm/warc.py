@@ -1,22 +1,28 @@
 """Operator 2: resolution of not-modified revisits in WARC captures.
 
-``read_warc`` parses WARC files (plain or with a gzip member per record) to one row per
+``read_warc`` parses WARC files (plain, or gzip with a member per record or not) to one row per
 record; ``resolve`` joins every revisit as of its time with the latest earlier full response
 of the same canonical URL, checks validators and merges the headers a 304 may update.
 
-The as-of join is a union and a running ``last`` within (URL, time slice); each slice starts
-from the last response of the slices before it, found over one row per slice.  So a URL that
-holds a third of all captures is dealt over the slices.  Payloads never move: the result
-names the record that holds the payload.
+Files are cut at record boundaries by Spark's line reader, which streams and decompresses them
+and splits plain ones: a task holds some records at a time, never a file.
+
+The as-of join is a union and a running ``last`` within (URL, time slice); slices are cut at
+quantiles of time, and each starts from the last response of the slices before it, found over
+one row per slice.  So a URL that holds a third of all captures is dealt over the slices.
+Payloads never move: the result names the record that holds the payload.
 
 Defined results: a revisit without an earlier response is 'unresolved'; a null URL never
-resolves; at equal times a response comes before a revisit, and of responses the larger id
-is later; null headers are empty; repeated rows each give a row; an empty table gives none.
+resolves; a response without time answers no revisit, and a revisit without time is
+'unresolved'; at equal times a response comes before a revisit, and of responses the larger id
+is later; null headers are empty; repeated rows each give a row; an empty table gives none.  A
+record whose length is missing or no number has ``problem`` 'length' and all bytes to the next
+record as payload; one shorter than its length, as where a payload holds what looks like the
+next record's start, has 'truncated'.
 """
 
 from __future__ import annotations
 
-import gzip
 import io
 from collections.abc import Iterator
 
@@ -45,26 +51,31 @@ def canonical_url(url) -> F.Column:
     return F.concat(host, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
 
 
-SCHEMA = "record_id string, kind string, url string, ts timestamp, status int, headers map<string,string>, payload binary"
+SCHEMA = "record_id string, kind string, url string, ts timestamp, status int, headers map<string,string>, payload binary, problem string"
+#: What stands between two records, with the start of the next.
+BETWEEN = "\r\n\r\nWARC/1."
 
 
-def parse(raw: bytes) -> Iterator[dict]:
-    """Records of a WARC file; header names in lower case, HTTP headers of response and revisit records."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+def parse(raw: bytes) -> dict | None:
+    """A record from its version line on (its start, as far as the digit after 'WARC/1.', may be cut off).
+    Header names in lower case, HTTP headers of response and revisit records."""
     f = io.BytesIO(raw)
-    while line := f.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        head = _headers(f)
-        body = f.read(int(head.get("content-length", "0")))
-        status, http = None, {}
-        if body.startswith(b"HTTP/"):
-            b = io.BytesIO(body)
-            parts = b.readline().split()
-            status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None
-            http, body = _headers(b), b.read()
-        yield {"record_id": head.get("warc-record-id"), "kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "ts": head.get("warc-date"), "status": status, "headers": http, "payload": body}
+    if not f.readline().strip():
+        return None
+    head = _headers(f)
+    rest = f.read()
+    length = head.get("content-length", "")
+    problem = None if length.isdecimal() else "length"
+    if problem is None:
+        problem = "truncated" if len(rest) < int(length) else None
+        rest = rest[: int(length)]
+    body, status, http = rest, None, {}
+    if body.startswith(b"HTTP/"):
+        b = io.BytesIO(body)
+        parts = b.readline().split()
+        status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() and len(parts[1]) < 10 else None
+        http, body = _headers(b), b.read()
+    return {"record_id": head.get("warc-record-id"), "kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "ts": head.get("warc-date"), "status": status, "headers": list(http.items()), "payload": body, "problem": problem}
 
 
 def _headers(f: io.BytesIO) -> dict[str, str]:
@@ -76,18 +87,17 @@ def _headers(f: io.BytesIO) -> dict[str, str]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the WARC files at ``path``."""
+    """One row per record of the WARC files at ``path`` (gzip by the extension .gz)."""
+    kind = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("ts", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("problem", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for raw in rows.column(0):
-                found = [x | {"headers": list(x["headers"].items())} for x in parse(raw.as_py())]
-                if found:
-                    kind = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("ts", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
-                    yield pa.RecordBatch.from_pylist(found, kind)
+            found = [x for raw in rows.column(0) if (x := parse(raw.as_py())) is not None]
+            if found:
+                yield pa.RecordBatch.from_pylist(found, kind)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, SCHEMA.replace("ts timestamp", "ts string")).withColumn("ts", F.try_to_timestamp("ts"))
+    records = spark.read.option("lineSep", BETWEEN).text(path).select(F.col("value").cast("binary").alias("raw"))
+    return records.mapInArrow(run, SCHEMA.replace("ts timestamp", "ts string")).withColumn("ts", F.try_to_timestamp("ts"))
 
 
 def resolve(captures: DataFrame, slices: int = 64) -> DataFrame:
@@ -103,11 +113,11 @@ def resolve(captures: DataFrame, slices: int = 64) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
     own = captures.where(F.col("kind").isin("response", "revisit")).select("record_id", "kind", canonical_url(F.col("url")).alias("canonical"), "ts", F.coalesce("headers", empty).alias("headers"))
     own = staged(own, "captures")
-    low, high = own.agg(F.min("ts"), F.max("ts")).first()
-    at = F.col("ts").cast("double") if dict(own.dtypes)["ts"].startswith("timestamp") else F.col("ts")
-    a, b = own.select(F.min(at), F.max(at)).first()
-    width = ((b - a) / slices or 1) if low is not None else 1
-    sliced = own.withColumn("slice", F.floor((at - F.lit(a)) / F.lit(width)))
+    at = F.col("ts").cast("double")
+    cuts = own.agg(F.percentile_approx(at, [k / slices for k in range(1, slices)], 10_000)).first()[0] if slices > 1 else None
+    cuts = sorted(set(cuts or []))
+    slice_ = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at)) if cuts else F.lit(0)
+    sliced = own.where("kind = 'revisit' or ts is not null").withColumn("slice", F.when(F.col("ts").isNotNull(), slice_))
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "headers"))
     by_slice = sliced.where("kind = 'response' and canonical is not null").groupBy("canonical", "slice").agg(F.max_by(F.struct("ts", "record_id", "headers"), F.struct("ts", "record_id")).alias("latest"))
     # the last response of each slice stands at the start of the next slices' rows
@@ -116,7 +126,7 @@ def resolve(captures: DataFrame, slices: int = 64) -> DataFrame:
     joined = sliced.join(before, ["canonical", "slice"], "left")
     run = Window.partitionBy("canonical", "slice").orderBy("ts", F.col("kind") == "revisit", "record_id").rowsBetween(Window.unboundedPreceding, 0)
     found = joined.withColumn("full", F.coalesce(F.last(full, True).over(run), "carried")).where("kind = 'revisit'")
-    found = found.withColumn("full", F.when(F.col("canonical").isNotNull(), F.col("full")))
+    found = found.withColumn("full", F.when(F.col("canonical").isNotNull() & F.col("ts").isNotNull(), F.col("full")))
     bare = lambda h: F.regexp_replace(h["etag"], "^W/", "")
     old, new = F.col("full.headers"), F.col("headers")
     outcome = (
