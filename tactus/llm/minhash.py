@@ -9,9 +9,9 @@ share an entry only where they share k-mers and their order: sensitive to edit s
 2. Representatives that share a sketch entry are candidates.  The leader of an entry is the
    smallest id of its group; each text is compared with the one leader it shares most entries
    with, which joins a group of similar texts in one pass.  Entries whose texts are then not
-   all connected make families (connected over such entries).  A family is cut into blocks of
-   at most FAMILY texts, and each pair of its blocks is one task of bounded size that compares
-   the texts sharing an entry unless they are connected already.
+   all connected make families (connected over such entries).  A family is dealt into blocks of
+   about FAMILY texts and FAMILY_WORDS words at most, and each pair of its blocks is one task of
+   bounded size that compares the texts sharing an entry unless they are connected already.
 3. A pair is verified by aligning its labelled k-mers: the longest common chain inside the
    diagonal band that a pair at the threshold can't leave.  With c chained of a and b k-mers,
    the similarity is c / (a + b - c), the Jaccard index of the k-mers met in the same order.
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactus.llm import textops as T
-from tactus.llm.storage import attach, staged
+from tactus.llm.storage import attach, staged, without
 
 
 def labelled(w: T.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,12 +138,12 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataF
     return both.mapInArrow(run, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
-#: Texts of a family that one task holds from each of two blocks.
-FAMILY = 2000
+#: Texts and words of a family that one task is meant to hold from each of two blocks.
+FAMILY, FAMILY_WORDS = 500, 1 << 19
 
 
 def links(docs: DataFrame, reps: DataFrame, total: int, k: int, threshold: float) -> DataFrame:
-    """Verified pairs (a, b, similarity) that connect all similar representatives (doc_id, sketch)."""
+    """Verified pairs (a, b, similarity) that connect all similar representatives (doc_id, n_words, sketch)."""
     entries = staged(reps.select("doc_id", F.posexplode("sketch").alias("j", "v")).select(F.xxhash64("j", "v").alias("entry"), F.col("doc_id").alias("a")), "entries")
     n = entries.count()
     groups = staged(entries.groupBy("entry").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
@@ -158,10 +158,15 @@ def links(docs: DataFrame, reps: DataFrame, total: int, k: int, threshold: float
     edges = open_.where("own > least").select(F.col("own").alias("a"), F.col("least").alias("b")).distinct()
     if open_.isEmpty():
         return good
+    rows = staged(open_.select(F.col("a").alias("doc_id"), "own").distinct(), "family-rows")
+    n = rows.count()
     grouped = components(edges).select(F.col("doc_id").alias("own"), "label")
-    families = staged(open_.select(F.col("a").alias("doc_id"), "own").distinct().join(grouped, "own"), "families")
-    sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    blocks = families.join(sizes, "label").withColumn("blocks", F.ceil(F.col("n") / FAMILY)).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    of_own = staged(rows.groupBy("own").agg(F.count(F.lit(1)).alias("n")).join(grouped, "own"), "family-labels")
+    sized = reps.select("doc_id", "n_words").hint("merge")
+    families = staged(attach(rows, of_own, ["own"], "n", n).drop("n").join(sized, "doc_id"), "families")
+    sizes = staged(families.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")), "family-sizes")
+    many = F.greatest(F.ceil(F.col("n") / FAMILY), F.ceil(F.col("words") / FAMILY_WORDS))
+    blocks = attach(families, sizes, ["label"], "n", n).withColumn("blocks", many).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
     tasks = blocks.select("doc_id", "own", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     tasks = tasks.select("doc_id", "own", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     texts = tasks.join(reps.select("doc_id", "sketch").hint("merge"), "doc_id").join(docs.select("doc_id", "text").hint("merge"), "doc_id")
@@ -241,7 +246,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, l: int
     total = rows.count()
     some = rows.where("n_words > 0 and doc_id is not null")
     reps = staged(some.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"), F.count(F.lit(1)).alias("n")), "reps")
-    pairs = links(own, reps.select(F.col("rep").alias("doc_id"), "sketch"), total, k, threshold)
+    pairs = links(own, reps.select(F.col("rep").alias("doc_id"), "n_words", "sketch"), total, k, threshold)
     labels = components(pairs)
     classed = reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("d1", "d2", "n_words", "n", F.coalesce("label", "rep").alias("class_id"))
     sizes = classed.groupBy("class_id").agg(F.sum("n").alias("class_size"))
@@ -252,6 +257,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, l: int
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One document of each class, the smallest id, with all columns."""
-    gone = near_duplicates(docs, threshold).where("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["__id"], "left_anti")
+    """One document of each class, the smallest id, with all columns.  Only ids are shuffled, if there
+    are few enough to drop (see ``without``)."""
+    return without(docs, staged(near_duplicates(docs, threshold).where("not kept").select("doc_id").distinct(), "near-duplicates"))

@@ -148,7 +148,7 @@ def classes(rows):
     return {i: root(i) for i in ids}
 
 
-def test_near_duplicates_against_brute_force(spark, docs, rng):
+def test_near_duplicates_against_brute_force(spark, docs, rng, monkeypatch):
     rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text) < 3000]
     base = [t for _, t in rows if 60 < len(t.split()) < 300][:6]
     for n, t in enumerate(base):  # families of copies with more and more words changed
@@ -162,11 +162,11 @@ def test_near_duplicates_against_brute_force(spark, docs, rng):
     got = {r.doc_id: r for r in minhash.near_duplicates(df).collect()}
     assert {k: r.class_id for k, r in got.items()} == want
     assert all(r.class_size == sum(x == r.class_id for x in want.values()) and r.kept == (k == r.class_id) for k, r in got.items())
-    minhash.FAMILY, kept = 3, minhash.FAMILY  # families over many block pairs give the same
-    try:
-        assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == want
-    finally:
-        minhash.FAMILY = kept
+    monkeypatch.setattr(minhash, "FAMILY", 3)  # families over many block pairs give the same
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(minhash, "FAMILY", 500)
+    monkeypatch.setattr(minhash, "FAMILY_WORDS", 1500)
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == want
 
 
 def test_family_links_short_texts_that_share_one_entry():
@@ -186,6 +186,28 @@ def test_family_links_short_texts_that_share_one_entry():
     assert minhash._family(5, 0.8)(family).to_pylist() == [{"a": 2, "b": 1, "similarity": 0.8}]
 
 
+def test_recall_of_sketches(rng):
+    """Of pairs at similarity 0.8 to 0.9, nearly all share a sketch entry and so can be met."""
+    import numpy as np
+
+    from tactus.llm import textops as T
+
+    met = total = 0
+    while total < 400:
+        a = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([12, 40, 150, 400]))]
+        b = list(a)
+        for _ in range(rng.randrange(1, 1 + len(a) // 35 + 1)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice([[], ["new"]])
+        if not 0.8 <= similarity(kmers(" ".join(a)), kmers(" ".join(b))) < 0.9:
+            continue
+        raw = [" ".join(x).encode() for x in (a, b)]
+        w = T.words(np.frombuffer(b"".join(raw) + bytes(16), np.uint8), np.cumsum([0, *map(len, raw)]), T.ALNUM)
+        x, y = minhash.sketch(*minhash.labelled(w, 5), 3, 20)
+        met, total = met + bool(len(np.intersect1d(x, y))), total + 1
+    assert met / total >= 0.99
+
+
 def test_near_duplicate_edges(edge, empty):
     got = {r.doc_id: (r.class_id, r.kept) for r in minhash.near_duplicates(edge).collect()}
     assert got[1] == (1, True) and got[2] == (2, True) and got[7] == (7, True) and got[6] == (5, False) and got[None] == (None, True)
