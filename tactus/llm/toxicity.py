@@ -3,11 +3,14 @@
 Tokens are words and their beginnings of PREFIXES bytes (insults are inflected and
 compounded); a word scores as the best of these.
 
-Learning: over labelled documents (copies of one another count once), each token's document frequency among toxic and clean
-ones gives a log-odds with Dirichlet priors (``prior`` pseudo-documents, dealt by the word's
-overall share, and half a document each).  Tokens whose signed root of the G statistic
-exceeds ``significance``, and of whose documents a share of ``precision`` or more is toxic, form
-the lexicon; all words without one cost ``drift``.
+Learning: over labelled documents (copies of one another count as one between them), each token's
+document frequency among toxic and clean ones gives a log-odds with Dirichlet priors (``prior``
+pseudo-documents, dealt by the word's overall share, and half a document each).  Every token that
+was met has its signed log-odds: a toxic one in full, if the signed root of its G statistic exceeds
+``significance`` and a share of ``precision`` or more of its documents is toxic, any other word's at
+most 0 and no less than -``most``; and every word costs ``drift`` besides.  A word without evidence
+costs ``drift`` alone.  Odds are reckoned and chosen in Spark; the driver gets toxic tokens, and the
+clean ones whose log-odds is under -``least``.
 
 Scoring: Ruzzo and Tompa's linear-time scan lists all maximal scoring segments of a text.
 Karlin and Altschul's extreme-value law for the clean word distribution (lambda solves
@@ -33,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactus.llm import textops as T
+from tactus.llm.storage import staged
 
 #: Labelled rows that a model is fitted on at most; with more, those of least id hash.
 MAX_LABELLED = 200_000
@@ -49,7 +53,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int = MAX_LA
 
 #: Lengths of the word beginnings that are tokens, in bytes.
 PREFIXES = (4, 5, 6, 7, 8)
-FILTER_BITS = 18
+FILTER_BITS = 22
 
 
 def beginnings(w: T.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -62,7 +66,8 @@ def beginnings(w: T.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Model:
-    """Sorted token hashes with scores; the drift of other words; lambda and K of the extreme-value law."""
+    """Sorted token hashes with scores (above 0 of toxic tokens, below of clean words); the drift of other
+    words; lambda and K of the extreme-value law."""
 
     hashes: np.ndarray
     scores: np.ndarray
@@ -71,9 +76,13 @@ class Model:
     k: float
 
 
-def _once(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id) of the labelled documents that train: of those of one label that share their least
-    five-word shingle, as copies do, the one of least id.  At most MAX_LABELLED."""
+#: A document counts as 1/UNIT parts, so that sums are exact in any order.
+UNIT = 1 << 20
+
+
+def _weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, weight) of the labelled documents: those of one label that share their least five-word
+    shingle, as copies do, weigh UNIT together.  At most MAX_LABELLED."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in T.chunks(batches):
@@ -84,60 +93,67 @@ def _once(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 key[some] = np.minimum.reduceat(h, first[:-1][some])
             yield pa.RecordBatch.from_arrays([*T.take_columns(c.rows, ["doc_id", "label"]), pa.array(key.view(np.int64))], names=["doc_id", "label", "key"])
 
-    own = labelled(docs, labels, "toxic", with_id=True)
-    return own.mapInArrow(least, "doc_id long, label int, key long").groupBy("label", "key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    keys = staged(labelled(docs, labels, "toxic", with_id=True).mapInArrow(least, "doc_id long, label int, key long"), "toxicity-keys")
+    sizes = keys.groupBy("label", "key").agg(F.count(F.lit(1)).alias("n"))
+    return keys.join(sizes, ["label", "key"]).groupBy("doc_id").agg(F.min(F.ceil(F.lit(UNIT) / F.col("n"))).alias("weight"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float = 10.0, significance: float = 6.0, precision: float = 0.9, drift: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, prior: float = 10.0, significance: float = 6.0, precision: float = 0.9, drift: float = 0.05, most: float = 1.0, least: float = 0.1) -> Model:
     """Learn from all labelled documents given (up to MAX_LABELLED)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in T.chunks(batches):
-            toxic = c.rows.column(1).to_numpy(zero_copy_only=False) > 0
+            toxic, weight = (x.to_numpy(zero_copy_only=False) for x in T.take_columns(c.rows, ["label", "weight"]))
+            toxic = toxic > 0
             w = T.words(c.data, c.offs, T.ALNUM)
             row_of = w.row_of()
-            places, hashes = (np.concatenate(x) for x in zip(*beginnings(w)))
-            order = np.argsort(places, kind="stable")
-            hashes, rows = hashes[order], row_of[places[order]]
+            at_word, hashes = (np.concatenate(x) for x in zip(*beginnings(w)))
+            whole = np.arange(len(at_word)) < len(w.hash)
+            order = np.argsort(at_word, kind="stable")
+            hashes, rows, whole = hashes[order], row_of[at_word[order]], whole[order]
             once = T.occurrence(hashes, np.searchsorted(rows, np.arange(len(w.first)))) == 0
             h, at = np.unique(hashes[once], return_inverse=True)
-            t = toxic[rows[once]]
-            a, b = (np.bincount(at, x, len(h)).astype(np.int64) for x in (t, ~t))
+            rows = rows[once]
+            a, b = (np.rint(np.bincount(at, weight[rows] * x[rows], len(h))).astype(np.int64) for x in (toxic, ~toxic))
+            words = np.bincount(at, whole[once], len(h)) > 0  # tokens that are words, not only beginnings
             h = np.concatenate([h.view(np.int64), [0]])  # and the totals: documents of each kind, and clean words
             kind = np.concatenate([np.zeros(len(h) - 1, np.int64), [1]])
-            clean_words = int((~toxic[row_of]).sum())
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h), pa.array(np.append(a, toxic.sum())), pa.array(np.append(b, (~toxic).sum())), pa.array(np.append(np.zeros(len(a), np.int64), clean_words))], names=["kind", "h", "a", "b", "words"])
-
-    own = docs.join(F.broadcast(_once(docs, labels)), "doc_id", "left_semi")
-    counts = labelled(own, labels, "toxic").mapInArrow(count, "kind long, h long, a long, b long, words long").groupBy("kind", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("words").alias("words"))
-    # the totals, and words that toxic documents hold more than once: bounded with the labelled sample
-    found = counts.where("kind = 1 or a > 1").toPandas()
-    totals = found[found.kind == 1]
-    if totals.empty or not int(totals.a.iloc[0]) or not int(totals.b.iloc[0]):
+            clean_words = int((weight[row_of] * ~toxic[row_of]).sum())
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h), pa.array(np.append(a, (weight * toxic).sum())), pa.array(np.append(b, (weight * ~toxic).sum())), pa.array(np.append(words.astype(np.int64), clean_words))], names=["kind", "h", "a", "b", "words"])
+
+    weighed = labelled(docs, labels, "toxic", with_id=True).join(F.broadcast(_weights(docs, labels)), "doc_id")
+    counts = weighed.select("text", "label", "weight").mapInArrow(count, "kind long, h long, a long, b long, words long")
+    counts = staged(counts.groupBy("kind", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("words").alias("words")), "toxicity-counts")
+    totals = counts.where("kind = 1").first()
+    if totals is None or not totals.a or not totals.b:
         return Model(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 1.0)
-    docs_a, docs_b, clean_words = (float(totals[c].iloc[0]) for c in ("a", "b", "words"))
-    words = found[found.kind == 0]
-    a, b = words.a.to_numpy(float), words.b.to_numpy(float)
+    docs_a, docs_b, clean_words = (float(totals[c]) / UNIT for c in ("a", "b", "words"))
     share = docs_a / (docs_a + docs_b)
-    g = 2 * (a * np.log(a / ((a + b) * share)) + np.where(b > 0, b * np.log(np.maximum(b, 1) / ((a + b) * (1 - share))), 0))
-    root = np.sign(a - (a + b) * share) * np.sqrt(np.maximum(g, 0))
+    a, b = F.col("a") / UNIT, F.col("b") / UNIT
+    part = lambda x, of: F.when(x > 0, x * F.log(x / ((a + b) * of))).otherwise(0.0)
+    root = F.signum(a - (a + b) * share) * F.sqrt(F.greatest(2 * (part(a, share) + part(b, 1 - share)), F.lit(0.0)))
     at = 0.5 + prior * (a + b) / (docs_a + docs_b)
-    odds = lambda x, n: np.log((x + at) / np.maximum(n + prior + 1 - x - at, 0.5))
-    score = odds(a, docs_a) - odds(b, docs_b)
-    keep = (root > significance) & (a >= precision * (a + b)) & (score > drift)
-    h, s, p = words.h.to_numpy(np.int64)[keep].view(np.uint64), score[keep], (b[keep] + 0.5) / max(clean_words, 1)
+    odds = lambda x, n: F.log((x + at) / F.greatest(n + prior + 1 - x - at, F.lit(0.5)))
+    scored = counts.where("kind = 0").select("h", b.alias("b"), (odds(a, docs_a) - odds(b, docs_b)).alias("score"), ((root > significance) & (a >= precision * (a + b))).alias("toxic"), (F.col("words") > 0).alias("word"))
+    chosen = scored.where(F.col("toxic") & (F.col("score") > drift) | F.col("word") & ~F.col("toxic") & (F.col("score") < -least))
+    found = chosen.select("h", "b", F.when(F.col("toxic"), F.col("score")).otherwise(F.greatest(F.col("score"), F.lit(-most))).alias("score")).toPandas().sort_values("h")
+    # hashes are compared as unsigned numbers
+    h, s, p = found.h.to_numpy(np.int64).view(np.uint64), found.score.to_numpy(float), (found.b.to_numpy(float) + 0.5) / max(clean_words, 1)
     order = np.argsort(h)
+    h, s, p = h[order], s[order], p[order]
+    up = s > 0
+    s = np.where(up, s, s - drift)
     lam = _lambda(p, s, drift)
-    down = np.argsort(-s)
-    k = float((np.cumsum(p[down]) * np.exp(np.minimum(lam * s[down], 600))).max()) if len(s) else 1.0
-    return Model(h[order], s[order], drift, lam, k)
+    down = np.argsort(-s[up])
+    k = float((np.cumsum(p[up][down]) * np.exp(np.minimum(lam * s[up][down], 600))).max()) if up.any() else 1.0
+    return Model(h, s, drift, lam, k)
 
 
 def _lambda(p: np.ndarray, s: np.ndarray, drift: float) -> float:
     """The positive solution of sum p e^(lambda s) = 1, the other words scoring -drift."""
     rest = 1 - p.sum()
     f = lambda x: float((p * np.exp(np.minimum(x * s, 600))).sum() + rest * math.exp(-x * drift) - 1)
-    if not len(p) or f(1e-6) >= 0:
+    if not (s > 0).any() or f(1e-6) >= 0:
         return 1e-3
     lo, hi = 1e-6, 1.0
     while f(hi) < 0:
@@ -148,15 +164,13 @@ def _lambda(p: np.ndarray, s: np.ndarray, drift: float) -> float:
     return lo
 
 
-def segments(place: list[int], gain: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score) of a sequence in which the elements at
-    ``place`` score ``gain`` and every other one -drift.  Linear: runs of others are one step."""
+def segments(place: list[int], total: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score) of a sequence by its running sums (one more
+    than its elements) and the places of its elements above 0.  Linear in these: elements between
+    them are one step."""
     found: list[list] = []  # start, end, sum before it, sum to its end, last one before it of a lower sum before
-    total, last = 0.0, -1
-    for p, s in zip(place, gain):
-        before = total - drift * (p - last - 1)
-        total, last = before + s, p
-        own = [p, p + 1, before, total]
+    for p, before, after in zip(place, total[place].tolist(), total[np.asarray(place, int) + 1].tolist()):
+        own = [p, p + 1, before, after]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= own[2]:
@@ -186,6 +200,26 @@ def evidence(p: float) -> float:
     return b / (1 + b)
 
 
+def word_scores(model: Model, w: T.Words) -> np.ndarray:
+    """The best of the toxic tokens that a word is or begins with; without any, its own clean one's
+    score, or the drift."""
+    mask = np.uint64((1 << FILTER_BITS) - 1)
+    possible = np.zeros(1 << FILTER_BITS, bool)
+    possible[(model.hashes & mask).astype(np.int64)] = True
+    best = np.full(len(w.hash), -model.drift)
+    for k, (place, h) in enumerate(beginnings(w)):
+        some = np.flatnonzero(possible[(h & mask).astype(np.int64)])
+        at = np.minimum(np.searchsorted(model.hashes, h[some]), len(model.hashes) - 1)
+        same = model.hashes[at] == h[some]
+        place, value = place[some[same]], model.scores[at[same]]
+        if k == 0:
+            best[place] = value
+        else:
+            toxic = value > 0
+            np.maximum.at(best, place[toxic], value[toxic])
+    return best
+
+
 def score_chunk(model: Model, c: T.Chunk) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """Score and significant passages (word start, word end, normalised score) of each row."""
     w = T.words(c.data, c.offs, T.ALNUM)
@@ -193,23 +227,14 @@ def score_chunk(model: Model, c: T.Chunk) -> tuple[np.ndarray, list[list[tuple[i
     score, passages = np.zeros(rows), [[] for _ in range(rows)]
     if not len(model.hashes) or not len(w.hash):
         return score, passages
-    mask = np.uint64((1 << FILTER_BITS) - 1)
-    possible = np.zeros(1 << FILTER_BITS, bool)
-    possible[(model.hashes & mask).astype(np.int64)] = True
-    best = np.full(len(w.hash), -1.0)
-    for place, h in beginnings(w):
-        some = np.flatnonzero(possible[(h & mask).astype(np.int64)])
-        at = np.minimum(np.searchsorted(model.hashes, h[some]), len(model.hashes) - 1)
-        same = model.hashes[at] == h[some]
-        np.maximum.at(best, place[some[same]], model.scores[at[same]])
+    best = word_scores(model, w)
     hit = np.flatnonzero(best > 0)
     row = np.searchsorted(w.first, hit, "right") - 1
-    gain = best[hit]
     for r in np.unique(row):
-        mine = row == r if len(row) < 64 else slice(*np.searchsorted(row, [r, r + 1]))
-        n = int(w.first[r + 1] - w.first[r])
-        all_of = segments((hit[mine] - w.first[r]).tolist(), gain[mine].tolist(), model.drift)
-        passages[r] = [(s, e, x) for s, e, v in all_of if (x := model.lam * v - math.log(model.k * n)) > 0]
+        a, b = int(w.first[r]), int(w.first[r + 1])
+        mine = slice(*np.searchsorted(row, [r, r + 1]))
+        all_of = segments((hit[mine] - a).tolist(), np.concatenate([[0.0], np.cumsum(best[a:b])]))
+        passages[r] = [(s, e, x) for s, e, v in all_of if (x := model.lam * v - math.log(model.k * (b - a))) > 0]
         score[r] = evidence(tail([x for _, _, x in passages[r]]))
     return score, passages
 

@@ -92,9 +92,9 @@ def brute_segments(scores):
 
 def test_segments_against_definition(rng):
     for _ in range(200):
-        scores = [rng.choice([-0.37, -0.37, -0.37, 1.1, 0.53, 2.3]) for _ in range(rng.randrange(1, 14))]
+        scores = [rng.choice([-0.37, -0.37, -0.91, 1.1, 0.53, 2.3]) for _ in range(rng.randrange(1, 14))]
         place = [i for i, s in enumerate(scores) if s > 0]
-        got = toxicity.segments(place, [scores[i] for i in place], 0.37)
+        got = toxicity.segments(place, np.concatenate([[0.0], np.cumsum(scores)]))
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in brute_segments(scores)]
         assert [s for *_, s in got] == pytest.approx([s for *_, s in brute_segments(scores)])
 
@@ -107,6 +107,67 @@ def test_toxicity_held_out(spark):
     assert r.get((0, 1), 0) / r[(0, 0)] < 0.01
 
 
+def test_toxicity_of_whole_texts_by_hand(spark, rng):
+    """Learning and scoring of a small table equal plain counting and the recursive definition."""
+    import re
+
+    bad, good = ["scum", "vermin"], [f"w{k}" for k in range(12)] + ["kindness"]
+    rows, labels = [], []
+    for i in range(240):
+        toxic = i % 4 == 0
+        w = [rng.choice(good) for _ in range(rng.randrange(5, 40))]
+        if toxic:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(bad) + rng.choice(["", "", "hood"]))
+        elif i % 3:
+            w.append("kindness")
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    rows += [(1000 + k, rows[0][1]) for k in range(5)]  # copies, which count as one
+    labels += [(1000 + k, 1) for k in range(5)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+
+    words = {i: re.findall(r"[a-z0-9]+", t) for i, t in rows}
+    tokens = lambda w: {w} | {w[:k] for k in toxicity.PREFIXES if len(w) > k}
+    label, once = dict(labels), {i: 1 for i, _ in rows[:240]}
+    a, b = {}, {}
+    for i in once:
+        for t in {t for w in words[i] for t in tokens(w)}:
+            into = a if label[i] else b
+            into[t] = into.get(t, 0) + 1
+    n_a, n_b = sum(label[i] for i in once), sum(1 - label[i] for i in once)
+    clean_words = sum(len(words[i]) for i in once if not label[i])
+    score, p = {}, {}
+    whole = {w for i in once for w in words[i]}
+    for t in {*a, *b}:
+        x, y = a.get(t, 0), b.get(t, 0)
+        share = n_a / (n_a + n_b)
+        g = 2 * sum(v * math.log(v / ((x + y) * s)) for v, s in ((x, share), (y, 1 - share)) if v)
+        root = math.copysign(math.sqrt(max(g, 0)), x - (x + y) * share)
+        at = 0.5 + 10 * (x + y) / (n_a + n_b)
+        odds = math.log((x + at) / max(n_a + 11 - x - at, 0.5)) - math.log((y + at) / max(n_b + 11 - y - at, 0.5))
+        if root > 6 and x >= 0.9 * (x + y) and odds > 0.05:
+            score[t] = odds
+        elif t in whole and odds < -0.1 and not (root > 6 and x >= 0.9 * (x + y)):
+            score[t] = max(odds, -1.0) - 0.05
+        if t in score:
+            p[t] = (y + 0.5) / clean_words
+    assert len(model.hashes) == len(score) and sorted(model.scores) == pytest.approx(sorted(score.values()))
+    assert {t for t, s in score.items() if s > 0} >= {"scum", "vermin"} and score["kindness"] < -0.05
+    assert sum(q * math.exp(model.lam * score[t]) for t, q in p.items()) + (1 - sum(p.values())) * math.exp(-0.05 * model.lam) == pytest.approx(1)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, w in words.items():
+        each = []
+        for x in w:
+            toxic = [score[t] for t in tokens(x) if score.get(t, 0) > 0]
+            each.append(max(toxic) if toxic else score.get(x, -0.05))
+        normal = [(s, e, model.lam * v - math.log(model.k * len(w))) for s, e, v in brute_segments(each)] if len(w) < 45 else None
+        want = [x for x in normal if x[2] > 0]
+        assert [(x["start"], x["end"]) for x in got[i].passages] == [x[:2] for x in want]
+        assert got[i].score == pytest.approx(toxicity.evidence(toxicity.tail([x[2] for x in want])) if any(v > 0 for v in each) else 0)
+
+
 def test_toxicity_edges(edge, empty, docs, labels):
     model = toxicity.fit(docs, labels)
     got = {r.doc_id: r.score for r in toxicity.score(edge, model).collect()}
