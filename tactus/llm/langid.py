@@ -1,7 +1,8 @@
 """Operator 4: language identification by rank-order n-gram profiles.
 
 N-grams are runs of 1 to 4 bytes of UTF-8, lower-cased in A-Z, inside words (digits and
-punctuation are boundaries; every word is framed by one space).  A language's profile is its
+punctuation are boundaries; every word is framed by one space, and an n-gram holds at most one
+of the two).  A language's profile is its
 ``size`` most frequent n-grams over all training documents, in order.  A document's own most
 frequent n-grams are compared with each profile: the out-of-place distance sums how far each
 n-gram's rank is from its rank in the profile, or ``size`` if the profile lacks it.  The

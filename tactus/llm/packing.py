@@ -1,7 +1,8 @@
 """Operator 1: cost-balanced packing of documents into fixed-size training sequences.
 
 Each task tokenizes its documents, gathers them in windows of about ``window_tokens``
-tokens (two thousand full sequences; bounded memory), and packs each window on its own:
+tokens (two thousand full sequences) and at most ``window_rows`` documents, which bounds
+its memory, and packs each window on its own:
 no shuffle, and a task run again after a lost executor gives the same rows.
 
 Within a window a document of more than ``seq_len`` tokens gives full sequences and a
@@ -83,7 +84,7 @@ def assign(lengths: list[int], seq_len: int, linear: float, quadratic: float) ->
     return out, np.concatenate([np.array(costs), cost])
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", eos_id: int = 1, seq_len: int = 2048, linear: float = 1.0, quadratic: float = 1.0 / 4096, window_tokens: int = 2048 * 2048) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", eos_id: int = 1, seq_len: int = 2048, linear: float = 1.0, quadratic: float = 1.0 / 4096, window_tokens: int = 2048 * 2048, window_rows: int = 1 << 17) -> DataFrame:
     """One row per piece; ``cost`` is the estimated cost of the whole sequence it lies in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 ids = np.array([*encode(text.as_py() or ""), eos_id], "<u4")
                 held.append((key, ids))
                 size += len(ids)
-                if size >= window_tokens:
+                if size >= window_tokens or len(held) >= window_rows:
                     yield flush()
                     size = 0
         if held:

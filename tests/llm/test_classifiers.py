@@ -21,6 +21,57 @@ def test_language_held_out(spark):
     assert right / n > 0.98
 
 
+def plain_grams(text):
+    """1 to 4 bytes of lower-cased words, each framed by one space of which a gram holds at most one, with plain loops."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    word, counts = bytearray(), {}
+    for b in [*low, 32]:
+        if 97 <= b <= 122 or b >= 128:
+            word.append(b)
+            continue
+        if word:
+            framed = b" " + bytes(word) + b" "
+            for n in range(1, 5):
+                for i in range(len(framed) - n + 1):
+                    g = framed[i : i + n]
+                    if g.strip(b" ") and not (g[0] == g[-1] == 32):
+                        counts[g] = counts.get(g, 0) + 1
+        word = bytearray()
+    return counts
+
+
+def gram_bytes(key):
+    return (key & (1 << 40) - 1).to_bytes(5, "big")[5 - (key >> 40) :]
+
+
+def test_grams_and_profiles_by_hand(spark):
+    texts = ["Der the, the 12ab", "É日本 x", " a b ", ""]
+    (c,) = T.chunks(iter([pa.RecordBatch.from_pydict({"text": pa.array([f" {t} " for t in texts])})]))
+    keys, rows = langid.grams(c)
+    for r, t in enumerate(texts):
+        got = {}
+        for k in keys[rows == r].tolist():
+            got[gram_bytes(k)] = got.get(gram_bytes(k), 0) + 1
+        assert got == plain_grams(t)
+    rows = [("en", " the theatre then "), ("en", " there "), ("de", " der die das "), (None, " zzz ")]
+    got = langid.profiles(spark.createDataFrame(rows, "lang string, text string"), 12)
+    for lang in ("en", "de"):
+        total = {}
+        for k, t in rows:
+            if k == lang:
+                for g, n in plain_grams(t).items():
+                    total[g] = total.get(g, 0) + n
+        key = lambda g: len(g) << 40 | int.from_bytes(g, "big")
+        assert [gram_bytes(int(k)) for k in got[lang]] == sorted(total, key=lambda g: (-total[g], key(g)))[:12]
+    assert set(got) == {"en", "de"}
+
+
+def test_language_ties_go_to_the_smaller_name(spark):
+    same = spark.createDataFrame([("b", " one two "), ("a", " one two ")], "lang string, text string")
+    d = spark.createDataFrame([(1, "one"), (2, "other")], "doc_id long, text string")
+    assert {r.lang_pred for r in langid.identify(d, langid.profiles(same)).collect()} == {"a"}
+
+
 def test_language_distance_against_brute_force(docs):
     size = 50
     profiles = langid.profiles(docs.where("doc_id < 60"), size)

@@ -68,3 +68,37 @@ def test_balance():
     for _, _, n, s, _ in pieces:
         room[s] = room.get(s, 0) + n
     assert sorted(room.values())[0] >= 500
+
+
+def plain(lengths, seq_len, linear, quadratic):
+    """The same packing with plain loops: pieces by falling cost to the cheapest sequence with room."""
+    cost_of = lambda n: linear * n + quadratic * n * n
+    full = [(d, k * seq_len, seq_len, 0) for d, n in enumerate(lengths) for k in range(n // seq_len)]
+    rest = sorted(((n % seq_len, d, n - n % seq_len) for d, n in enumerate(lengths) if n % seq_len), key=lambda x: (-cost_of(x[0]), x[1]))
+    bins = [[0, 0.0] for _ in range(-(-sum(n for n, _, _ in rest) // seq_len))]
+    out = [(d, s, n, k, at) for k, (d, s, n, at) in enumerate(full)]
+    for n, d, start in rest:
+        while n:
+            fits = [k for k, (used, _) in enumerate(bins) if seq_len - used >= n]
+            k = min(fits, key=lambda i: (bins[i][1], i)) if fits else max(range(len(bins)), key=lambda i: (seq_len - bins[i][0], -i))
+            put = min(n, seq_len - bins[k][0])
+            out.append((d, start, put, len(full) + k, bins[k][0]))
+            bins[k][0] += put
+            bins[k][1] += cost_of(put)
+            n, start = n - put, start + put
+    return out, [cost_of(seq_len)] * len(full) + [c for _, c in bins]
+
+
+def test_assign_equals_plain_greedy(rng):
+    for _ in range(60):
+        lengths = [rng.choice([rng.randrange(1, 40), rng.randrange(1, 8), 16, 5, 5]) for _ in range(rng.randrange(0, 40))]  # ties among them
+        want, costs = plain(lengths, 16, 1.0, 0.25)
+        got, got_costs = packing.assign(lengths, 16, 1.0, 0.25)
+        assert sorted(map(tuple, got)) == sorted(want) and np.allclose(got_costs, costs)
+
+
+def test_windows_are_bounded_by_rows(spark):
+    many = spark.createDataFrame([(i, None if i % 2 else "") for i in range(1000)], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(many, window_rows=100).collect()
+    check(rows, {i: "" for i in range(1000)})
+    assert len({r.sequence_id for r in rows}) == 10
