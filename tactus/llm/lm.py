@@ -11,12 +11,12 @@ costs the logarithm of the number of the class's words in the group, a REPEAT th
 share of the text's rarer tokens; a new word the spelling of its bytes after the group (see
 ``spelling``), which is mixed bit by bit too.
 
-Decisions.  Five bit predictors give log-odds for a node of the trees: its counts over the
-corpus; under the last of the GUIDES commonest words (which tells language and register); under
-the symbol before (for a group: its class); under a hash of symbol before and guide; and its
-counts in the text so far, which adapt to the text.  They are mixed by the weights of a gate
-(depth in the tree, how often the hashed context and the node in the text were seen), and an
-adaptive map by guide refines the result.
+Decisions.  Four bit predictors give log-odds for a node of the trees: its counts over the
+corpus; under the last of the GUIDES commonest words (which tells language and register); under a
+hash of that and the symbol before (for a group: its class); and its counts in the text so far,
+which adapt to the text.  They are mixed by the weights of a gate (depth in the tree, how often
+the hashed context and the node in the text were seen), and an adaptive map by guide refines the
+result.
 
 Learning takes all training documents in one online pass: each part is predicted with what the
 task has counted so far, weights and map are moved, and then the part is counted.  Tasks' counts
@@ -28,7 +28,7 @@ counts.
 
 What is gathered grows with the corpus in the words and their counts, which are a partitioned
 table.  Decision tables have a fixed size by construction: their contexts are symbols of the trees,
-of which there are about FREQUENT + 160 whatever the corpus (HASH_BITS slots for the pairs).
+of which there are about FREQUENT + 160 whatever the corpus (2^HASH_BITS slots for the pairs).
 
 Flow: tasks cut their documents into chunks of about CHUNK bytes and write the chunk's distinct
 words and, as one row, its token numbers; words are counted over all chunks by one shuffle; a
@@ -69,10 +69,10 @@ SYMBOLS = START
 GROUPS = 64
 OTHER = GROUPS - 1
 NODES = SYMBOLS - 1 + GROUPS - 1
-HASH_BITS = [21, 22]
-BASE = np.cumsum([0, NODES, (GUIDES + 1) * NODES, 1 << HASH_BITS[0], 1 << HASH_BITS[1]])
+HASH_BITS = 22
+BASE = np.cumsum([0, NODES, (GUIDES + 1) * NODES, 1 << HASH_BITS])
 STEPS = np.arange(1, NODES + 1, dtype=np.uint64) * T._M1
-INPUTS, GATES, STEP = 6, 8 * 4 * 4, 32_768
+INPUTS, GATES, STEP = 5, 8 * 4 * 4, 32_768
 #: Chunks that a task of the learning passes takes, at least.
 CHUNKS_A_TASK = 16
 PRIOR = np.float32(0.3)
@@ -190,8 +190,7 @@ def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Co
     at = np.maximum.accumulate(np.where(symbol < GUIDES, np.arange(n), -1)) if n else np.zeros(0, np.int64)
     at = np.concatenate([[-1], at[:-1]])[:n]
     guide = (np.where(at >= first[:-1][row], symbol[np.maximum(at, 0)], GUIDES) if n else at)
-    both = T.mix((prev * (GUIDES + 1) + guide).astype(np.uint64) + T._M2)
-    alone, within = (T.mix(x.astype(np.uint64) + T._M1) for x in (prev, symbol + SYMBOLS + 1))
+    before, within = (T.mix((x * (GUIDES + 1) + guide).astype(np.uint64) + T._M2) for x in (prev, symbol + SYMBOLS + 1))
     carried = None
     for a in range(0, n, PART):
         b = min(n, a + PART)
@@ -207,9 +206,8 @@ def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Co
         step = STEPS.take(node)
         here = guide[a:b].take(token)
         slots = [node, here * NODES + (node + BASE[1])]
-        context = np.where(grouped, within[a:b].take(token), alone[a:b].take(token))
-        for j, h in enumerate((context, both[a:b].take(token))):
-            slots.append((((h + step) * T._M2) >> np.uint64(64 - HASH_BITS[j])).astype(np.int64) + BASE[2 + j])
+        context = np.where(grouped, within[a:b].take(token), before[a:b].take(token))
+        slots.append((((context + step) * T._M2) >> np.uint64(64 - HASH_BITS)).astype(np.int64) + BASE[2])
         text = row[a:b].take(token)
         groups = pd.Series(bit.astype(np.int64)).groupby((text - row[a]) * NODES + node, sort=False)
         ones = groups.cumsum().to_numpy() - bit
@@ -240,7 +238,7 @@ class Model:
 
     def __post_init__(self) -> None:
         self.odds = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR))
-        self.sure = SURE.take(self.counts[BASE[3] :].sum(1).astype(np.int64), mode="clip").astype(np.uint8)
+        self.sure = SURE.take(self.counts[BASE[2] :].sum(1).astype(np.int64), mode="clip").astype(np.uint8)
 
     def __getstate__(self) -> tuple:
         return S._squeeze(self.counts), self.weights, self.map
@@ -255,9 +253,9 @@ class Model:
         x = np.empty((INPUTS, len(p.bit)), np.float32)
         for j, s in enumerate(p.slots):
             self.odds.take(s, out=x[j], mode="clip")
-        x[4] = LOGS.take(p.own[1]) - LOGS.take(p.own[0])
-        x[5] = 0.3
-        mixed = S.mix(x, self.weights, _gate(p.depth, self.sure.take(p.slots[3] - BASE[3]), p.own))
+        x[3] = LOGS.take(p.own[1]) - LOGS.take(p.own[0])
+        x[4] = 0.3
+        mixed = S.mix(x, self.weights, _gate(p.depth, self.sure.take(p.slots[2] - BASE[2]), p.own))
         q = S.refine(self.map, S.squash(mixed), mixed, p.guide)
         return -np.log2(np.where(p.bit > 0, q, 1 - q))
 
@@ -434,8 +432,8 @@ def learn_texts(rows: Iterator[dict], code: Code) -> tuple[np.ndarray, S.Learner
                     for j, s in enumerate(p.slots):
                         n = pairs.take(s[some]).view(np.float32).reshape(-1, 2)
                         x[j] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
-                    x[4] = LOGS.take(own[1]) - LOGS.take(own[0])
-                    x[5] = 0.3
+                    x[3] = LOGS.take(own[1]) - LOGS.take(own[0])
+                    x[4] = 0.3
                     sure = SURE.take((n[:, 0] + n[:, 1]).astype(np.int64), mode="clip")
                     learner.step(x, _gate(p.depth[some], sure, own), p.bit[some].astype(np.float32), p.guide[some])
                 learner.seen += len(p.bit)

@@ -127,15 +127,15 @@ class Learner:
         mixed = mix(x, self.weights, gate)
         miss = set_ - squash(mixed)
         per = np.bincount(gate, minlength=gates)[:, None]
+        miss = miss.astype(np.float32)
         slope = np.stack([np.bincount(gate, miss * row, gates) for row in x], 1) / np.maximum(per, 1)
         self.speed = np.where(per > 0, 0.95 * self.speed + 0.05 * (slope**2).mean(1, keepdims=True), self.speed)
         self.weights += self.rate * (per / (20 + per)) * slope / (np.sqrt(self.speed) + 1e-3) / np.sqrt(1 + self.steps / 800)
         if self.steps > 20:
             low, part = bucket(mixed)
-            at = context * BUCKETS + low
-            for k, s in ((at, 1 - part), (at + 1, part)):
-                self.hits += np.bincount(k, s * set_, len(self.hits))
-                self.tries += np.bincount(k, s, len(self.tries))
+            at = context * BUCKETS + low + (part > 0.5)
+            self.hits += np.bincount(at, set_, len(self.hits))
+            self.tries += np.bincount(at, minlength=len(self.tries))
 
     def vector(self) -> np.ndarray:
         """Weights times ``seen``, hits, tries and ``seen``: what adds up over tasks."""

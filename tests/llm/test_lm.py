@@ -123,14 +123,13 @@ def test_whole_text_by_hand(rng):
             for d, (node, bit) in enumerate(path(code, symbol) + (group_path(code, group) if group is not None else [])):
                 inside = d - len(path(code, symbol))
                 step = (node + 1) * int(lm.T._M1)
-                one = mix(prev + int(lm.T._M1)) if inside < 0 else mix(symbol + lm.SYMBOLS + 1 + int(lm.T._M1) & (1 << 64) - 1)
-                two = mix(prev * (lm.GUIDES + 1) + guide + int(lm.T._M2))
+                context = mix((prev if inside < 0 else symbol + lm.SYMBOLS + 1) * (lm.GUIDES + 1) + guide + int(lm.T._M2))
                 at = [node, int(lm.BASE[1]) + guide * lm.NODES + node]
-                at += [int(lm.BASE[2 + j]) + ((h + step) * int(lm.T._M2) % (1 << 64) >> 64 - lm.HASH_BITS[j]) for j, h in enumerate((one, two))]
+                at.append(int(lm.BASE[2]) + ((context + step) * int(lm.T._M2) % (1 << 64) >> 64 - lm.HASH_BITS))
                 c0, c1 = own.get(node, (0, 0))
                 x = [math.log((counts[s, 1] + 0.3) / (counts[s, 0] + 0.3)) for s in at] + [math.log((c1 + 0.3) / (c0 + 0.3)), 0.3]
                 depth = min(d, 5) if inside < 0 else 6 + (inside > 0)
-                gate = (depth * 4 + sure(counts[at[3]].sum())) * 4 + sure(c0 + c1)
+                gate = (depth * 4 + sure(counts[at[2]].sum())) * 4 + sure(c0 + c1)
                 mixed = sum(a * b for a, b in zip(x, learner.weights[gate]))
                 p = float(S.refine(model.map, S.squash(np.array([mixed])), np.array([mixed]), np.array([guide]))[0])
                 total -= math.log2(p if bit else 1 - p)
