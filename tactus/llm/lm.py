@@ -209,9 +209,7 @@ def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Co
         context = np.where(grouped, within[a:b].take(token), before[a:b].take(token))
         slots.append((((context + step) * T._M2) >> np.uint64(64 - HASH_BITS)).astype(np.int64) + BASE[2])
         text = row[a:b].take(token)
-        groups = pd.Series(bit.astype(np.int64)).groupby((text - row[a]) * NODES + node, sort=False)
-        ones = groups.cumsum().to_numpy() - bit
-        own = [groups.cumcount().to_numpy() - ones, ones]
+        own = _met_before(node, text, bit)
         if carried is not None and carried[0] == row[a]:  # a text that began in the part before
             same = np.flatnonzero(text == row[a])
             for k in range(2):
@@ -224,6 +222,21 @@ def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Co
         yield Part(token + a, text, node, bit, slots, here, np.where(grouped, 6 + (inside > 0), np.minimum(depth, 5)), own)
 
 
+def _met_before(node: np.ndarray, text: np.ndarray, bit: np.ndarray) -> list[np.ndarray]:
+    """For each decision, how many of its text at its node before it were 0 and 1.  Texts come in
+    order, so that after a stable sort by node those of a text stand together."""
+    order = np.argsort(node.astype(np.uint16), kind="stable")
+    n, t, b = node.take(order), text.take(order), bit.take(order).astype(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (t[1:] != t[:-1])]))
+    many = np.diff(np.append(start, len(n)))
+    before = np.cumsum(b) - b
+    ones = before - np.repeat(before[start], many)
+    place = np.arange(len(n)) - np.repeat(start, many)
+    out = [np.empty(len(n), np.int64), np.empty(len(n), np.int64)]
+    out[0][order], out[1][order] = place - ones, ones
+    return out
+
+
 def _gate(depth: np.ndarray, sure: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
     return (depth * 4 + sure) * 4 + SURE.take(own[0] + own[1], mode="clip")
 
