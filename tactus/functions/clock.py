@@ -20,9 +20,15 @@ def stamp(of: Column) -> Column:
 
 
 def parse_stamp(line: Column) -> Column:
-    """Hundredths of a stamped line; null if there is no well-formed stamp."""
-    g = [F.try_to_number(F.regexp_extract(line, STAMPED, k), F.lit("9999999")).cast("int") for k in (1, 2, 3)]
-    return F.when(line.rlike(STAMPED), g[0] * 6000 + g[1] * 100 + g[2])
+    """Hundredths of a stamped line; null without a well-formed stamp or beyond 32 bits."""
+    minutes, seconds, rest = (F.regexp_extract(line, STAMPED, k).try_cast("long") for k in (1, 2, 3))
+    fits = minutes <= F.floor((2147483647 // 100 - seconds) / 60)
+    return F.when(line.rlike(STAMPED) & fits, (minutes * 6000 + seconds * 100 + rest).cast("int"))
+
+
+def stamp_length(of: Column) -> Column:
+    """Characters of the stamp of some hundredths: two digits of minutes or more, and eight others."""
+    return F.greatest(F.length(F.floor(of / 6000).cast("string")), F.lit(2)) + 8
 
 
 def stamped_text(line: Column) -> Column:

@@ -134,16 +134,17 @@ def first_bad_byte(raw: pd.Series) -> pd.Series:
     return raw.map(of).astype("Int32")
 
 
-def effective_split(language: Column, split: Column) -> Column:
+def effective_split(language: str, split: str) -> str:
     """Japanese and Chinese split into characters unless the mode is 'current'."""
-    return F.when((split != "current") & language.isin("jpn", "chi"), "char").otherwise(split)
+    return "char" if split != "current" and language in ("jpn", "chi") else split
 
 
 def romanize(words: DataFrame, column: str = "word", block: int = 20_000) -> DataFrame:
     """``words`` with ``romanized``: Any-Latin; Latin-ASCII, then letters only.
 
-    Distinct non-ASCII words are transliterated on the driver, a block of ``block`` at a time
-    (they are streamed, never collected whole), and joined back; ASCII words need none.
+    Distinct non-ASCII words are transliterated on the driver, a block of ``block`` at a time in one
+    call (they are streamed, never collected whole), and joined back; ASCII words need none.  A word
+    that holds a line break is transliterated alone.
     """
     from tactus.sources.tables import scratch
 
@@ -153,30 +154,54 @@ def romanize(words: DataFrame, column: str = "word", block: int = 20_000) -> Dat
     parts, held = [], []
 
     def flush() -> None:
-        parts.append(scratch(spark.createDataFrame([(w, icu.transliterate(w)) for w in held], f"{column} string, latin string")))
+        plain = [w for w in held if "\n" not in w]
+        latin = icu.transliterate("\n".join(plain)).split("\n") if plain else []
+        if len(latin) != len(plain):
+            latin = [icu.transliterate(w) for w in plain]
+        pairs = [*zip(plain, latin), *((w, icu.transliterate(w)) for w in held if "\n" in w)]
+        parts.append(scratch(spark.createDataFrame(pairs, f"{column} string, latin string")))
         held.clear()
 
     for r in other.toLocalIterator():
         held.append(r[0])
         if len(held) >= block:
             flush()
-    if held or not parts:
-        flush() if held else parts.append(spark.createDataFrame([], f"{column} string, latin string"))
-    table = parts[0]
+    if held:
+        flush()
+    table = parts[0] if parts else spark.createDataFrame([], f"{column} string, latin string")
     for p in parts[1:]:
         table = table.unionByName(p)
     return words.join(table, column, "left").withColumn("romanized", letters_only(F.coalesce("latin", column))).drop("latin")
 
 
+#: Control characters that a dump writes as \\xHH.
+CONTROLS = [*(k for k in range(32) if chr(k) not in "\t\n\r"), 127]
+
+
 def escape(text: Column) -> Column:
-    """Backslash, tab, newline and carriage return as two-character escapes."""
-    for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+    """Backslash, tab, newline and carriage return as two-character escapes, other controls as \\xHH."""
+    for a, b in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), *((chr(k), f"\\x{k:02X}") for k in CONTROLS)):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
 
 def unescape(text: Column) -> Column:
-    hidden = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\x00", "\\")):
-        hidden = F.replace(hidden, F.lit(a), F.lit(b))
-    return hidden
+    """The inverse of ``escape``; an escape that it doesn't write stays as it is."""
+
+    def piece(x: Column) -> Column:
+        for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), *((f"\\x{k:02X}", chr(k)) for k in CONTROLS)):
+            x = F.replace(x, F.lit(a), F.lit(b))
+        return x
+
+    # what stands between escaped backslashes, which are met from the left
+    return F.array_join(F.transform(F.split(text, r"\\\\", -1), piece), "\\")
+
+
+def dump_token(token: Column, is_star: Column) -> Column:
+    """A token as dumps show it: '<star>' for a star, '<invalid>' for none."""
+    return F.when(is_star, "<star>").otherwise(F.coalesce(escape(token), F.lit("<invalid>")))
+
+
+def extension(path: Column) -> Column:
+    """What follows the last dot of the last path part; null if nothing does, or if the part begins with its only dot."""
+    return F.nullif(F.regexp_extract(path, r"^(?:.*/)?[^/]+\.([^./]+)$", 1), F.lit(""))

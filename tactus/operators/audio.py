@@ -177,3 +177,54 @@ def resynthesis(of: DataFrame, n_fft: int = 6144, hop: int = 1024) -> DataFrame:
         return pd.DataFrame({"doc_id": [rows.doc_id.iloc[0]], "samples": [x]})
 
     return of.groupBy("doc_id").applyInPandas(run, f"doc_id {dict(of.dtypes)['doc_id']}, samples array<double>")
+
+
+def resampled(samples: Column, rate: Column, to: int) -> Column:
+    """An array of samples at another rate, by linear interpolation."""
+
+    def of(s: Column) -> Column:  # a variable, so that the array is evaluated once
+        n = F.size(s)
+        count = F.floor(n * F.lit(to) / rate).cast("int")
+        at = lambda i: i * rate / F.lit(to)
+        low = lambda i: F.floor(at(i)).cast("int")
+        get = lambda i: F.element_at(s, F.least(i + 1, n))
+        value = lambda i: get(low(i)) + (get(low(i) + 1) - get(low(i))) * (at(i) - low(i))
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), value)).otherwise(F.array().cast("array<double>"))
+
+    return F.element_at(F.transform(F.array(samples), of), 1)
+
+
+def level_metrics(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of sample pairs (key, a, b): peaks of both and numbers of values that are NaN or infinite."""
+    bad = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    peak = lambda c: F.max(F.when(~bad(c), F.abs(F.col(c))))
+    return pairs.groupBy(key).agg(peak("a").alias("peak_a"), peak("b").alias("peak_b"), F.count_if(F.isnan("a") | F.isnan("b")).alias("nan"), F.count_if((F.abs(F.col("a")) == float("inf")) | (F.abs(F.col("b")) == float("inf"))).alias("infinite"))
+
+
+def reconstruction(mixture: DataFrame, stems: list[DataFrame]) -> DataFrame:
+    """Pairs (doc_id, i, a, b) of a mixture (doc_id, i, x) and the sum of its stems, by place; a place that
+    a stem lacks counts as 0 there."""
+    total = stems[0]
+    for s in stems[1:]:
+        total = total.unionByName(s)
+    summed = total.groupBy("doc_id", "i").agg(F.sum("x").alias("b"))
+    return mixture.select("doc_id", "i", F.col("x").alias("a")).join(summed, ["doc_id", "i"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+
+
+def padded_scores(frames: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans (doc_id, token_index, padded_start, padded_end) with the mean score of all frames (doc_id,
+    frame, score) they are padded to.  Means come from running sums at both ends: no range join."""
+    w = Window.partitionBy("doc_id").orderBy("frame")
+    total = frames.select("doc_id", (F.col("frame") + 1).alias("at"), F.sum("score").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("n"))
+    ends = [total.select("doc_id", F.col("at").cast("long").alias(c), F.col("total").alias(f"{c}_total"), F.col("n").alias(f"{c}_n")) for c in ("padded_start", "padded_end")]
+    met = spans.join(ends[0], ["doc_id", "padded_start"], "left").join(ends[1], ["doc_id", "padded_end"])
+    sum_, n = (F.col(f"padded_end_{x}") - F.coalesce(f"padded_start_{x}", F.lit(0)) for x in ("total", "n"))
+    return met.select("doc_id", "token_index", "padded_start", "padded_end", (sum_ / n).alias("score"))
+
+
+def merged_spans(spans: DataFrame, threshold_s: float = 0.0) -> DataFrame:
+    """Spans (doc_id, number, start_s, end_s) with starts moved back to the end before where the gap is
+    under ``threshold_s``."""
+    w = Window.partitionBy("doc_id").orderBy("number")
+    gap = F.col("start_s") - F.lag("end_s").over(w)
+    return spans.withColumn("start_s", F.when(gap < threshold_s, F.lag("end_s").over(w)).otherwise(F.col("start_s")))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tactus.functions import text
 
 #: The default vocabulary, one token an id; 0 is the blank.
-TOKENS = ["<blank>", "<pad>", "</s>", "<unk>", *"aienoutsrmklgdhybpwcvjzf'qx"]
+TOKENS = ["<blank>", "<pad>", "</s>", "<unk>", *"aienoutsrmkldghybpwcvjzf'qx"]
 
 
 def lines(sheets: DataFrame) -> DataFrame:
@@ -32,20 +32,24 @@ def line_kinds(of: DataFrame, ascii_only: bool = False) -> DataFrame:
     return of.withColumn("kind", kind)
 
 
-def segments(of: DataFrame, split: str = "word", romanize: bool = True) -> DataFrame:
+def segments(of: DataFrame, split: str = "word", romanize: bool = True, language: str = "eng") -> DataFrame:
     """Words or characters of lines with their normalised text and offsets in the document's
     normalised text (chunks joined by a space between words, by nothing between characters).
     A chunk is split off first, then normalised (NFKC, lower case, clean_chunk) and, with
     ``romanize``, brought to a-z and '.  Chunks that normalise to nothing keep their number and
-    are empty."""
-    pieces = text.split_words(F.col("line")) if split == "word" else text.split_chars(F.col("line"))
+    are empty.  Japanese and Chinese are always split into characters, but for the split 'current',
+    which takes words under the older ASCII rule (``current_mode``) and neither NFKC nor romanises."""
+    split = text.effective_split(language, split)
+    line = F.col("line")
+    pieces = {"word": text.split_words, "char": text.split_chars, "current": lambda x: text.split_words(text.current_mode(x))}[split](line)
     rows = of.select("doc_id", "line_index", F.posexplode(pieces).alias("place", "piece"))
-    rows = rows.select("doc_id", "line_index", "place", F.lower("piece").alias("source"), text.clean_chunk(text.nfkc_lower("piece")).alias("norm"))
-    if romanize:
+    norm = F.col("piece") if split == "current" else text.clean_chunk(text.nfkc_lower("piece"))
+    rows = rows.select("doc_id", "line_index", "place", F.lower("piece").alias("source"), norm.alias("norm"))
+    if romanize and split != "current":
         rows = text.romanize(rows, "norm").withColumn("norm", F.col("romanized")).drop("romanized")
     w = Window.partitionBy("doc_id").orderBy("line_index", "place")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    gap = F.lit(1 if split == "word" else 0) * F.count_if(F.col("norm") != "").over(before)
+    gap = F.lit(0 if split == "char" else 1) * F.count_if(F.col("norm") != "").over(before)
     start = F.coalesce(F.sum(F.length("norm")).over(before), F.lit(0)) + F.when(F.col("norm") != "", gap).otherwise(F.greatest(gap - 1, F.lit(0)))
     return rows.select("doc_id", "line_index", (F.row_number().over(w) - 1).alias("segment_index"), "source", "norm", start.cast("long").alias("norm_start"), (start + F.length("norm")).cast("long").alias("norm_end"))
 
@@ -59,9 +63,9 @@ def tokens(of: DataFrame, vocab: DataFrame) -> DataFrame:
     the unknown token (null where there is none).  The vocabulary is a bounded parameter."""
     chars = of.select("doc_id", "line_index", "segment_index", "norm_start", F.posexplode(text.split_chars(F.col("norm"))).alias("place", "ch")).where("ch <> ' '")
     known = F.broadcast(vocab.where("not is_blank and not is_unknown").select("token_id", F.col("text").alias("ch")))
-    unknown = F.broadcast(vocab.agg(F.max(F.when(F.col("is_unknown"), F.col("token_id"))).alias("unknown_id")))
+    unknown = F.lit(vocab.agg(F.max(F.when(F.col("is_unknown"), F.col("token_id")))).first()[0]).cast("int")
     w = Window.partitionBy("doc_id").orderBy("segment_index", "place")
-    return chars.join(known, "ch", "left").crossJoin(unknown).select("doc_id", (F.row_number().over(w) - 1).alias("token_index"), "ch", F.coalesce("token_id", "unknown_id").alias("token_id"), "line_index", "segment_index", (F.col("place") == 0).alias("starts_segment"), (F.col("norm_start") + F.col("place")).alias("norm_start"))
+    return chars.join(known, "ch", "left").select("doc_id", (F.row_number().over(w) - 1).alias("token_index"), "ch", F.coalesce(F.col("token_id").cast("int"), unknown).alias("token_id"), "line_index", "segment_index", (F.col("place") == 0).alias("starts_segment"), (F.col("norm_start") + F.col("place")).alias("norm_start"))
 
 
 def longest_matches(texts: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -76,7 +80,11 @@ def longest_matches(texts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """First outer range (doc_id, number, start, end) that contains each inner one, if any."""
-    o = outer.select("doc_id", F.col("number").alias("outer_number"), F.col("start").alias("outer_start"), F.col("end").alias("outer_end"))
-    met = inner.join(o, ["doc_id"]).where("start >= outer_start and end <= outer_end").groupBy("doc_id", "number").agg(F.min("outer_number").alias("outer_number"))
-    return inner.join(met, ["doc_id", "number"], "left")
+    """The outer range (doc_id, number, start, end) that contains each inner one, if any.  Outer ranges
+    don't overlap, so it can only be the last that starts at or before the inner one: one ordered pass
+    over both, without pairing them."""
+    o = outer.where("end > start").select("doc_id", F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct("number", "end").alias("outer"), F.lit(None).cast(inner.schema["number"].dataType).alias("own"), F.lit(None).cast(inner.schema["end"].dataType).alias("own_end"))
+    i = inner.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(o.schema["outer"].dataType).alias("outer"), F.col("number").alias("own"), F.col("end").alias("own_end"))
+    w = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = o.unionByName(i).withColumn("outer", F.last("outer", True).over(w)).where("kind = 1 and own_end <= outer.end")
+    return inner.join(last.select("doc_id", F.col("own").alias("number"), F.col("outer.number").alias("outer_number")), ["doc_id", "number"], "left")

@@ -333,7 +333,7 @@ def dealt_emissions(embeddings: DataFrame, tokens: DataFrame) -> DataFrame:
     before = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("range").orderBy("vec_id")) - 1
     numbered = ranged.withColumn("place", place).join(before, "range").select((F.col("before") + F.col("place")).alias("number"), A.log_softmax(F.slice("embedding", 1, 31)).alias("values"))
-    need = G.required_frames(tokens).select("doc_id", (2 * (F.col("required") + 2)).alias("n"))
+    need = G.required_frames(tokens, "edges").select("doc_id", (2 * F.col("required")).alias("n"))
     frames = need.crossJoin(F.broadcast(embeddings.agg(F.count(F.lit(1)).alias("total")))).where("total > 0")
     at = frames.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("frame"))
     return at.withColumn("number", F.pmod(F.col("doc_id") * 40 + F.col("frame"), F.col("total"))).join(numbered, "number").select("doc_id", F.col("frame").cast("int").alias("frame"), "values")
@@ -347,16 +347,25 @@ def viterbi_align(spark, sf_dir):
     return G.align(dealt_emissions(table(spark, sf_dir, "embeddings"), toks), toks, stars="edges")
 
 
-@query()
+# half of (16 times the energy of a windowed frame, and its first and last bins once more)
+STFT_SQL = """
+n as (select user_id as doc_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value / 400 as x from events),
+t as (select doc_id, count(*) as k from n group by doc_id),
+fr as (select doc_id, unnest(range(0, k // 4 + 1)) as frame from t),
+sm as (select doc_id, frame, unnest(range(0, 16)) as j from fr),
+xw as (select sm.doc_id, frame, j, coalesce(x, 0) * (0.5 - 0.5 * cos(2 * pi() * j / 16)) as v from sm left join n on n.doc_id = sm.doc_id and i = frame * 4 + j - 8)"""
+
+
+@query(f"with {STFT_SQL} select doc_id, cast(frame as integer) as frame, round((16 * sum(v * v) + sum(v) ** 2 + sum(v * case when j % 2 = 0 then 1 else -1 end) ** 2) / 2, 6) as energy from xw group by doc_id, frame")
 def stft_energy(spark, sf_dir):
     s = A.spectra(_audio(spark, sf_dir), n_fft=16, hop=4)
     return s.select("doc_id", "frame", F.round(F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda x, y: x + y), 6).alias("energy"))
 
 
-@query()
+@query("with n as (select user_id as doc_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, count(*) over (partition by user_id) as k, round(value / 400, 6) as x from events) select doc_id, cast(i as integer) as i, x from n where i < k // 4 * 4")
 def stft_roundtrip(spark, sf_dir):
     back = A.resynthesis(A.spectra(_audio(spark, sf_dir), n_fft=16, hop=4), 16, 4)
-    return back.select("doc_id", F.transform("samples", lambda x: F.round(x, 6)).alias("samples"))
+    return back.select("doc_id", F.posexplode("samples").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("select user_id, session_start as start, max(ts) + interval 1 hour as \"end\", count(*) as n from (select *, max(case when new then ts end) over (partition by user_id order by ts rows unbounded preceding) as session_start from (select *, lag(ts) over (partition by user_id order by ts) is null or ts - lag(ts) over (partition by user_id order by ts) >= interval 1 hour as new from events)) group by user_id, session_start")

@@ -15,24 +15,31 @@ from tactus.operators import spans as S
 from tactus.sources import tables
 
 
+#: What an option may be.
+CHOICES = {"split": ("word", "char", "current"), "stars": ("edges", "none", "segment"), "emissions": ("logits", "probabilities", "log-probabilities")}
+
+
 @dataclass(frozen=True)
 class Options:
     """Choices of a run, checked when made."""
 
     split: str = "word"
     romanize: bool = True
-    stars: str = "none"
-    emissions: str = "log-probabilities"
+    language: str = "eng"
+    stars: str = "edges"
+    emissions: str = "logits"
     blank_id: int = 0
     second_per_frame: float = 0.02
     gap_s: float = 1.0
 
     def __post_init__(self) -> None:
-        for value, known in ((self.split, ("word", "char")), (self.stars, ("none", "edges", "segment")), (self.emissions, ("logits", "probabilities", "log-probabilities"))):
-            if value not in known:
-                raise ValueError(f"{value!r} is none of {known}")
-        if self.second_per_frame <= 0 or self.gap_s < 0:
-            raise ValueError("second_per_frame must be above 0 and gap_s not below")
+        for name, known in CHOICES.items():
+            if getattr(self, name) not in known:
+                raise ValueError(f"{name} {getattr(self, name)!r} is none of {known}")
+        if not (len(self.language) == 3 and self.language.isascii() and self.language.isalpha()):
+            raise ValueError(f"language {self.language!r} is no 3-letter code")
+        if self.second_per_frame <= 0 or self.gap_s < 0 or self.blank_id < 0:
+            raise ValueError("second_per_frame must be above 0, gap_s and blank_id not below")
 
 
 def made_up_emissions(tokens: DataFrame, vocabulary_size: int, hold: int = 2, low: float = -9.0) -> DataFrame:
@@ -45,7 +52,7 @@ def made_up_emissions(tokens: DataFrame, vocabulary_size: int, hold: int = 2, lo
 def target_tokens(sheets: DataFrame, vocab: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """Lines with kinds, and the tokens of the alignable ones."""
     lines = L.line_kinds(L.lines(sheets))
-    return lines, L.tokens(L.segments(lines.where("kind = 'ALIGNABLE'"), options.split, options.romanize), vocab)
+    return lines, L.tokens(L.segments(lines.where("kind = 'ALIGNABLE'"), options.split, options.romanize, options.language), vocab)
 
 
 def generate(sheets: DataFrame, emissions: DataFrame, vocab: DataFrame, options: Options = Options(), quiet: DataFrame | None = None) -> DataFrame:

@@ -358,7 +358,7 @@ def romanized_sheets(spark, sf_dir):
 def _generated(spark, sf_dir, romanize: bool) -> DataFrame:
     from tactus.plans import generate as whole
 
-    vocab, options = L.vocabulary(spark), whole.Options(romanize=romanize)
+    vocab, options = L.vocabulary(spark), whole.Options(romanize=romanize, stars="none", emissions="log-probabilities")
     own = sheets(spark, sf_dir, "benchmark", "item_id")
     _, tokens = whole.target_tokens(own, vocab, options)
     return whole.generate(own, whole.made_up_emissions(tokens, len(L.TOKENS)), vocab, options)

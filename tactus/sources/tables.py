@@ -1,13 +1,10 @@
-"""Readers and writers: text sheets, stamped lines, vocabularies, dumps, fixtures, raw samples."""
+"""Readers and writers: text sheets, stamped lines, vocabularies, dumps, fixtures."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,9 +13,13 @@ from tactus.functions import clock, text
 
 
 def scratch(df: DataFrame) -> DataFrame:
-    """Write a table to the shared checkpoint folder and read it back."""
+    """Write a table to the shared checkpoint folder (a temporary one only on a single machine) and read it back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tactus-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = f"file://{tempfile.gettempdir()}/tactus-checkpoints"
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = f"{base.rstrip('/')}/tactus-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -35,7 +36,7 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
 def read_stamped(sheets: DataFrame) -> DataFrame:
     """Lines of stamped sheets: doc_id, line_index, kind TIMESTAMPED, BLANK or BAD, hundredths, text."""
     lines = sheets.select("doc_id", F.posexplode(text.split_lines(F.col("text"))).alias("line_index", "line"))
-    kind = F.when(F.col("line") == "", "BLANK").when(F.col("line").rlike(clock.STAMPED), "TIMESTAMPED").otherwise("BAD")
+    kind = F.when(F.col("line") == "", "BLANK").when(clock.parse_stamp(F.col("line")).isNotNull(), "TIMESTAMPED").otherwise("BAD")
     return lines.select("doc_id", "line_index", kind.alias("kind"), clock.parse_stamp(F.col("line")).alias("hundredths"), F.when(kind == "TIMESTAMPED", clock.stamped_text(F.col("line"))).alias("text"))
 
 
@@ -107,31 +108,6 @@ def read_fixture(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.element_at("f", 1).alias("name"), F.transform(F.slice("f", 2, 1 << 20), lambda x: F.decode(F.unhex(x), "UTF-8")).alias("fields"))
 
 
-def read_samples(spark: SparkSession, path: str, channels: int = 1) -> DataFrame:
-    """Raw little-endian float32 or 16-bit PCM WAV files as planar blocks: doc_id, channel, sample_rate, samples."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for key, raw in zip(rows.path, rows.content):
-                n, rate, x = channels, None, None
-                if raw[:4] == b"RIFF":
-                    n, rate = int.from_bytes(raw[22:24], "little"), int.from_bytes(raw[24:28], "little")
-                    at = raw.index(b"data") + 8
-                    x = np.frombuffer(raw[at : at + int.from_bytes(raw[at - 4 : at], "little")], "<i2") / np.float32(32768)
-                else:
-                    x = np.frombuffer(raw, "<f4")
-                out += [(key, c, rate, x[c::n].astype(np.float32)) for c in range(n)]
-            yield pd.DataFrame(out, columns=["doc_id", "channel", "sample_rate", "samples"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "doc_id string, channel int, sample_rate int, samples array<float>")
-
-
-def write_samples(audio: DataFrame, path: str) -> None:
-    """Samples (doc_id, samples) as Parquet; other containers need an encoder that isn't public Python."""
-    audio.write.mode("errorifexists").parquet(path)
-
-
 def sibling_path(path: Column, extension: str) -> Column:
     """The path with its last extension replaced."""
     return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(extension))

@@ -11,7 +11,7 @@ from tactus.operators import audio as A
 from tactus.operators import compare as C
 from tactus.operators import lines as L
 from tactus.operators import spans as S
-from tactus.sources import tables
+from tactus.sources import tables, wav
 from tactus.streaming import silence
 
 
@@ -180,7 +180,7 @@ def test_sources(spark, tmp_path):
     r = tables.read_fixture(spark, str(tmp_path / "x.tsv")).first()
     assert (r.name, r.fields) == ("name", ["hi", "猫"])
     (tmp_path / "x.f32").write_bytes(struct.pack("<4f", 1, 2, 3, 4))
-    assert [r.samples for r in tables.read_samples(spark, str(tmp_path / "x.f32"), 2).orderBy("channel").collect()] == [[1, 3], [2, 4]]
+    assert [r.samples for r in wav.read_samples(spark, str(tmp_path / "x.f32"), 2).orderBy("channel").collect()] == [[1, 3], [2, 4]]
     dump = spark.createDataFrame([("d", i, x) for i, x in enumerate(["# v1", "[config]", "rate=16000", "name=a\\tb", "[rows]", "1\\t2"])], "doc_id string, line_index int, line string")
     assert [(r.section, r.row, r.key, r.value) for r in tables.parse_dump(dump).orderBy("section", "row").collect()] == [("config", 0, "rate", "16000"), ("config", 1, "name", "a\tb"), ("rows", 0, None, "1\t2")]
 
@@ -210,14 +210,15 @@ def test_generate_with_blank_lines_and_silence(spark):
 
     sheet = spark.createDataFrame([(1, "ab\n\n[Chorus]\ncd e\n"), (2, "zz")], "doc_id long, text string")
     vocab = L.vocabulary(spark)
+    options = whole.Options(stars="none", emissions="log-probabilities")
     _, tokens = whole.target_tokens(sheet, vocab)
     said = whole.made_up_emissions(tokens.where("doc_id = 1"), len(L.TOKENS))
     late = said.withColumn("frame", F.when(F.col("frame") >= 6, F.col("frame") + 100).otherwise(F.col("frame")))
     still = late.where("frame = 0").select("doc_id", F.explode(F.sequence(F.lit(6), F.lit(105))).alias("frame"), "values")
-    got = whole.generate(sheet, late.unionByName(still), vocab).collect()
+    got = whole.generate(sheet, late.unionByName(still), vocab, options).collect()
     assert [(r.doc_id, r.text) for r in got] == [(1, "[00:00.02]ab\n[00:00.12]\n\n[00:02.14]cd e\n")]
     quiet = spark.createDataFrame([(1, 0.5)], "doc_id long, start_s double")
-    moved = whole.generate(sheet, late.unionByName(still), vocab, quiet=quiet).first().text
+    moved = whole.generate(sheet, late.unionByName(still), vocab, options, quiet).first().text
     assert moved == "[00:00.02]ab\n[00:00.50]\n\n[00:02.14]cd e\n"
     with pytest.raises(ValueError):
         whole.Options(split="sentence")
