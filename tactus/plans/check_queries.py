@@ -11,6 +11,7 @@ from tactus.operators import audio as A
 from tactus.operators import checks as K
 from tactus.operators import separation as X
 from tactus.operators import spans as S
+from tactus.plans import dumps as D
 from tactus.plans import frame_queries as Q
 from tactus.plans import options as O
 from tactus.plans.text_queries import table
@@ -241,3 +242,16 @@ def padded_scores(spark, sf_dir):
 def merged_spans(spark, sf_dir):
     spans = Q._runs(spark, sf_dir).select("doc_id", F.col("seg").alias("number"), F.col("start_frame").cast("double").alias("start_s"), (F.col("end_frame") - 0.5).alias("end_s"))
     return Q._round(A.merged_spans(spans, 0.75), "start_s", "end_s")
+
+
+COMPARE_SQL = f"""{Q.RUNS_SQL},
+b as (select doc_id, seg, case when seg % 13 = 4 then 'other' else label end as label, end_frame + case when seg % 11 = 2 then 0.5 else 0.01 end as e from r where seg % 29 <> 11),
+j as (select coalesce(r.doc_id, b.doc_id) as doc_id, coalesce(r.seg, b.seg) as i, b.seg is null as gone, r.label as la, b.label as lb, cast(r.end_frame as double) as ea, b.e as eb from r full outer join b on r.doc_id = b.doc_id and r.seg = b.seg)"""
+
+
+@query(f"with {COMPARE_SQL} select doc_id, i as index, case when gone then 'count' when la <> lb then 'label' else 'end' end as field, case when gone then null when la <> lb then la else cast(ea as varchar) end as a, case when gone then null when la <> lb then lb else cast(cast(eb as double) as varchar) end as b from j where gone or la <> lb or abs(ea - eb) > 0.02")
+def section_compare(spark, sf_dir):
+    """Runs against runs of which some are gone, some say another label, and some end elsewhere."""
+    runs = Q._runs(spark, sf_dir).select("doc_id", F.col("seg").alias("index"), "label", F.col("end_frame").cast("double").alias("end"))
+    other = runs.where("index % 29 <> 11").withColumn("label", F.when(F.col("index") % 13 == 4, "other").otherwise(F.col("label"))).withColumn("end", F.col("end") + F.when(F.col("index") % 11 == 2, 0.5).otherwise(0.01))
+    return D.compare_rows(runs, other, ["label"], {"end": 0.02})

@@ -13,6 +13,7 @@ from tactus.operators import audio as A
 from tactus.operators import checks as K
 from tactus.operators import lines as L
 from tactus.operators import separation as X
+from tactus.plans import dumps
 from tactus.plans import generate as whole
 from tactus.plans import options as O
 from tactus.sources import tables, wav
@@ -229,3 +230,24 @@ def test_command_line(spark, tmp_path, monkeypatch):
 def test_first_frames_and_merges(spark):
     spans = spark.createDataFrame([(1, 0, 0.0, 1.0), (1, 1, 1.2, 2.0), (1, 2, 3.0, 4.0)], "doc_id long, number int, start_s double, end_s double")
     assert [r.start_s for r in A.merged_spans(spans, 0.5).orderBy("number").collect()] == [0.0, 1.0, 3.0]
+
+
+def test_dumps(spark):
+    sheet = spark.createDataFrame([(1, "ab c\n\nd\te\n")], "doc_id long, text string")
+    vocab = L.vocabulary(spark)
+    options = whole.Options(emissions="log-probabilities", stars="none")
+    _, tokens = whole.target_tokens(sheet, vocab, options)
+    em = whole.made_up_emissions(tokens, len(L.TOKENS))
+    found = dumps.sections(sheet, em, vocab, options)
+    rows = dumps.dump_lines(found).orderBy("section", "row").collect()
+    heads = [r.line for r in rows if r.row == -2]
+    assert heads == ["[config]", "[normalized_text]", "[target_text]", "[target_tokens]", "[frames]", "[merged_path_segments]", "[word_spans_after_padding]"]
+    lines = [r.line for r in rows]
+    assert "language=eng" in lines and "text=ab c d e" in lines and "text=a b c d e" in lines and "emission_frame_count=15" in lines
+    assert "0\t4\ta\t0\t0\t1\t0\t1" in lines and "index\tline_index\tword_index\ttext\tnormalized_start\tnormalized_end\tstart_seconds\tend_seconds\tscore" in lines
+    words = found["word_spans_after_padding"].orderBy("index").collect()
+    assert [w.text for w in words] == ["ab", "c", "d", "e"] and [round(w.start_seconds, 2) for w in words] == [0.0, 0.12, 0.18, 0.24]
+    assert dumps.compare(found, found).count() == 0
+    moved = found | {"word_spans_after_padding": found["word_spans_after_padding"].withColumn("end_seconds", F.col("end_seconds") + F.when(F.col("index") == 2, 1.0).otherwise(0.0)), "target_tokens": found["target_tokens"].where("index < 4")}
+    assert sorted((r.section, r["index"], r.field) for r in dumps.compare(found, moved).collect()) == [("target_tokens", 4, "count"), ("word_spans_after_padding", 2, "end_seconds")]
+    assert [r.end_delta for r in dumps.word_deltas(found["word_spans_after_padding"], moved["word_spans_after_padding"], 3).orderBy("index").collect()] == [0, 0, -1]
