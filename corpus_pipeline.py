@@ -41,8 +41,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", civil), ("exact_dedup", distinct), ("near_dedup", dissimilar), ("decontamination", clean), ("packing", packed)]
 
-#: Tokens, sketches and segment scores aren't expressible in SQL: tests/llm/test_pipeline.py holds
-#: the stages against brute force.
+#: Tokens, sketches and segment scores aren't expressible in SQL: tests/llm/test_matching.py
+#: holds the stages against brute force.
 ORACLE_SQL = None
 
 
