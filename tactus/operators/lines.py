@@ -54,6 +54,21 @@ def segments(of: DataFrame, split: str = "word", romanize: bool = True, language
     return rows.select("doc_id", "line_index", (F.row_number().over(w) - 1).alias("segment_index"), "source", "norm", start.cast("long").alias("norm_start"), (start + F.length("norm")).cast("long").alias("norm_end"))
 
 
+def source_ranges(of: DataFrame) -> DataFrame:
+    """Where each word of lines stands in the document's text: doc_id, line_index, place, piece, and its
+    range in bytes of UTF-8 and in characters.  ``place`` is that of ``segments`` split by word."""
+    w = Window.partitionBy("doc_id").orderBy("line_index").rowsBetween(Window.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(size("line") + 1).over(w), F.lit(0)).alias(name) for name, size in (("line_byte", F.octet_length), ("line_char", F.length))]
+    runs = F.regexp_extract_all("line", F.lit(f"([{text.BLANKS}]+|[^{text.BLANKS}]+)"))
+    rows = of.select("doc_id", "line_index", "line", *before).select("doc_id", "line_index", "line_byte", "line_char", F.posexplode(runs).alias("k", "piece"))
+    inside = Window.partitionBy("doc_id", "line_index").orderBy("k")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("*", *[(F.col(f"line_{name}") + F.sum(size("piece")).over(upto)).alias(f"{name}_end") for name, size in (("byte", F.octet_length), ("char", F.length))])
+    words = rows.where(~F.col("piece").rlike(f"^[{text.BLANKS}]"))
+    place = F.row_number().over(inside) - 1
+    return words.select("doc_id", "line_index", place.alias("place"), "piece", (F.col("byte_end") - F.octet_length("piece")).alias("byte_start"), "byte_end", (F.col("char_end") - F.length("piece")).alias("char_start"), "char_end")
+
+
 def vocabulary(spark, tokens: list[str] = TOKENS) -> DataFrame:
     return spark.createDataFrame([(i, t, i == 0, t == "<unk>") for i, t in enumerate(tokens)], "token_id int, text string, is_blank boolean, is_unknown boolean")
 

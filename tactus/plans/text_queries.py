@@ -362,3 +362,10 @@ def _generated(spark, sf_dir, romanize: bool) -> DataFrame:
     own = sheets(spark, sf_dir, "benchmark", "item_id")
     _, tokens = whole.target_tokens(own, vocab, options)
     return whole.generate(own, whole.made_up_emissions(tokens, len(L.TOKENS)), vocab, options)
+
+
+@query(
+    f"with {lines_sql()}, b as (select *, coalesce(sum(strlen(line) + 1) over (partition by doc_id order by line_index rows between unbounded preceding and 1 preceding), 0) as lb, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_index rows between unbounded preceding and 1 preceding), 0) as lc, regexp_extract_all(line, '({BL}+|[^ \\t\\n\\x0B\\f]+)') as a from l), e as (select doc_id, line_index, lb, lc, unnest(range(0, len(a))) as k, unnest(a) as piece from b), c as (select *, sum(strlen(piece)) over w as be, sum(length(piece)) over w as ce from e window w as (partition by doc_id, line_index order by k)), x as (select *, row_number() over (partition by doc_id, line_index order by k) - 1 as place from c where not regexp_matches(piece, '^{BL}')) select doc_id, cast(line_index as integer) as line_index, place, piece, cast(lb + be - strlen(piece) as bigint) as byte_start, cast(lb + be as bigint) as byte_end, cast(lc + ce - length(piece) as bigint) as char_start, cast(lc + ce as bigint) as char_end from x"
+)
+def source_ranges(spark, sf_dir):
+    return L.source_ranges(L.lines(sheets(spark, sf_dir)))
