@@ -116,6 +116,79 @@ def test_marginals_against_enumeration():
             assert good[a:b] == pytest.approx(one / total) and equal[a:b] == pytest.approx(same / total)
 
 
+def plain_lines(text):
+    """Bins of each line's features with plain loops."""
+    import re
+
+    out, before = [], {}
+    for line in (x for x in text.encode().split(b"\n") if x):
+        n = len(line)
+        share = lambda f: sum(map(f, line))
+        capital, small, digit = share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122 or b >= 128), share(lambda b: 48 <= b <= 57)
+        sign, space = share(lambda b: b in b",.;:'?-"), share(lambda b: b in b"\t\x0b\x0c\r ")
+        tokens = [t for t in re.split(rb"[\x20\x09-\x0D]+", line) if t]
+        k = max(len(tokens), 1)
+        same = sum(x == y for x, y in zip(tokens, tokens[1:]))
+        seen = sum(t in tokens[:i] for i, t in enumerate(tokens))
+        f = [n, capital / max(capital + small, 1), digit / n, sign / n, (n - capital - small - digit - sign - space) / n, space / n, (n - space) / k, same / k, seen / k, before.get(line, 0)]
+        before[line] = before.get(line, 0) + 1
+        out.append([sum(e < x for e in edges) for x, edges in zip(f, quality.EDGES.tolist())])
+    return out
+
+
+def test_quality_of_whole_texts_by_hand(spark, docs, labels):
+    """Features by plain loops and marginals by enumeration give the score of every short text."""
+    model = quality.fit(docs, labels, max_docs=40)
+    texts = ["One line, with 2 signs!", "A\nA\n\nb b  b c\n", "\n\n", " \t\nÄÖ é 中\r\nx", *[r.text[:300] for r in docs.limit(20).collect()]]
+    texts = [t for t in texts if t.count("\n") < 10]
+    got = {r.doc_id: r for r in quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    none = [quality.BINS] * quality.FEATURES
+    for i, t in enumerate(texts):
+        bins, sizes = plain_lines(t), [len(x) for x in t.encode().split(b"\n") if x]
+        if not bins:
+            assert got[i].score == pytest.approx(model.good)
+            continue
+        u = []
+        for k in range(len(bins)):
+            near = [*bins[k], *(bins[k - 1] if k else none), *(bins[k + 1] if k + 1 < len(bins) else none)]
+            u.append(model.bias + sum(model.w[j * (quality.BINS + 1) + b] for j, b in enumerate(near)))
+        total, good = 0.0, [0.0] * len(u)
+        for y in itertools.product([0, 1], repeat=len(u)):
+            w = math.exp(sum(a * b for a, b in zip(y, u)) + model.tie * sum(a == b for a, b in zip(y, y[1:])))
+            total += w
+            good = [g + w * a for g, a in zip(good, y)]
+        p = [g / total for g in good]
+        assert got[i].score == pytest.approx(sum(a * n for a, n in zip(p, sizes)) / sum(sizes)) and got[i].n_lines == len(p) and got[i].bad_lines == sum(x < 0.5 for x in p)
+
+
+def test_quality_training_climbs_the_likelihood():
+    """No small step from the fitted weights raises the penalised likelihood, which enumeration reckons."""
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 5, 14)
+    first = np.concatenate([[0], np.cumsum(n)])
+    label = np.arange(14) % 2
+    bins = (rng.integers(0, 3, (first[-1], quality.FEATURES)) + 2 * np.repeat(label, n)[:, None]).astype(np.uint8)
+    model = quality.train(bins, first, label, steps=600, rate=0.02)
+    at = quality.wide(bins, first)
+
+    def value(theta):
+        u = theta[at].sum(1) + theta[-2]
+        total = 0.0
+        for d, (a, b) in enumerate(zip(first, first[1:])):
+            own = sum(u[a:b]) * label[d] + theta[-1] * (b - a - 1)
+            z = sum(math.exp(sum(v * x for v, x in zip(y, u[a:b])) + theta[-1] * sum(p == q for p, q in zip(y, y[1:]))) for y in itertools.product([0, 1], repeat=b - a))
+            total += (own - math.log(z)) / (b - a)
+        return total - 0.15 * (theta[:-2] ** 2).sum() - 0.75 * theta[-1] ** 2
+
+    theta = np.append(model.w, [model.bias, model.tie])
+    top = value(theta)
+    for j in [*np.unique(at)[:40].tolist(), len(theta) - 2, len(theta) - 1]:
+        for step in (-0.05, 0.05):
+            other = theta.copy()
+            other[j] += step
+            assert value(other) < top + 1e-4
+
+
 def test_quality_held_out(spark):
     got = QUERIES["op5_quality"](spark, BIG).join(spark.read.parquet(f"{BIG}/labels.parquet"), "doc_id").where("held_out")
     n, right = got.agg(F.count("*"), F.count_if(F.col("quality") == F.col("predicted"))).first()
