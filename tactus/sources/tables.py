@@ -52,9 +52,14 @@ def stamped_sheets(lines: DataFrame, order: str = "out_index") -> DataFrame:
     return sheets.select("doc_id", F.concat(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
-def write_stamped(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A folder for each document; Spark's commit makes the files visible when whole."""
-    stamped_sheets(lines).select("doc_id", F.regexp_replace("text", "\n\\z", "").alias("value")).write.partitionBy("doc_id").mode(mode).text(path)
+def write_stamped(lines: DataFrame, path: str, mode: str = "errorifexists", by_document: bool = True) -> None:
+    """A folder with a text file for each document, or, not ``by_document``, a Parquet table of
+    (doc_id, text) for sets too large for a file each.  Spark's commit makes files visible when whole."""
+    sheets = stamped_sheets(lines)
+    if not by_document:
+        sheets.write.mode(mode).parquet(path)
+        return
+    sheets.select("doc_id", F.regexp_replace("text", "\n\\z", "").alias("value")).write.partitionBy("doc_id").mode(mode).text(path)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:

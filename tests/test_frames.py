@@ -191,6 +191,8 @@ def test_stamped_roundtrip(spark, tmp_path):
     assert tables.stamped_sheets(lines, "line_index").first().text == sheet
     tables.write_stamped(lines.withColumnRenamed("line_index", "out_index"), str(tmp_path / "out"))
     assert "\n".join(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == sheet.rstrip("\n")
+    tables.write_stamped(lines.withColumnRenamed("line_index", "out_index"), str(tmp_path / "table"), by_document=False)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "table")).collect()] == [("d", sheet)]
 
 
 def test_stream_sessions(spark, sf_dir, tmp_path):
