@@ -175,15 +175,19 @@ def learned(found: DataFrame, gates: int, inputs: int, contexts: int) -> tuple[n
 
 
 def summed(found: DataFrame, size: int) -> np.ndarray:
-    """The sum of all tasks' tables (slots, 2).  Blocks are added in groups of 64 tasks, then whole;
-    the driver gets one table."""
+    """The sum of all tasks' tables (slots, 2).  Blocks are added in groups of 64 tasks, these again so, until
+    64 or fewer are left; the driver gets one table."""
 
     def add(table: pa.Table) -> pa.Table:
         total = sum((_widen(x.as_py()) for x in table["counts"]), np.float32(0))
         return pa.table({"part": pa.array([table["part"][0].as_py() // 64]), "block": pa.array([table["block"][0].as_py()]), "counts": pa.array([_squeeze(total)], pa.binary())})
 
     kind = "part long, block long, counts binary"
-    some = found.where("block is not null").select("part", "block", "counts").groupBy(F.floor(F.col("part") / 64), "block").applyInArrow(add, kind)
+    some = found.where("block is not null").select("part", "block", "counts")
+    left = (some.agg(F.max("part")).first()[0] or 0) + 1
+    while left > 64:
+        some = some.groupBy(F.floor(F.col("part") / 64), "block").applyInArrow(add, kind)
+        left = -(-left // 64)
     counts = np.zeros((size, 2), np.float32)
     for r in some.groupBy("block").applyInArrow(add, kind).collect():
         got = _widen(r.counts)

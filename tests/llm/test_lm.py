@@ -170,3 +170,19 @@ def test_edges(edge, empty):
     assert lm.score(empty, F.lit(False)).count() == 0
     none = lm.score(edge, F.lit(True)).collect()
     assert {r.train_tokens for r in none} == {0} and all(r.n_known == 0 and math.isfinite(r.score) for r in none)
+
+
+def test_tables_of_many_tasks_add_up(spark):
+    """Blocks of 200 tasks are added in two rounds; the sum is that of the parts."""
+    rng = np.random.default_rng(4)
+    size = S.BLOCK + 100
+    parts = [(k, rng.integers(0, size, 30)) for k in range(200)]
+    want = np.zeros((size, 2), np.float32)
+    rows = []
+    for k, at in parts:
+        own = np.zeros((size, 2), np.float32)
+        np.add.at(own, (at, at % 2), 1)
+        want += own
+        rows += [(k, b, bytearray(S._squeeze(own[b * S.BLOCK : (b + 1) * S.BLOCK])), None, None) for b in range(2)]
+    found = spark.createDataFrame(rows, S.FOUND)
+    assert (S.summed(found, size) == want).all()
