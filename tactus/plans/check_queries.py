@@ -197,7 +197,7 @@ def file_formats(spark, sf_dir):
 def parsed_numbers(spark, sf_dir):
     """Texts as whole numbers between -1000 and 1000: plain, negative, signed, with a letter, and too long."""
     k = F.col("o_custkey").cast("string")
-    said = F.element_at(F.array(k, F.concat(F.lit("-"), k), F.concat(F.lit("+"), k), F.concat(k, F.lit("x")), F.concat(k, F.lit("0" * 20))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    said = F.element_at(F.array(k, F.concat(F.lit("-"), k), F.concat(F.lit("+"), k), F.concat(k, F.lit("x")), F.concat(k, F.lit("1" * 20))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "orders").select("o_orderkey", O.parsed_number(said, -1000, 1000).alias("n"))
 
 
