@@ -32,11 +32,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tactus.llm import textops as T
-from tactus.llm.storage import staged
+from tactus.llm.storage import staged_small
 
 #: Labelled rows that a model is fitted on at most; with more, those of least id hash.
 MAX_LABELLED = 200_000
@@ -80,22 +80,27 @@ class Model:
 UNIT = 1 << 20
 
 
-def _weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _weights(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Row]:
     """(doc_id, weight) of the labelled documents: those of one label that share their least five-word
-    shingle, as copies do, weigh UNIT together.  At most MAX_LABELLED."""
+    shingle, as copies do, weigh UNIT together.  At most MAX_LABELLED.  And the weighed totals: toxic
+    documents a, clean ones b, and words of clean ones."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in T.chunks(batches):
-            h, first = T.kmers(T.words(c.data, c.offs, T.ALNUM), 5)
+            w = T.words(c.data, c.offs, T.ALNUM)
+            h, first = T.kmers(w, 5)
             key = np.zeros(c.rows.num_rows, np.uint64)
             some = np.diff(first) > 0
             if some.any():
                 key[some] = np.minimum.reduceat(h, first[:-1][some])
-            yield pa.RecordBatch.from_arrays([*T.take_columns(c.rows, ["doc_id", "label"]), pa.array(key.view(np.int64))], names=["doc_id", "label", "key"])
+            yield pa.RecordBatch.from_arrays([*T.take_columns(c.rows, ["doc_id", "label"]), pa.array(key.view(np.int64)), pa.array(w.counts())], names=["doc_id", "label", "key", "words"])
 
-    keys = staged(labelled(docs, labels, "toxic", with_id=True).mapInArrow(least, "doc_id long, label int, key long"), "toxicity-keys")
+    keys = staged_small(labelled(docs, labels, "toxic", with_id=True).mapInArrow(least, "doc_id long, label int, key long, words long"), "toxicity-keys")
     sizes = keys.groupBy("label", "key").agg(F.count(F.lit(1)).alias("n"))
-    return keys.join(sizes, ["label", "key"]).groupBy("doc_id").agg(F.min(F.ceil(F.lit(UNIT) / F.col("n"))).alias("weight"))
+    weights = keys.join(sizes, ["label", "key"]).groupBy("doc_id").agg(F.min(F.ceil(F.lit(UNIT) / F.col("n"))).alias("weight"))
+    of = lambda x, which: F.sum(F.when(which, x))
+    toxic, weight = F.col("label") > 0, F.col("weight")
+    return weights, keys.join(F.broadcast(weights), "doc_id").agg(of(weight, toxic).alias("a"), of(weight, ~toxic).alias("b"), of(weight * F.col("words"), ~toxic).alias("words")).first()
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float = 10.0, significance: float = 6.0, precision: float = 0.9, drift: float = 0.05, most: float = 1.0, least: float = 0.1) -> Model:
@@ -116,17 +121,14 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 10.0, significance: f
             rows = rows[once]
             a, b = (np.rint(np.bincount(at, weight[rows] * x[rows], len(h))).astype(np.int64) for x in (toxic, ~toxic))
             words = np.bincount(at, whole[once], len(h)) > 0  # tokens that are words, not only beginnings
-            h = np.concatenate([h.view(np.int64), [0]])  # and the totals: documents of each kind, and clean words
-            kind = np.concatenate([np.zeros(len(h) - 1, np.int64), [1]])
-            clean_words = int((weight[row_of] * ~toxic[row_of]).sum())
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h), pa.array(np.append(a, (weight * toxic).sum())), pa.array(np.append(b, (weight * ~toxic).sum())), pa.array(np.append(words.astype(np.int64), clean_words))], names=["kind", "h", "a", "b", "words"])
-
-    weighed = labelled(docs, labels, "toxic", with_id=True).join(F.broadcast(_weights(docs, labels)), "doc_id")
-    counts = weighed.select("text", "label", "weight").mapInArrow(count, "kind long, h long, a long, b long, words long")
-    counts = staged(counts.groupBy("kind", "h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("words").alias("words")), "toxicity-counts")
-    totals = counts.where("kind = 1").first()
-    if totals is None or not totals.a or not totals.b:
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a), pa.array(b), pa.array(words.astype(np.int64))], names=["h", "a", "b", "words"])
+
+    weights, totals = _weights(docs, labels)
+    if not totals.a or not totals.b:
         return Model(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 1.0)
+    weighed = labelled(docs, labels, "toxic", with_id=True).join(F.broadcast(weights), "doc_id")
+    counts = weighed.select("text", "label", "weight").mapInArrow(count, "h long, a long, b long, words long")
+    counts = counts.groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("words").alias("words"))
     docs_a, docs_b, clean_words = (float(totals[c]) / UNIT for c in ("a", "b", "words"))
     share = docs_a / (docs_a + docs_b)
     a, b = F.col("a") / UNIT, F.col("b") / UNIT
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float = 10.0, significance: f
     root = F.signum(a - (a + b) * share) * F.sqrt(F.greatest(2 * (part(a, share) + part(b, 1 - share)), F.lit(0.0)))
     at = 0.5 + prior * (a + b) / (docs_a + docs_b)
     odds = lambda x, n: F.log((x + at) / F.greatest(n + prior + 1 - x - at, F.lit(0.5)))
-    scored = counts.where("kind = 0").select("h", b.alias("b"), (odds(a, docs_a) - odds(b, docs_b)).alias("score"), ((root > significance) & (a >= precision * (a + b))).alias("toxic"), (F.col("words") > 0).alias("word"))
+    scored = counts.select("h", b.alias("b"), (odds(a, docs_a) - odds(b, docs_b)).alias("score"), ((root > significance) & (a >= precision * (a + b))).alias("toxic"), (F.col("words") > 0).alias("word"))
     chosen = scored.where(F.col("toxic") & (F.col("score") > drift) | F.col("word") & ~F.col("toxic") & (F.col("score") < -least))
     found = chosen.select("h", "b", F.when(F.col("toxic"), F.col("score")).otherwise(F.greatest(F.col("score"), F.lit(-most))).alias("score")).toPandas().sort_values("h")
     # hashes are compared as unsigned numbers

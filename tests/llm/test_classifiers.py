@@ -306,3 +306,23 @@ def test_folds(docs):
 
     got = {r.doc_id: r.h for r in docs.select("doc_id", held_out(3, 1).alias("h")).collect()}
     assert got == {k: zlib.crc32(str(k).encode()) % 3 == 1 for k in got}
+
+
+def test_toxicity_tables_are_few_files(spark, docs, labels):
+    """Of documents dealt over many partitions, learning writes as many files a table as tasks run at once at
+    most, and learns the same."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    want, old = toxicity.fit(docs, labels), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    before = set(shared.glob("tactus-toxicity-*"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "37")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = toxicity.fit(docs.repartition(37), labels)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    new = set(shared.glob("tactus-toxicity-*")) - before
+    assert new and all(len(list(p.glob("part-*"))) <= spark.sparkContext.defaultParallelism for p in new)
+    assert (got.hashes == want.hashes).all() and (got.scores == want.scores).all() and (got.lam, got.k) == (want.lam, want.k)
