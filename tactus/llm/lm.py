@@ -59,6 +59,8 @@ from tactus.llm.storage import discard, staged
 CHUNK = 8 << 20
 #: Tokens whose decisions are held at a time.
 PART = 16_000
+#: The same when texts are scored, which decides no result.
+SCORED = 6_000
 FREQUENT, GUIDES = 2048, 256
 #: Least counts of the classes: 1 to 8, then by half more.
 EDGES = np.unique(np.concatenate([np.arange(1, 9), (8 * 1.5 ** np.arange(1, 90)).astype(np.int64)]))
@@ -69,6 +71,7 @@ SYMBOLS = START
 GROUPS = 64
 OTHER = GROUPS - 1
 NODES = SYMBOLS - 1 + GROUPS - 1
+assert NODES <= 1 << 12  # as keys of 32 bits hold them
 HASH_BITS = 22
 BASE = np.cumsum([0, NODES, (GUIDES + 1) * NODES, 1 << HASH_BITS])
 STEPS = np.arange(1, NODES + 1, dtype=np.uint64) * T._M1
@@ -77,7 +80,6 @@ INPUTS, GATES, STEP = 5, 8 * 4 * 4, 32_768
 CHUNKS_A_TASK = 16
 PRIOR = np.float32(0.3)
 LOGS = np.log(np.arange(1024, dtype=np.float32) + PRIOR)
-SURE = np.searchsorted([0.5, 4, 40], np.arange(2048)).astype(np.int64)
 
 
 def huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,13 +112,18 @@ def class_of(count: np.ndarray) -> np.ndarray:
 
 
 class Code:
-    """The trees, by weights of symbols and groups, and log2 of the number of words of each class and group."""
+    """The trees, by weights of symbols and groups, and log2 of the number of words of each class and group.
+    The paths lie one after another, with node, bit, gate by depth and hash step of each decision."""
 
     def __init__(self, weights: np.ndarray, group_weights: np.ndarray, sizes: np.ndarray):
         (self.first, a, x), (g, b, y) = huffman(weights), huffman(group_weights)
-        self.nodes, self.bits = np.concatenate([a, b + SYMBOLS - 1]).astype(np.int64), np.concatenate([x, y])
+        self.nodes, self.bits = np.concatenate([a, b + SYMBOLS - 1]).astype(np.int64), np.concatenate([x, y]).astype(np.int64)
         self.first, self.group_first = self.first.astype(np.int64), (g + len(a)).astype(np.int64)
         self.size, self.group_size = np.diff(self.first), np.diff(self.group_first)
+        depth, inside = (np.arange(f[-1] - f[0]) - np.repeat(f[:-1] - f[0], n) for f, n in ((self.first, self.size), (self.group_first, self.group_size)))
+        self.gates = np.concatenate([np.minimum(depth, 5), 6 + (inside > 0)]) * 16
+        self.steps, self.short = STEPS[self.nodes] * T._M2, self.nodes.astype(np.uint16)
+        self.keys = (self.nodes << 20 | self.bits).astype(np.uint32)
         self.number = np.log2(np.maximum(sizes, 1))
 
 
@@ -133,6 +140,15 @@ class Texts:
     spelled: np.ndarray
 
 
+def _met(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of some codes (0, 1, ... without gaps), how many equal ones come before it; and how often each code is there."""
+    many = np.bincount(code)
+    order = np.argsort(code.astype(np.uint16) if len(many) <= 1 << 16 else code, kind="stable")
+    before = np.empty(len(code), np.int64)
+    before[order] = np.arange(len(code)) - np.repeat(np.cumsum(many) - many, many)
+    return before, many
+
+
 def symbols(t: Texts, a: int, b: int, code: Code, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbol and group (-1 for none) of each token of texts a to b, and what its number or spelling
     costs in bits.  left_out: words are counted without the text they are in."""
@@ -149,10 +165,10 @@ def symbols(t: Texts, a: int, b: int, code: Code, left_out: bool) -> tuple[np.nd
     rare_first = np.searchsorted(rare, first)
     row = np.repeat(np.arange(b - a), np.diff(rare_first))
     code_of = pd.factorize(row * (len(t.rank) + 1) + w)[0]
-    before = pd.Series(code_of).groupby(code_of, sort=False).cumcount().to_numpy()
+    before, many = _met(code_of)
     count = t.count[w]
     if left_out:
-        count = count - np.bincount(code_of)[code_of]
+        count = count - many[code_of]
     symbol = class_of(count)
     new = symbol == NEW
     cost = code.number[np.where(new, 0, symbol - FREQUENT), own]
@@ -168,21 +184,20 @@ def symbols(t: Texts, a: int, b: int, code: Code, left_out: bool) -> tuple[np.nd
 
 @dataclass
 class Part:
-    """Decisions of some tokens: its token and text, node, bit, for each predictor the table slot,
-    guide, gate by depth, and counts of 0 and 1 at the node in the text so far."""
+    """Decisions of some tokens: text, node, bit, for each predictor the table slot, guide, gate by
+    depth, and counts of 0 and 1 at the node in the text so far."""
 
-    token: np.ndarray
     text: np.ndarray
     node: np.ndarray
     bit: np.ndarray
     slots: list[np.ndarray]
     guide: np.ndarray
-    depth: np.ndarray
+    gate: np.ndarray
     own: list[np.ndarray]
 
 
-def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Code) -> Iterator[Part]:
-    """The decisions of texts' tokens (text i is symbol[first[i]:first[i + 1]]), PART tokens or less at a time."""
+def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Code, most: int) -> Iterator[Part]:
+    """The decisions of texts' tokens (text i is symbol[first[i]:first[i + 1]]), ``most`` tokens or less at a time."""
     n = len(symbol)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     prev = np.concatenate([[START], symbol[:-1]])[:n]
@@ -190,55 +205,77 @@ def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Co
     at = np.maximum.accumulate(np.where(symbol < GUIDES, np.arange(n), -1)) if n else np.zeros(0, np.int64)
     at = np.concatenate([[-1], at[:-1]])[:n]
     guide = (np.where(at >= first[:-1][row], symbol[np.maximum(at, 0)], GUIDES) if n else at)
-    before, within = (T.mix((x * (GUIDES + 1) + guide).astype(np.uint64) + T._M2) for x in (prev, symbol + SYMBOLS + 1))
+    grouped = group >= 0
+    # one path a token, and that of its group after it
+    token = np.repeat(np.arange(n), 1 + grouped)
+    inner = np.flatnonzero(grouped) + np.cumsum(grouped)[grouped]
+    start, size, context = code.first[symbol[token]], code.size[symbol[token]], prev[token]
+    start[inner], size[inner], context[inner] = code.group_first[group[grouped]], code.group_size[group[grouped]], symbol[grouped] + SYMBOLS + 1
+    guide, row = guide[token], row[token]
+    context = T.mix((context * (GUIDES + 1) + guide).astype(np.uint64) + T._M2) * T._M2
+    under = guide * NODES + BASE[1]
+    cuts = np.searchsorted(token, np.arange(0, n + most, most))
     carried = None
-    for a in range(0, n, PART):
-        b = min(n, a + PART)
-        main = code.size[symbol[a:b]]
-        length = main + np.where(group[a:b] >= 0, code.group_size[group[a:b]], 0)
-        ends = np.cumsum(length)
-        token = np.repeat(np.arange(b - a), length)
-        depth = np.arange(ends[-1]) - (ends - length).take(token)
-        inside = depth - main.take(token)  # place in the group's path, below 0 before it
-        grouped = inside >= 0
-        where = np.where(grouped, (code.group_first[group[a:b]] - main).take(token), code.first[symbol[a:b]].take(token)) + depth
+    for a, b in zip(cuts, cuts[1:]):
+        ends = np.cumsum(size[a:b])
+        path = np.repeat(np.arange(b - a), size[a:b])
+        where = (start[a:b] - ends + size[a:b]).take(path)
+        where += np.arange(len(where))
         node, bit = code.nodes.take(where), code.bits.take(where)
-        step = STEPS.take(node)
-        here = guide[a:b].take(token)
-        slots = [node, here * NODES + (node + BASE[1])]
-        context = np.where(grouped, within[a:b].take(token), before[a:b].take(token))
-        slots.append((((context + step) * T._M2) >> np.uint64(64 - HASH_BITS)).astype(np.int64) + BASE[2])
-        text = row[a:b].take(token)
-        own = _met_before(node, text, bit)
+        slots = [node, under[a:b].take(path)]
+        slots[1] += node
+        hashed = context[a:b].take(path)
+        hashed += code.steps.take(where)
+        hashed >>= np.uint64(64 - HASH_BITS)
+        slots.append(hashed.view(np.int64))
+        slots[2] += BASE[2]
+        text = row[a:b].take(path)
+        key = ((row[a:b] - row[a]) << 1).astype(np.uint32).take(path)
+        key += code.keys.take(where)
+        own = _met_before(code.short.take(where), key)
         if carried is not None and carried[0] == row[a]:  # a text that began in the part before
             same = np.flatnonzero(text == row[a])
             for k in range(2):
-                own[k][same] += carried[1][k][node[same]]
-        if b < n and row[b] == row[b - 1]:
+                own[k][same] = np.minimum(own[k][same] + carried[1][k][node[same]], len(LOGS) - 1)
+        if b < len(row) and row[b] == row[b - 1]:
             last = np.flatnonzero(text == row[b])
             past = carried[1] if carried is not None and carried[0] == row[b] else np.zeros((2, NODES), np.int64)
             carried = row[b], past + np.stack([np.bincount(node[last], bit[last] == k, NODES).astype(np.int64) for k in range(2)])
-        own = [np.minimum(x, len(LOGS) - 1) for x in own]
-        yield Part(token + a, text, node, bit, slots, here, np.where(grouped, 6 + (inside > 0), np.minimum(depth, 5)), own)
-
-
-def _met_before(node: np.ndarray, text: np.ndarray, bit: np.ndarray) -> list[np.ndarray]:
-    """For each decision, how many of its text at its node before it were 0 and 1.  Texts come in
-    order, so that after a stable sort by node those of a text stand together."""
-    order = np.argsort(node.astype(np.uint16), kind="stable")
-    n, t, b = node.take(order), text.take(order), bit.take(order).astype(np.int64)
-    start = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (t[1:] != t[:-1])]))
-    many = np.diff(np.append(start, len(n)))
-    before = np.cumsum(b) - b
-    ones = before - np.repeat(before[start], many)
-    place = np.arange(len(n)) - np.repeat(start, many)
-    out = [np.empty(len(n), np.int64), np.empty(len(n), np.int64)]
-    out[0][order], out[1][order] = place - ones, ones
-    return out
+        yield Part(text, node, bit, slots, guide[a:b].take(path), code.gates.take(where), own)
+
+
+def _met_before(node: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
+    """For each decision, how many of its text at its node before it were 0 and 1, as far as LOGS goes.  ``key``
+    is node, text (up to 2^19) and bit.  Texts come in order, so that after a stable sort by node those of a
+    text stand together."""
+    order = np.argsort(node, kind="stable")
+    key = key.take(order)
+    b = (key & 1).astype(np.int32)
+    key >>= 1
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many = np.diff(np.append(start, len(key)))
+    ones = np.cumsum(b, dtype=np.int32)
+    ones -= b
+    zeros = np.arange(len(key), dtype=np.int32)
+    zeros -= ones
+    ones -= np.repeat(ones[start], many)
+    zeros -= np.repeat(zeros[start], many)
+    np.minimum(ones, len(LOGS) - 1, out=ones)
+    np.minimum(zeros, len(LOGS) - 1, out=zeros)
+    ones <<= 16
+    ones += zeros
+    both = np.empty(len(key), np.int32)
+    both[order] = ones
+    return [both.astype(np.uint16), (both >> 16).astype(np.uint16)]
+
+
+def _sure(n: np.ndarray) -> np.ndarray:
+    """0 for no count, 1 up to 4, 2 up to 40, else 3."""
+    return (n > 0.5).view(np.uint8) + (n > 4.5).view(np.uint8) + (n > 40.5).view(np.uint8)
 
 
 def _gate(depth: np.ndarray, sure: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
-    return (depth * 4 + sure) * 4 + SURE.take(own[0] + own[1], mode="clip")
+    return depth + (sure * np.uint8(4) + _sure((own[0] + own[1]).astype(np.float32)))
 
 
 @dataclass
@@ -250,8 +287,10 @@ class Model:
     map: np.ndarray
 
     def __post_init__(self) -> None:
-        self.odds = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR))
-        self.sure = SURE.take(self.counts[BASE[2] :].sum(1).astype(np.int64), mode="clip").astype(np.uint8)
+        self.odds = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR)).astype(np.float32)
+        hashed = self.odds[BASE[2] :].view(np.uint32)  # their last two bits tell how often a context was seen
+        hashed &= ~np.uint32(3)
+        hashed |= _sure(self.counts[BASE[2] :, 0] + self.counts[BASE[2] :, 1])
 
     def __getstate__(self) -> tuple:
         return S._squeeze(self.counts), self.weights, self.map
@@ -263,14 +302,19 @@ class Model:
 
     def bits(self, p: Part) -> np.ndarray:
         """Cost of each decision in bits."""
-        x = np.empty((INPUTS, len(p.bit)), np.float32)
-        for j, s in enumerate(p.slots):
-            self.odds.take(s, out=x[j], mode="clip")
-        x[3] = LOGS.take(p.own[1]) - LOGS.take(p.own[0])
-        x[4] = 0.3
-        mixed = S.mix(x, self.weights, _gate(p.depth, self.sure.take(p.slots[2] - BASE[2]), p.own))
+        mixed = self.odds.take(p.slots[2], mode="clip")
+        gate = _gate(p.gate, (mixed.view(np.uint32) & 3).astype(np.uint8), p.own)
+        mixed *= self.weights[:, 2].take(gate)
+        mixed += (self.weights[:, INPUTS - 1] * np.float32(0.3)).astype(np.float32).take(gate)
+        for j in range(2):
+            x = self.odds.take(p.slots[j], mode="clip")
+            x *= self.weights[:, j].take(gate)
+            mixed += x
+        x = LOGS.take(p.own[1]) - LOGS.take(p.own[0])
+        x *= self.weights[:, 3].take(gate)
+        mixed += x
         q = S.refine(self.map, S.squash(mixed), mixed, p.guide)
-        return -np.log2(np.where(p.bit > 0, q, 1 - q))
+        return -np.log2(np.abs(q - (1 - p.bit).astype(np.float32)))
 
 
 def text_bits(model: Model, code: Code, t: Texts, a: int, b: int) -> np.ndarray:
@@ -278,7 +322,7 @@ def text_bits(model: Model, code: Code, t: Texts, a: int, b: int) -> np.ndarray:
     symbol, group, extra = symbols(t, a, b, code, False)
     first = t.first[a : b + 1] - t.first[a]
     total = T.segment_sum(extra, first)
-    for p in decisions(symbol, group, first, code):
+    for p in decisions(symbol, group, first, code, min(PART, SCORED)):
         total += np.bincount(p.text, model.bits(p), len(total))
     return total
 
@@ -349,7 +393,7 @@ _VALUE = np.dtype([("local", "<i4"), ("rank", "<i4"), ("c", "<i8"), ("spelled",
 
 
 def _bundle(shared):
-    """The rows (chunk, local, rank, c, word) of a task as one row a chunk of packed values, half a
+    """The rows (chunk, local and rank, c, word) of a task as one row a chunk of packed values, half a
     million rows at a time; words of no training occurrence (only those are given) are spelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,13 +411,13 @@ def _bundle(shared):
             if not b.num_rows:
                 continue
             packed = np.zeros(b.num_rows, _VALUE)
-            for j, name in enumerate(("local", "rank", "c")):
-                packed[name] = b.column(j + 1).to_numpy(zero_copy_only=False)
+            both = b.column(1).to_numpy()
+            packed["local"], packed["rank"], packed["c"] = both & 0xFFFFFFFF, both >> 32, b.column(2).to_numpy()
             new = np.flatnonzero(packed["c"] == 0)
             for a in range(0, len(new), 8192):
                 at = new[a : a + 8192]
                 skip = np.where(packed["rank"][at] == FREQUENT + OTHER, 0, 2)
-                packed["spelled"][at] = shared.value.log10(b.column(4).take(pa.array(at)), skip) / -np.log10(2)
+                packed["spelled"][at] = shared.value.log10(b.column(3).take(pa.array(at)), skip) / -np.log10(2)
             held.append((b.column(0).to_numpy(), packed))
             size += b.num_rows
             if size >= 500_000:
@@ -437,21 +481,26 @@ def learn_texts(rows: Iterator[dict], code: Code) -> tuple[np.ndarray, S.Learner
         whole = texts_of(r)
         for t, a, b in groups_of(whole, ~np.array(r["held"], bool)):
             symbol, group, _ = symbols(t, a, b, code, True)
-            for p in decisions(symbol, group, t.first[a : b + 1] - t.first[a], code):
+            for p in decisions(symbol, group, t.first[a : b + 1] - t.first[a], code, PART):
                 for k in range(0, len(p.bit), STEP):
                     some = slice(k, k + STEP)
                     own = [x[some] for x in p.own]
                     x = np.empty((INPUTS, len(own[0])), np.float32)
                     for j, s in enumerate(p.slots):
-                        n = pairs.take(s[some]).view(np.float32).reshape(-1, 2)
-                        x[j] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
-                    x[3] = LOGS.take(own[1]) - LOGS.take(own[0])
+                        n = pairs.take(s[some]).view(np.float32)
+                        n += PRIOR
+                        np.divide(n[1::2], n[::2], out=x[j])
+                    np.log(x[:3], out=x[:3])
+                    np.subtract(LOGS.take(own[1]), LOGS.take(own[0]), out=x[3])
                     x[4] = 0.3
-                    sure = SURE.take((n[:, 0] + n[:, 1]).astype(np.int64), mode="clip")
-                    learner.step(x, _gate(p.depth[some], sure, own), p.bit[some].astype(np.float32), p.guide[some])
+                    sure = _sure(n[::2] + n[1::2] - 2 * PRIOR)
+                    learner.step(x, _gate(p.gate[some], sure, own), p.bit[some], p.guide[some])
                 learner.seen += len(p.bit)
-                for s in p.slots:
-                    np.add.at(flat, s * 2 + p.bit, np.float32(1))
+                counts[:NODES] += np.bincount(2 * p.node + p.bit, minlength=2 * NODES).reshape(-1, 2)
+                for s in p.slots[1:]:
+                    s <<= 1
+                    s += p.bit
+                    np.add.at(flat, s, np.float32(1))
     return counts, learner
 
 
@@ -470,12 +519,13 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     counted = staged(counted, "lm-words")
     known = counted.where("first and c > 0")
     top = known.select("word", "c").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    ranks = F.broadcast(spark.createDataFrame([(r.word, k) for k, r in enumerate(top)], "word string, rank int"))
+    ranks = F.broadcast(spark.createDataFrame([(r.word, k) for k, r in enumerate(top)], "top string, rank int"))
     edge_of = lambda c: sum(((c >= int(e)).cast("int") for e in EDGES[1:]), (c >= 1).cast("int"))
-    pair = F.hex(F.substring(F.encode("word", "UTF-8"), 1, 2)).alias("pair")
-    rare = known.join(ranks, "word", "left_anti").select("c", pair)
+    pair = F.substring(F.col("word").cast("binary"), 1, 2).alias("pair")
+    often = F.when(F.col("c") >= (top[-1].c if top else 0), F.col("word")) == F.col("top")  # so that rarer words are not looked up
+    rare = known.join(ranks, often, "left_anti").select("c", pair)
     pairs = rare.groupBy("pair").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "pair").limit(GROUPS - 1).collect()
-    group_ids = F.broadcast(spark.createDataFrame([(r.pair, k) for k, r in enumerate(pairs)], "pair string, g int"))
+    group_ids = F.broadcast(spark.createDataFrame([(r.pair, k) for k, r in enumerate(pairs)], "pair binary, g int"))
     group = F.coalesce("g", F.lit(OTHER))
     by_count = rare.join(group_ids, "pair", "left").groupBy(group.alias("g"), "c").agg(F.count(F.lit(1)).alias("words"))
     by_class = by_count.groupBy("g", edge_of(F.col("c")).alias("k"), edge_of(F.col("c") - 1).alias("k_out"))
@@ -495,8 +545,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     code = Code(weights, group_weights, sizes)
 
     speller = spark.sparkContext.broadcast(S.fit(known.where("c = 1").select("word"), once))
-    ranked = counted.withColumn("pair", pair).join(ranks, "word", "left").join(group_ids, "pair", "left")
-    ranked = ranked.select("chunk", "local", F.coalesce("rank", F.lit(FREQUENT) + group).alias("rank"), "c", F.when(F.col("c") == 0, F.col("word")).alias("word"))
+    ranked = counted.join(ranks, often, "left").drop("top").withColumn("pair", pair).join(group_ids, "pair", "left")
+    both = F.shiftleft(F.coalesce("rank", F.lit(FREQUENT) + group).cast("long"), 32) + F.col("local")
+    ranked = ranked.select("chunk", both.alias("both"), "c", F.when(F.col("c") == 0, F.col("word")).alias("word"))
     values = ranked.mapInArrow(_bundle(speller), "of_chunk long, packed binary")
     texts = staged(docs_of.groupBy("chunk").cogroup(values.groupBy("of_chunk")).applyInArrow(_assemble(tokens, distinct, ends), _TEXTS), "lm-texts")
     speller.destroy()

@@ -30,8 +30,9 @@ MOST_BITS = 20
 GATES = 8 * 5 * 4
 BUCKETS = 33
 LIMIT = 12.0
-#: Gates by how often the two longest contexts were seen.
-LONG, MID = (np.searchsorted(x, np.arange(1024)) for x in ([0.5, 3, 30, 1000], [0.5, 5, 100]))
+#: Gates by how often the two longest contexts were seen: counts above these.
+LONG, MID = (0.5, 3.5, 30.5, 1000.5), (0.5, 5.5, 100.5)
+PRIOR = np.float32(0.02)
 #: Slots that travel in one row.
 BLOCK = 1 << 14
 
@@ -77,7 +78,13 @@ def spell(words: pa.Array) -> Words:
 def slots(w: Words, bit: int, bits: list[int]) -> list[np.ndarray]:
     """Table slots of a bit of every symbol, one array a predictor."""
     node = ((1 << bit) | (w.symbol.astype(np.uint64) >> np.uint64(8 - bit))) * T._M1
-    return [(((c + node) * T._M2) >> np.uint64(64 - b)).astype(np.int64) for c, b in zip(w.context, bits)]
+    found = []
+    for c, b in zip(w.context, bits):
+        at = c + node
+        at *= T._M2
+        at >>= np.uint64(64 - b)
+        found.append(at.view(np.int64))
+    return found
 
 
 def bases(bits: list[int]) -> np.ndarray:
@@ -91,8 +98,8 @@ def squash(x: np.ndarray) -> np.ndarray:
 def bucket(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower bucket of a log-odds and how far it lies towards the next."""
     at = (np.clip(x, -LIMIT, LIMIT - 1e-3) + x.dtype.type(LIMIT)) * x.dtype.type((BUCKETS - 1) / (2 * LIMIT))
-    low = at.astype(np.int64)
-    return low, at - low
+    low = np.floor(at)
+    return low.astype(np.int64), at - low
 
 
 def map_from(hits: np.ndarray, tries: np.ndarray, prior: float = 20.0) -> np.ndarray:
@@ -107,8 +114,14 @@ def refine(map_: np.ndarray, p: np.ndarray, x: np.ndarray, context: np.ndarray)
     at = context * BUCKETS + low
     flat = map_.ravel()
     mapped = flat.take(at)
-    mapped += (flat.take(at + 1) - mapped) * part
-    return np.clip((p + mapped) / 2, 1e-6, 1 - 1e-6)
+    at += 1
+    more = flat.take(at)
+    more -= mapped
+    more *= part
+    mapped += more
+    mapped += p
+    mapped *= 0.5
+    return np.clip(mapped, 1e-6, 1 - 1e-6, out=mapped)
 
 
 class Learner:
@@ -121,21 +134,20 @@ class Learner:
         self.rate, self.steps, self.seen = rate, 0, 0
 
     def step(self, x: np.ndarray, gate: np.ndarray, set_: np.ndarray, context: np.ndarray) -> None:
-        """x: inputs x decisions, bias last."""
+        """x: inputs x decisions, bias (the same for all) last; set_: 0 or 1."""
         gates = len(self.weights)
         self.steps += 1
-        mixed = mix(x, self.weights, gate)
-        miss = set_ - squash(mixed)
+        mixed = mix(x, self.weights.astype(np.float32), gate)
+        miss = set_.astype(np.float32) - squash(mixed)
         per = np.bincount(gate, minlength=gates)[:, None]
-        miss = miss.astype(np.float32)
-        slope = np.stack([np.bincount(gate, miss * row, gates) for row in x], 1) / np.maximum(per, 1)
+        slope = np.stack([np.bincount(gate, miss * row, gates) for row in x[:-1]] + [x[-1, 0] * np.bincount(gate, miss, gates)], 1) / np.maximum(per, 1)
         self.speed = np.where(per > 0, 0.95 * self.speed + 0.05 * (slope**2).mean(1, keepdims=True), self.speed)
         self.weights += self.rate * (per / (20 + per)) * slope / (np.sqrt(self.speed) + 1e-3) / np.sqrt(1 + self.steps / 800)
         if self.steps > 20:
             low, part = bucket(mixed)
-            at = context * BUCKETS + low + (part > 0.5)
-            self.hits += np.bincount(at, set_, len(self.hits))
-            self.tries += np.bincount(at, minlength=len(self.tries))
+            found = np.bincount(2 * (context * BUCKETS + low + (part > 0.5)) + set_, minlength=2 * len(self.hits)).reshape(-1, 2)
+            self.hits += found[:, 1]
+            self.tries += found[:, 0] + found[:, 1]
 
     def vector(self) -> np.ndarray:
         """Weights times ``seen``, hits, tries and ``seen``: what adds up over tasks."""
@@ -209,7 +221,12 @@ def _widen(raw: bytes) -> np.ndarray:
 
 def mix(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
     """Log-odds (inputs x decisions) added up by the weights of each decision's gate."""
-    return sum(row * weights[:, j].take(gate) for j, row in enumerate(x))
+    total = x[0] * weights[:, 0].take(gate)
+    for j in range(1, len(x)):
+        some = weights[:, j].take(gate)
+        some *= x[j]
+        total += some
+    return total
 
 
 def inputs(counts: np.ndarray, at: list[np.ndarray], bit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,12 +234,16 @@ def inputs(counts: np.ndarray, at: list[np.ndarray], bit: int) -> tuple[np.ndarr
     pairs = counts.view(np.uint64).ravel()
     x = np.empty((len(ORDERS) + 1, len(at[0])), np.float32)
     for j, s in enumerate(at):
-        n = pairs.take(s).view(np.float32).reshape(-1, 2)
-        x[j] = np.log((n[:, 1] + np.float32(0.02)) / (n[:, 0] + np.float32(0.02)))
-        if j == len(ORDERS) - 2:
-            mid = MID[np.minimum(n[:, 0] + n[:, 1], 1023).astype(np.int64)]
+        n = pairs.take(s).view(np.float32)
+        n += PRIOR
+        np.divide(n[1::2], n[::2], out=x[j])
+        if j >= len(ORDERS) - 2:
+            seen = n[::2] + n[1::2] - 2 * PRIOR
+            level = sum((seen > edge).view(np.uint8) for edge in (MID if j == len(ORDERS) - 2 else LONG))
+            gate = level if j == len(ORDERS) - 2 else (bit * 5 + level.astype(np.int64)) * 4 + gate
+    np.log(x[:-1], out=x[:-1])
     x[-1] = 0.3
-    return x, (bit * 5 + LONG[np.minimum(n[:, 0] + n[:, 1], 1023).astype(np.int64)]) * 4 + mid
+    return x, gate
 
 
 @dataclass
@@ -268,9 +289,11 @@ def learn_words(parts: Iterator[pa.Array], bits: list[int], step: int = 2048) ->
                 set_ = (w.symbol >> (7 - bit)) & 1
                 at = [s + b for s, b in zip(slots(w, bit, bits), base)]
                 x, gate = inputs(counts, at, bit)
-                learner.step(x, gate, set_.astype(np.float32), w.before)
+                learner.step(x, gate, set_, w.before)
                 for s in at:
-                    np.add.at(flat, s * 2 + set_, np.float32(1))
+                    s <<= 1
+                    s += set_
+                    np.add.at(flat, s, np.float32(1))
         learner.seen += len(words)
     return counts, learner
 

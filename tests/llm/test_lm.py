@@ -186,3 +186,36 @@ def test_tables_of_many_tasks_add_up(spark):
         rows += [(k, b, bytearray(S._squeeze(own[b * S.BLOCK : (b + 1) * S.BLOCK])), None, None) for b in range(2)]
     found = spark.createDataFrame(rows, S.FOUND)
     assert (S.summed(found, size) == want).all()
+
+
+def test_counts_in_the_text_by_plain_counting(rng, monkeypatch):
+    """Whatever the blocks that texts are scored in, each decision has its node's earlier bits in its text (up to
+    what LOGS holds), and bits don't change."""
+    t, code, texts = small(rng, 5)
+    local = np.concatenate([t.local, np.tile(np.array([0, 1, 0, 2]), 400), [-1]])  # a long text at the end
+    t = lm.Texts(local, np.append(t.first, len(local)), t.rank, t.count, t.spelled)
+    symbol, group, _ = lm.symbols(t, 0, len(t.first) - 1, code, False)
+    for most in (7, 300, 10**6):
+        seen = {}
+        for p in lm.decisions(symbol, group, t.first, code, most):
+            for text, node, bit, c0, c1 in zip(p.text, p.node, p.bit, *p.own):
+                own = seen.setdefault((text, node), [0, 0])
+                assert (c0, c1) == tuple(min(x, len(lm.LOGS) - 1) for x in own)
+                own[bit] += 1
+        assert max(map(max, seen.values())) >= len(lm.LOGS)
+    model = lm.Model(np.zeros((lm.BASE[-1], 2), np.float32), S.Learner(lm.GATES, lm.INPUTS, 1).weights, S.map_from(np.zeros((lm.GUIDES + 1, S.BUCKETS)), np.zeros((lm.GUIDES + 1, S.BUCKETS))))
+    want = lm.text_bits(model, code, t, 0, len(t.first) - 1)
+    monkeypatch.setattr(lm, "SCORED", 50)
+    assert np.allclose(lm.text_bits(model, code, t, 0, len(t.first) - 1), want)
+
+
+def test_hashed_odds_tell_how_often_they_were_seen():
+    counts = np.zeros((lm.BASE[-1], 2), np.float32)
+    n = np.array([0, 1, 4, 5, 40, 41, 10**6])
+    counts[lm.BASE[2] : lm.BASE[2] + len(n), 0] = n
+    counts[lm.BASE[2] : lm.BASE[2] + len(n), 1] = 2
+    counts[lm.BASE[2], 1] = 0
+    model = lm.Model(counts, np.zeros((lm.GATES, lm.INPUTS), np.float32), np.zeros((1, S.BUCKETS), np.float32))
+    odds = model.odds[lm.BASE[2] :][: len(n)]
+    assert (odds.view(np.uint32) & 3).tolist() == [bisect_left([0.5, 4, 40], x) for x in (n + counts[lm.BASE[2] :][: len(n), 1]).tolist()]
+    assert odds == pytest.approx(np.log((counts[lm.BASE[2] :][: len(n), 1] + 0.3) / (n + 0.3)), abs=1e-5)
