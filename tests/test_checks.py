@@ -127,6 +127,15 @@ def test_stars_through_the_padded_pipeline(spark):
         K.strict(K.padded_spans(path, wrong, "segment")).collect()
 
 
+def test_strict_names_the_least_problem(spark):
+    kind = "doc_id long, problem string"
+    rows = spark.createDataFrame([(1, "span without interval"), (2, "label differs"), (1, "label differs"), (3, None)], kind).coalesce(1)
+    with pytest.raises(Exception, match="integrity: label differs in 1"):
+        K.strict(rows).collect()
+    good = K.strict(rows.where("problem is null"))
+    assert good.columns == ["doc_id"] and [r.doc_id for r in good.collect()] == [3]
+
+
 def test_step_and_line_problems(spark):
     steps = spark.createDataFrame([(1, 0, 2, -1.0), (1, 1, 1, float("nan")), (1, 3, 4, -1.0)], "doc_id long, number int, state int, score double")
     assert sorted((r.number, r.problem) for r in K.stage_problems("steps", steps).collect()) == [(0, "first state beyond 1"), (1, "score not finite"), (1, "state goes back"), (3, "number not one more"), (3, "state jumps")]
