@@ -54,6 +54,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int = MAX_LA
 #: Lengths of the word beginnings that are tokens, in bytes.
 PREFIXES = (4, 5, 6, 7, 8)
 FILTER_BITS = 22
+#: Bytes of text handled at a time: a word has up to six tokens, some 60 bytes of arrays for each byte of text.
+CHUNK = 1 << 20
 
 
 def beginnings(w: T.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -86,7 +88,7 @@ def _weights(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Row]:
     documents a, clean ones b, and words of clean ones."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in T.chunks(batches):
+        for c in T.chunks(batches, size=CHUNK):
             w = T.words(c.data, c.offs, T.ALNUM)
             h, first = T.kmers(w, 5)
             key = np.zeros(c.rows.num_rows, np.uint64)
@@ -103,31 +105,34 @@ def _weights(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Row]:
     return weights, keys.join(F.broadcast(weights), "doc_id").agg(of(weight, toxic).alias("a"), of(weight, ~toxic).alias("b"), of(weight * F.col("words"), ~toxic).alias("words")).first()
 
 
+def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's tokens (text, label, weight): hash, weight of its toxic and of its clean documents, and
+    whether it is a word there."""
+    for c in T.chunks(batches, size=CHUNK):
+        toxic, weight = (x.to_numpy(zero_copy_only=False) for x in T.take_columns(c.rows, ["label", "weight"]))
+        toxic = toxic > 0
+        w = T.words(c.data, c.offs, T.ALNUM)
+        row_of = w.row_of()
+        at_word, hashes = (np.concatenate(x) for x in zip(*beginnings(w)))
+        whole = np.arange(len(at_word)) < len(w.hash)
+        order = np.argsort(at_word, kind="stable")
+        hashes, rows, whole = hashes[order], row_of[at_word[order]], whole[order]
+        once = T.occurrence(hashes, np.searchsorted(rows, np.arange(len(w.first)))) == 0
+        h, at = np.unique(hashes[once], return_inverse=True)
+        rows = rows[once]
+        a, b = (np.rint(np.bincount(at, weight[rows] * x[rows], len(h))).astype(np.int64) for x in (toxic, ~toxic))
+        words = np.bincount(at, whole[once], len(h)) > 0  # tokens that are words, not only beginnings
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a), pa.array(b), pa.array(words.astype(np.int64))], names=["h", "a", "b", "words"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, prior: float = 10.0, significance: float = 6.0, precision: float = 0.9, drift: float = 0.05, most: float = 1.0, least: float = 0.1) -> Model:
     """Learn from all labelled documents given (up to MAX_LABELLED)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in T.chunks(batches):
-            toxic, weight = (x.to_numpy(zero_copy_only=False) for x in T.take_columns(c.rows, ["label", "weight"]))
-            toxic = toxic > 0
-            w = T.words(c.data, c.offs, T.ALNUM)
-            row_of = w.row_of()
-            at_word, hashes = (np.concatenate(x) for x in zip(*beginnings(w)))
-            whole = np.arange(len(at_word)) < len(w.hash)
-            order = np.argsort(at_word, kind="stable")
-            hashes, rows, whole = hashes[order], row_of[at_word[order]], whole[order]
-            once = T.occurrence(hashes, np.searchsorted(rows, np.arange(len(w.first)))) == 0
-            h, at = np.unique(hashes[once], return_inverse=True)
-            rows = rows[once]
-            a, b = (np.rint(np.bincount(at, weight[rows] * x[rows], len(h))).astype(np.int64) for x in (toxic, ~toxic))
-            words = np.bincount(at, whole[once], len(h)) > 0  # tokens that are words, not only beginnings
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a), pa.array(b), pa.array(words.astype(np.int64))], names=["h", "a", "b", "words"])
-
     weights, totals = _weights(docs, labels)
     if not totals.a or not totals.b:
         return Model(np.zeros(0, np.uint64), np.zeros(0), drift, 1.0, 1.0)
     weighed = labelled(docs, labels, "toxic", with_id=True).join(F.broadcast(weights), "doc_id")
-    counts = weighed.select("text", "label", "weight").mapInArrow(count, "h long, a long, b long, words long")
+    counts = weighed.select("text", "label", "weight").mapInArrow(token_counts, "h long, a long, b long, words long")
     counts = counts.groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("words").alias("words"))
     docs_a, docs_b, clean_words = (float(totals[c]) / UNIT for c in ("a", "b", "words"))
     share = docs_a / (docs_a + docs_b)
@@ -247,7 +252,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in T.chunks(batches):
+        for c in T.chunks(batches, size=CHUNK):
             s, found = score_chunk(shared.value, c)
             spans = pa.array([[{"start": a, "end": b, "score": x} for a, b, x in p] for p in found], kind)
             yield pa.RecordBatch.from_arrays([c.rows.column(0), pa.array(s), spans], names=["doc_id", "score", "passages"])
@@ -261,7 +266,7 @@ def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in T.chunks(batches):
+        for c in T.chunks(batches, size=CHUNK):
             yield c.rows.filter(pa.array(score_chunk(shared.value, c)[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -326,3 +327,19 @@ def test_toxicity_tables_are_few_files(spark, docs, labels):
     new = set(shared.glob("tactus-toxicity-*")) - before
     assert new and all(len(list(p.glob("part-*"))) <= spark.sparkContext.defaultParallelism for p in new)
     assert (got.hashes == want.hashes).all() and (got.scores == want.scores).all() and (got.lam, got.k) == (want.lam, want.k)
+
+
+def test_toxicity_counts_hold_little_at_a_time(rng):
+    """The arrays that a batch of 8 MB takes are bounded, and its counts are those of its texts one by one."""
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 12))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(vocabulary, k=2000)) for _ in range(500)]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([int(i % 3 == 0) for i in range(500)], pa.int32()), pa.array([toxicity.UNIT] * 500)], names=["text", "label", "weight"])
+    tracemalloc.start()
+    try:
+        got = list(toxicity.token_counts(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6
+    total = lambda parts: pa.Table.from_batches(parts).group_by("h").aggregate([("a", "sum"), ("b", "sum")]).sort_by("h")
+    assert total(got).equals(total([x for i in range(500) for x in toxicity.token_counts(iter([rows.slice(i, 1)]))]))
