@@ -184,10 +184,12 @@ def symbols(t: Texts, a: int, b: int, code: Code, left_out: bool) -> tuple[np.nd
 
 @dataclass
 class Part:
-    """Decisions of some tokens: text, node, bit, for each predictor the table slot, guide, gate by
-    depth, and counts of 0 and 1 at the node in the text so far."""
+    """Decisions of some tokens: the texts that they are of, in order, with the first decision of each;
+    node, bit, for each predictor the table slot, guide, gate by depth, and counts of 0 and 1 at the node
+    in the text so far."""
 
-    text: np.ndarray
+    texts: np.ndarray
+    first: np.ndarray
     node: np.ndarray
     bit: np.ndarray
     slots: list[np.ndarray]
@@ -195,23 +197,29 @@ class Part:
     gate: np.ndarray
     own: list[np.ndarray]
 
+    @property
+    def text(self) -> np.ndarray:
+        """The text of each decision."""
+        return np.repeat(self.texts, np.diff(np.append(self.first, len(self.node))))
+
 
 def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Code, most: int) -> Iterator[Part]:
     """The decisions of texts' tokens (text i is symbol[first[i]:first[i + 1]]), ``most`` tokens or less at a time."""
-    n = len(symbol)
+    n, most = len(symbol), min(most, (1 << 16) - 1)  # a node's decisions are counted in 16 bits
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     prev = np.concatenate([[START], symbol[:-1]])[:n]
     prev[first[:-1][np.diff(first) > 0]] = START
     at = np.maximum.accumulate(np.where(symbol < GUIDES, np.arange(n), -1)) if n else np.zeros(0, np.int64)
     at = np.concatenate([[-1], at[:-1]])[:n]
-    guide = (np.where(at >= first[:-1][row], symbol[np.maximum(at, 0)], GUIDES) if n else at)
+    guide = np.where(at >= first.take(row), symbol.take(np.maximum(at, 0)), GUIDES) if n else at
     grouped = group >= 0
     # one path a token, and that of its group after it
     token = np.repeat(np.arange(n), 1 + grouped)
     inner = np.flatnonzero(grouped) + np.cumsum(grouped)[grouped]
-    start, size, context = code.first[symbol[token]], code.size[symbol[token]], prev[token]
+    coded = symbol.take(token)
+    start, size, context = code.first.take(coded), code.size.take(coded), prev.take(token)
     start[inner], size[inner], context[inner] = code.group_first[group[grouped]], code.group_size[group[grouped]], symbol[grouped] + SYMBOLS + 1
-    guide, row = guide[token], row[token]
+    guide, row = guide.take(token), row.take(token)
     context = T.mix((context * (GUIDES + 1) + guide).astype(np.uint64) + T._M2) * T._M2
     under = guide * NODES + BASE[1]
     cuts = np.searchsorted(token, np.arange(0, n + most, most))
@@ -219,29 +227,31 @@ def decisions(symbol: np.ndarray, group: np.ndarray, first: np.ndarray, code: Co
     for a, b in zip(cuts, cuts[1:]):
         ends = np.cumsum(size[a:b])
         path = np.repeat(np.arange(b - a), size[a:b])
-        where = (start[a:b] - ends + size[a:b]).take(path)
+        where = (start[a:b] - ends + size[a:b]).take(path, mode="clip")
         where += np.arange(len(where))
-        node, bit = code.nodes.take(where), code.bits.take(where)
-        slots = [node, under[a:b].take(path)]
+        node, bit = code.nodes.take(where, mode="clip"), code.bits.take(where, mode="clip")
+        slots = [node, under[a:b].take(path, mode="clip")]
         slots[1] += node
-        hashed = context[a:b].take(path)
-        hashed += code.steps.take(where)
+        hashed = context[a:b].take(path, mode="clip")
+        hashed += code.steps.take(where, mode="clip")
         hashed >>= np.uint64(64 - HASH_BITS)
         slots.append(hashed.view(np.int64))
         slots[2] += BASE[2]
-        text = row[a:b].take(path)
-        key = ((row[a:b] - row[a]) << 1).astype(np.uint32).take(path)
-        key += code.keys.take(where)
-        own = _met_before(code.short.take(where), key)
+        texts = row[a:b]
+        changes = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
+        first_of = np.concatenate([[0], ends[changes[1:] - 1]])
+        key = ((row[a:b] - row[a]) << 1).astype(np.uint32).take(path, mode="clip")
+        key += code.keys.take(where, mode="clip")
+        own = _met_before(code.short.take(where, mode="clip"), key)
         if carried is not None and carried[0] == row[a]:  # a text that began in the part before
-            same = np.flatnonzero(text == row[a])
+            same = slice(0, first_of[1] if len(first_of) > 1 else None)
             for k in range(2):
                 own[k][same] = np.minimum(own[k][same] + carried[1][k][node[same]], len(LOGS) - 1)
         if b < len(row) and row[b] == row[b - 1]:
-            last = np.flatnonzero(text == row[b])
+            last = slice(first_of[-1], None)
             past = carried[1] if carried is not None and carried[0] == row[b] else np.zeros((2, NODES), np.int64)
             carried = row[b], past + np.stack([np.bincount(node[last], bit[last] == k, NODES).astype(np.int64) for k in range(2)])
-        yield Part(text, node, bit, slots, guide[a:b].take(path), code.gates.take(where), own)
+        yield Part(texts[changes], first_of, node, bit, slots, guide[a:b].take(path, mode="clip"), code.gates.take(where, mode="clip"), own)
 
 
 def _met_before(node: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
@@ -250,23 +260,20 @@ def _met_before(node: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
     text stand together."""
     order = np.argsort(node, kind="stable")
     key = key.take(order)
-    b = (key & 1).astype(np.int32)
+    met = key & 1
+    met *= np.uint32((1 << 16) - 1)
+    met += np.uint32(1)  # a 0 counts in the low half, a 1 in the high one
+    before = np.cumsum(met, dtype=np.uint32)
+    before -= met
     key >>= 1
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    many = np.diff(np.append(start, len(key)))
-    ones = np.cumsum(b, dtype=np.int32)
-    ones -= b
-    zeros = np.arange(len(key), dtype=np.int32)
-    zeros -= ones
-    ones -= np.repeat(ones[start], many)
-    zeros -= np.repeat(zeros[start], many)
-    np.minimum(ones, len(LOGS) - 1, out=ones)
-    np.minimum(zeros, len(LOGS) - 1, out=zeros)
-    ones <<= 16
-    ones += zeros
-    both = np.empty(len(key), np.int32)
-    both[order] = ones
-    return [both.astype(np.uint16), (both >> 16).astype(np.uint16)]
+    before -= np.repeat(before[start], np.diff(np.append(start, len(key))))
+    both = np.empty(len(key), np.uint32)
+    both[order] = before
+    zeros = both.astype(np.uint16)
+    both >>= 16
+    ones = both.astype(np.uint16)
+    return [np.minimum(x, np.uint16(len(LOGS) - 1), out=x) for x in (zeros, ones)]
 
 
 def _sure(n: np.ndarray) -> np.ndarray:
@@ -275,7 +282,11 @@ def _sure(n: np.ndarray) -> np.ndarray:
 
 
 def _gate(depth: np.ndarray, sure: np.ndarray, own: list[np.ndarray]) -> np.ndarray:
-    return depth + (sure * np.uint8(4) + _sure((own[0] + own[1]).astype(np.float32)))
+    n = own[0] + own[1]
+    sure = sure * np.uint8(4)
+    for edge in (0, 4, 40):
+        sure += (n > edge).view(np.uint8)
+    return depth + sure
 
 
 @dataclass
@@ -304,17 +315,23 @@ class Model:
         """Cost of each decision in bits."""
         mixed = self.odds.take(p.slots[2], mode="clip")
         gate = _gate(p.gate, (mixed.view(np.uint32) & 3).astype(np.uint8), p.own)
-        mixed *= self.weights[:, 2].take(gate)
-        mixed += (self.weights[:, INPUTS - 1] * np.float32(0.3)).astype(np.float32).take(gate)
+        mixed *= self.weights[:, 2].take(gate, mode="clip")
+        mixed += (self.weights[:, INPUTS - 1] * np.float32(0.3)).astype(np.float32).take(gate, mode="clip")
         for j in range(2):
             x = self.odds.take(p.slots[j], mode="clip")
-            x *= self.weights[:, j].take(gate)
+            x *= self.weights[:, j].take(gate, mode="clip")
             mixed += x
-        x = LOGS.take(p.own[1]) - LOGS.take(p.own[0])
-        x *= self.weights[:, 3].take(gate)
+        x = LOGS.take(p.own[1], mode="clip")
+        x -= LOGS.take(p.own[0], mode="clip")
+        x *= self.weights[:, 3].take(gate, mode="clip")
         mixed += x
         q = S.refine(self.map, S.squash(mixed), mixed, p.guide)
-        return -np.log2(np.abs(q - (1 - p.bit).astype(np.float32)))
+        cost = p.bit.astype(np.float32)
+        cost -= 1
+        cost += q
+        np.abs(cost, out=cost)
+        np.log2(cost, out=cost)
+        return np.negative(cost, out=cost)
 
 
 def text_bits(model: Model, code: Code, t: Texts, a: int, b: int) -> np.ndarray:
@@ -323,7 +340,7 @@ def text_bits(model: Model, code: Code, t: Texts, a: int, b: int) -> np.ndarray:
     first = t.first[a : b + 1] - t.first[a]
     total = T.segment_sum(extra, first)
     for p in decisions(symbol, group, first, code, min(PART, SCORED)):
-        total += np.bincount(p.text, model.bits(p), len(total))
+        total[p.texts] += np.add.reduceat(model.bits(p), p.first, dtype=float)
     return total
 
 
@@ -482,17 +499,19 @@ def learn_texts(rows: Iterator[dict], code: Code) -> tuple[np.ndarray, S.Learner
         for t, a, b in groups_of(whole, ~np.array(r["held"], bool)):
             symbol, group, _ = symbols(t, a, b, code, True)
             for p in decisions(symbol, group, t.first[a : b + 1] - t.first[a], code, PART):
+                static = np.log((counts[:NODES, 1] + PRIOR) / (counts[:NODES, 0] + PRIOR))
                 for k in range(0, len(p.bit), STEP):
                     some = slice(k, k + STEP)
                     own = [x[some] for x in p.own]
                     x = np.empty((INPUTS, len(own[0])), np.float32)
-                    for j, s in enumerate(p.slots):
-                        n = pairs.take(s[some]).view(np.float32)
+                    static.take(p.node[some], out=x[0], mode="clip")
+                    for j in (1, 2):
+                        n = pairs.take(p.slots[j][some], mode="clip").view(np.float32)
                         n += PRIOR
                         np.divide(n[1::2], n[::2], out=x[j])
-                    np.log(x[:3], out=x[:3])
+                    np.log(x[1:3], out=x[1:3])
                     np.subtract(LOGS.take(own[1]), LOGS.take(own[0]), out=x[3])
-                    x[4] = 0.3
+                    x[4] = S.BIAS
                     sure = _sure(n[::2] + n[1::2] - 2 * PRIOR)
                     learner.step(x, _gate(p.gate[some], sure, own), p.bit[some], p.guide[some])
                 learner.seen += len(p.bit)

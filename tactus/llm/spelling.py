@@ -33,6 +33,8 @@ LIMIT = 12.0
 #: Gates by how often the two longest contexts were seen: counts above these.
 LONG, MID = (0.5, 3.5, 30.5, 1000.5), (0.5, 5.5, 100.5)
 PRIOR = np.float32(0.02)
+#: The last input of every decision.
+BIAS = np.float32(0.3)
 #: Slots that travel in one row.
 BLOCK = 1 << 14
 
@@ -124,6 +126,23 @@ def refine(map_: np.ndarray, p: np.ndarray, x: np.ndarray, context: np.ndarray)
     return np.clip(mapped, 1e-6, 1 - 1e-6, out=mapped)
 
 
+def by_gate(x: np.ndarray, miss: np.ndarray, gate: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Sums of each input (BIAS last) times ``miss`` over the decisions of each gate (256 gates at most), of which there are ``per``."""
+    order = np.argsort(gate.astype(np.uint8), kind="stable")
+    some = np.flatnonzero(per)
+    start = (np.cumsum(per) - per)[some]
+    miss = miss.take(order, mode="clip")
+    total = np.zeros((len(per), len(x)))
+    if not len(some):
+        return total
+    for j, row in enumerate(x[:-1]):
+        row = row.take(order, mode="clip")
+        row *= miss
+        total[some, j] = np.add.reduceat(row, start)
+    total[some, -1] = np.add.reduceat(miss, start) * BIAS
+    return total
+
+
 class Learner:
     """Mixer weights by gate and the sums of an adaptive map, learned online in steps of some decisions."""
 
@@ -140,7 +159,7 @@ class Learner:
         mixed = mix(x, self.weights.astype(np.float32), gate)
         miss = set_.astype(np.float32) - squash(mixed)
         per = np.bincount(gate, minlength=gates)[:, None]
-        slope = np.stack([np.bincount(gate, miss * row, gates) for row in x[:-1]] + [x[-1, 0] * np.bincount(gate, miss, gates)], 1) / np.maximum(per, 1)
+        slope = by_gate(x, miss, gate, per[:, 0]) / np.maximum(per, 1)
         self.speed = np.where(per > 0, 0.95 * self.speed + 0.05 * (slope**2).mean(1, keepdims=True), self.speed)
         self.weights += self.rate * (per / (20 + per)) * slope / (np.sqrt(self.speed) + 1e-3) / np.sqrt(1 + self.steps / 800)
         if self.steps > 20:
@@ -220,10 +239,10 @@ def _widen(raw: bytes) -> np.ndarray:
 
 
 def mix(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    """Log-odds (inputs x decisions) added up by the weights of each decision's gate."""
-    total = x[0] * weights[:, 0].take(gate)
-    for j in range(1, len(x)):
-        some = weights[:, j].take(gate)
+    """Log-odds (inputs x decisions, BIAS last) added up by the weights of each decision's gate."""
+    total = (weights[:, -1] * BIAS).take(gate, mode="clip")
+    for j in range(len(x) - 1):
+        some = weights[:, j].take(gate, mode="clip")
         some *= x[j]
         total += some
     return total
@@ -242,7 +261,7 @@ def inputs(counts: np.ndarray, at: list[np.ndarray], bit: int) -> tuple[np.ndarr
             level = sum((seen > edge).view(np.uint8) for edge in (MID if j == len(ORDERS) - 2 else LONG))
             gate = level if j == len(ORDERS) - 2 else (bit * 5 + level.astype(np.int64)) * 4 + gate
     np.log(x[:-1], out=x[:-1])
-    x[-1] = 0.3
+    x[-1] = BIAS
     return x, gate
 
 

@@ -219,3 +219,30 @@ def test_hashed_odds_tell_how_often_they_were_seen():
     odds = model.odds[lm.BASE[2] :][: len(n)]
     assert (odds.view(np.uint32) & 3).tolist() == [bisect_left([0.5, 4, 40], x) for x in (n + counts[lm.BASE[2] :][: len(n), 1]).tolist()]
     assert odds == pytest.approx(np.log((counts[lm.BASE[2] :][: len(n), 1] + 0.3) / (n + 0.3)), abs=1e-5)
+
+
+def test_sums_by_gate_are_plain_sums():
+    rng = np.random.default_rng(6)
+    x, miss, gate = rng.normal(size=(4, 3000)).astype(np.float32), rng.normal(size=3000).astype(np.float32), rng.integers(0, 200, 3000) // 3 * 3
+    x[-1] = S.BIAS
+    per = np.bincount(gate, minlength=256)
+    want = np.stack([np.bincount(gate, (row * miss).astype(float), 256) for row in x], 1)
+    assert S.by_gate(x, miss, gate, per) == pytest.approx(want, abs=1e-4)
+    assert not S.by_gate(x[:, :0], miss[:0], gate[:0], np.zeros(256, np.int64)).any()
+
+
+def test_a_text_of_many_tokens_is_counted_whole(rng):
+    """However many tokens are asked for at a time, and with texts of one token between long ones."""
+    _, code, _ = small(rng)
+    size = [1, 70_000, 1, 1, 5, 66_000, 1]
+    first = np.concatenate([[0], np.cumsum(size)])
+    symbol = np.full(first[-1], 3)
+    symbol[first[1:] - 1] = lm.END
+    parts = list(lm.decisions(symbol, np.full(len(symbol), -1), first, code, 10**6))
+    assert sum(len(p.bit) for p in parts) == code.size[symbol].sum()
+    of = np.concatenate([p.text for p in parts])
+    assert np.bincount(of).tolist() == [int(code.size[symbol[a:b]].sum()) for a, b in zip(first, first[1:])]
+    root = np.concatenate([p.node for p in parts]) == 0
+    met = np.concatenate([p.own[0].astype(int) + p.own[1] for p in parts])[root]
+    before = np.arange(first[-1]) - np.repeat(first[:-1], size)
+    assert (np.where(before < 1000, met, 0) == np.where(before < 1000, before, 0)).all() and met[before > 3000].min() >= len(lm.LOGS) - 1
