@@ -30,9 +30,10 @@ What is gathered grows with the corpus in the words and their counts, which are
 table.  Decision tables have a fixed size by construction: their contexts are symbols of the trees,
 of which there are about FREQUENT + 160 whatever the corpus (2^HASH_BITS slots for the pairs).
 
-Flow: tasks cut their documents into chunks of about CHUNK bytes and write the chunk's distinct
-words and, as one row, its token numbers; words are counted over all chunks by one shuffle; a
-chunk's words get their counts back and are met with its token numbers, which gives the table that the two passes read.
+Flow: tasks cut their documents into chunks of about CHUNK bytes and write each one's token numbers as one
+row, and the distinct words of up to SHARED bytes of chunks; words are counted over all of these lists by one
+shuffle; a list's words get their counts back and are met with the token numbers of its chunks, which gives the
+table that the two passes read.
 
 Defined results: a null text is empty, and an empty text is one end; no training documents:
 every word is NEW and is spelled by an empty model; repeated rows and ids are each scored; texts
@@ -57,6 +58,8 @@ from tactus.llm import textops as T
 from tactus.llm.storage import discard, staged
 
 CHUNK = 8 << 20
+#: Bytes of text whose chunks share one list of distinct words.
+SHARED = 32 << 20
 #: Tokens whose decisions are held at a time.
 PART = 16_000
 #: The same when texts are scored, which decides no result.
@@ -385,23 +388,38 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, held_out) as chunks: a row for each distinct word, and one with the documents' token numbers."""
+    """(doc_id, text, held_out) as chunks: a row for each distinct word of some chunks, and one with the token
+    numbers of each.  What is numbered together has one number ``chunk``."""
+
+    def merged(chunk: int, some: list[tuple]) -> Iterator[pa.RecordBatch]:
+        hashes, words, counts, numbers, documents = zip(*some)
+        h, first, code = T.distinct(np.concatenate(hashes))
+        rows = len(h)
+        n = np.bincount(code, np.concatenate(counts), rows).astype(np.int64)
+        own = [pa.array(np.full(rows, chunk)), pa.concat_arrays(words).take(pa.array(first)), pa.array(np.arange(rows, dtype=np.int32)), pa.array(n)]
+        yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(rows, t) for t in _CHUNK_TYPES[4:])], names=_names(_CHUNKS))
+        at = 0
+        for own_h, local, docs in zip(hashes, numbers, documents):
+            one = [[chunk], [None], [None], [None], *([x] for x in docs), [_planes(code[at : at + len(own_h)].take(local))]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, _CHUNK_TYPES)], names=_names(_CHUNKS))
+            at += len(own_h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
+        chunk, some, size = TaskContext.get().partitionId() << 32, [], 0
         for c in T.chunks(batches, "text", CHUNK):
             w = T.words(c.data, c.offs, T.NONSPACE)
             held = c.rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
             h, first, local = T.distinct(w.hash)
-            n = np.bincount(local, ~held[w.row_of()], len(h)).astype(np.int64)
-            rows = len(h)
-            own = [pa.array(np.full(rows, chunk)), _gather(w.data, w.start[first], w.end[first]), pa.array(np.arange(rows, dtype=np.int32)), pa.array(n)]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(rows, t) for t in _CHUNK_TYPES[4:])], names=_names(_CHUNKS))
-            one = [[chunk], [None], [None], [None], [c.rows.column(0).to_pylist()], [held.tolist()], [np.diff(c.offs).tolist()], [w.counts().tolist()], [_planes(local)]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, _CHUNK_TYPES)], names=_names(_CHUNKS))
-            chunk += 1
+            n = np.bincount(local, ~held[w.row_of()], len(h))
+            if some and size + len(c.data) > SHARED:
+                yield from merged(chunk, some)
+                chunk, some, size = chunk + 1, [], 0
+            size += len(c.data)
+            some.append((h, _gather(w.data, w.start[first], w.end[first]), n, local.astype(np.int32), [c.rows.column(0).to_pylist(), held.tolist(), np.diff(c.offs).tolist(), w.counts().tolist()]))
+        if some:
+            yield from merged(chunk, some)
 
     return docs.mapInArrow(run, _CHUNKS)
 
@@ -452,7 +470,7 @@ _TEXT_TYPES = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()),
 
 
 def _assemble(tokens: int, distinct: int, ends: int):
-    """A chunk's token numbers met with its words' values; base scores are made here."""
+    """Chunks' token numbers met with their words' values, of which each chunk gets its own; base scores are made here."""
     base = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -464,8 +482,11 @@ def _assemble(tokens: int, distinct: int, ends: int):
             n = np.array(r["n_tokens"], np.int64)
             first = np.concatenate([[0], np.cumsum(n)])
             at = _numbers(r["tokens"], int(first[-1]))
-            values = pa.compress(b"".join(np.ascontiguousarray(got[x]).tobytes() for x in ("rank", "c", "spelled")), "zstd", asbytes=True)
-            row = [r["doc_ids"], r["held"], r["n_bytes"], n, T.segment_sum(known[at], first) + (ends > 0), T.segment_sum(based[at], first) + base(ends), r["tokens"], values, len(got)]
+            there = np.zeros(len(got), bool)
+            there[at] = True
+            own, renumbered = got[there], _planes((np.cumsum(there) - 1).take(at))
+            values = pa.compress(b"".join(np.ascontiguousarray(own[x]).tobytes() for x in ("rank", "c", "spelled")), "zstd", asbytes=True)
+            row = [r["doc_ids"], r["held"], r["n_bytes"], n, T.segment_sum(known.take(at), first) + (ends > 0), T.segment_sum(based.take(at), first) + base(ends), renumbered, values, len(own)]
             for o, x in zip(out, row):
                 o.append(x)
         return pa.table([pa.array(o, t) for o, t in zip(out, _TEXT_TYPES)], names=_names(_TEXTS))

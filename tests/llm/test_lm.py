@@ -246,3 +246,19 @@ def test_a_text_of_many_tokens_is_counted_whole(rng):
     met = np.concatenate([p.own[0].astype(int) + p.own[1] for p in parts])[root]
     before = np.arange(first[-1]) - np.repeat(first[:-1], size)
     assert (np.where(before < 1000, met, 0) == np.where(before < 1000, before, 0)).all() and met[before > 3000].min() >= len(lm.LOGS) - 1
+
+
+def test_chunks_share_their_words(spark, monkeypatch):
+    """A word of several chunks of a task is one row with their counts, and token numbers lead back to each text."""
+    monkeypatch.setattr(lm, "CHUNK", 60)
+    texts = [(i, " ".join(["Same", f"w{i % 7}", "same", f"x{i}"]), i % 5 == 1) for i in range(40)] + [(40, "", False)]
+    found = lm.chunked(spark.createDataFrame(texts, "doc_id long, text string, held_out boolean").coalesce(1)).collect()
+    words = {(r.chunk, r.local): r for r in found if r.word is not None}
+    parts = [r for r in found if r.word is None]
+    assert len(parts) > 1 and len({k[0] for k in words}) == 1 and len(words) == len({r.word for r in words.values()}) == 1 + 7 + 40
+    back = {}
+    for r in parts:
+        at = iter(lm._numbers(r.tokens, sum(r.n_tokens)).tolist())
+        back |= {i: " ".join(words[r.chunk, next(at)].word for _ in range(n)) for i, n in zip(r.doc_ids, r.n_tokens)}
+    assert back == {i: t.lower() for i, t, _ in texts}
+    assert {r.word: r.n_train for r in words.values()}["same"] == 2 * sum(not h for _, t, h in texts if t)
