@@ -60,6 +60,9 @@ from tactus.llm.storage import discard, staged
 CHUNK = 8 << 20
 #: Bytes of text whose chunks share one list of distinct words.
 SHARED = 32 << 20
+#: Bytes of text whose words are found at a time, and distinct words in a row batch; neither decides a result.
+PIECE = 2 << 20
+ROWS = 1 << 15
 #: Tokens whose decisions are held at a time.
 PART = 16_000
 #: The same when texts are scored, which decides no result.
@@ -301,18 +304,26 @@ class Model:
     map: np.ndarray
 
     def __post_init__(self) -> None:
-        self.odds = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR)).astype(np.float32)
-        hashed = self.odds[BASE[2] :].view(np.uint32)  # their last two bits tell how often a context was seen
-        hashed &= ~np.uint32(3)
-        hashed |= _sure(self.counts[BASE[2] :, 0] + self.counts[BASE[2] :, 1])
+        self._weigh(self.counts[a : a + (1 << 18)] for a in range(0, len(self.counts), 1 << 18))
+
+    def _weigh(self, parts: Iterator[np.ndarray]) -> None:
+        """Log-odds of the counts, which come in parts."""
+        self.odds, at = np.empty(BASE[-1], np.float32), 0
+        for n in parts:
+            odds = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)).astype(np.float32)
+            rest = max(0, int(BASE[2]) - at)
+            hashed = odds[rest:].view(np.uint32)  # their last two bits tell how often a context was seen
+            hashed &= ~np.uint32(3)
+            hashed |= _sure(n[rest:, 0] + n[rest:, 1])
+            self.odds[at : at + len(n)] = odds
+            at += len(n)
 
     def __getstate__(self) -> tuple:
         return S._squeeze(self.counts), self.weights, self.map
 
     def __setstate__(self, state: tuple) -> None:
-        self.counts, self.weights, self.map = S._widen(state[0]), *state[1:]
-        self.__post_init__()
-        del self.counts
+        self.weights, self.map = state[1:]
+        self._weigh(S._widened(state[0]))
 
     def bits(self, p: Part) -> np.ndarray:
         """Cost of each decision in bits."""
@@ -387,41 +398,69 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _distinct_words(c: T.Chunk, counted: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and strings of a chunk's distinct words in order of appearance, how often they are in the rows
+    ``counted`` (boolean), each token's number, and the tokens of each row.  Words are found in PIECE bytes of
+    text at a time (one row at least), which bounds memory and decides no result."""
+    hashes, words, local, n_tokens = np.zeros(0, np.uint64), [], [], []
+    counts = np.zeros(0, np.int64)
+    a = 0
+    while a < len(c.offs) - 1:
+        b = max(a + 1, int(np.searchsorted(c.offs, c.offs[a] + PIECE, "right")) - 1)
+        w = T.words(c.data[c.offs[a] : c.offs[b] + 16], c.offs[a : b + 1] - c.offs[a], T.NONSPACE)
+        h, first, code = T.distinct(w.hash)
+        known = len(hashes)
+        hashes, place, number = T.distinct(np.concatenate([hashes, h]))
+        new = first[place[known:] - known]
+        words.append(_gather(w.data, w.start[new], w.end[new]))
+        number = number[known:].astype(np.int32)
+        counts = np.concatenate([counts, np.zeros(len(hashes) - known, np.int64)])
+        counts[number] += np.bincount(code, counted[a:b][w.row_of()], len(h)).astype(np.int64)
+        local.append(number.take(code))
+        n_tokens.append(w.counts())
+        a = b
+    return hashes, pa.concat_arrays(words), counts, np.concatenate(local), np.concatenate(n_tokens)
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """(doc_id, text, held_out) as chunks: a row for each distinct word of some chunks, and one with the token
     numbers of each.  What is numbered together has one number ``chunk``."""
 
-    def merged(chunk: int, some: list[tuple]) -> Iterator[pa.RecordBatch]:
-        hashes, words, counts, numbers, documents = zip(*some)
-        h, first, code = T.distinct(np.concatenate(hashes))
-        rows = len(h)
-        n = np.bincount(code, np.concatenate(counts), rows).astype(np.int64)
-        own = [pa.array(np.full(rows, chunk)), pa.concat_arrays(words).take(pa.array(first)), pa.array(np.arange(rows, dtype=np.int32)), pa.array(n)]
-        yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(rows, t) for t in _CHUNK_TYPES[4:])], names=_names(_CHUNKS))
+    def merged(chunk: int, values: np.ndarray, words: list[pa.Array], n: np.ndarray, texts: list[list]) -> Iterator[pa.RecordBatch]:
         at = 0
-        for own_h, local, docs in zip(hashes, numbers, documents):
-            one = [[chunk], [None], [None], [None], *([x] for x in docs), [_planes(code[at : at + len(own_h)].take(local))]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, _CHUNK_TYPES)], names=_names(_CHUNKS))
-            at += len(own_h)
+        for some in words:
+            for a in range(0, len(some), ROWS):
+                own, rows = some.slice(a, ROWS), min(ROWS, len(some) - a)
+                here = [pa.array(np.full(rows, chunk)), own, pa.array(np.arange(at, at + rows, dtype=np.int32)), pa.array(n[at : at + rows])]
+                yield pa.RecordBatch.from_arrays([*here, *(pa.nulls(rows, t) for t in _CHUNK_TYPES[4:])], names=_names(_CHUNKS))
+                at += rows
+        for one in texts:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([chunk, None, None, None, *one], _CHUNK_TYPES)], names=_names(_CHUNKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk, some, size = TaskContext.get().partitionId() << 32, [], 0
+        blank = lambda: (np.zeros(0, np.uint64), [], np.zeros(0, np.int64), [])
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        values, words, n, texts = blank()
         for c in T.chunks(batches, "text", CHUNK):
-            w = T.words(c.data, c.offs, T.NONSPACE)
-            held = c.rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            h, first, local = T.distinct(w.hash)
-            n = np.bincount(local, ~held[w.row_of()], len(h))
-            if some and size + len(c.data) > SHARED:
-                yield from merged(chunk, some)
-                chunk, some, size = chunk + 1, [], 0
+            if texts and size + len(c.data) > SHARED:
+                yield from merged(chunk, values, words, n, texts)
+                chunk, size = chunk + 1, 0
+                values, words, n, texts = blank()
             size += len(c.data)
-            some.append((h, _gather(w.data, w.start[first], w.end[first]), n, local.astype(np.int32), [c.rows.column(0).to_pylist(), held.tolist(), np.diff(c.offs).tolist(), w.counts().tolist()]))
-        if some:
-            yield from merged(chunk, some)
+            held = c.rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            h, own, counts, local, n_tokens = _distinct_words(c, ~held)
+            values, first, code = T.distinct(np.concatenate([values, h]))
+            known, code = len(n), code[len(n) :]
+            words.append(own.take(pa.array(first[known:] - known)))
+            n = np.concatenate([n, np.zeros(len(values) - known, np.int64)])
+            n[code] += counts
+            texts.append([c.rows.column(0).to_pylist(), held.tolist(), np.diff(c.offs).tolist(), n_tokens.tolist(), _planes(code.astype(np.int32).take(local))])
+        if texts:
+            yield from merged(chunk, values, words, n, texts)
 
-    return docs.mapInArrow(run, _CHUNKS)
+    return docs.mapInArrow(T.tidy(run), _CHUNKS)
 
 
 _VALUE = np.dtype([("local", "<i4"), ("rank", "<i4"), ("c", "<i8"), ("spelled", "<f4")])
@@ -556,7 +595,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     docs_of = chunks.where("word is null").select("chunk", "doc_ids", "held", "n_bytes", "n_tokens", "tokens")
     of_word = Window.partitionBy("word")
     counted = chunks.where("word is not null").select("word", "chunk", "local", F.sum("n_train").over(of_word).alias("c"), (F.min("chunk").over(of_word) == F.col("chunk")).alias("first"))
-    counted = staged(counted, "lm-words")
+    # not more files than those of the chunks: each costs its executor processes forked for its mode (see storage)
+    counted = staged(counted.coalesce(max(spark.sparkContext.defaultParallelism, len(chunks.inputFiles()))), "lm-words")
     known = counted.where("first and c > 0")
     top = known.select("word", "c").orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     ranks = F.broadcast(spark.createDataFrame([(r.word, k) for k, r in enumerate(top)], "top string, rank int"))
@@ -588,7 +628,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     ranked = counted.join(ranks, often, "left").drop("top").withColumn("pair", pair).join(group_ids, "pair", "left")
     both = F.shiftleft(F.coalesce("rank", F.lit(FREQUENT) + group).cast("long"), 32) + F.col("local")
     ranked = ranked.select("chunk", both.alias("both"), "c", F.when(F.col("c") == 0, F.col("word")).alias("word"))
-    values = ranked.mapInArrow(_bundle(speller), "of_chunk long, packed binary")
+    values = ranked.mapInArrow(T.tidy(_bundle(speller)), "of_chunk long, packed binary")
     texts = staged(docs_of.groupBy("chunk").cogroup(values.groupBy("of_chunk")).applyInArrow(_assemble(tokens, distinct, ends), _TEXTS), "lm-texts")
     speller.destroy()
     discard(chunks)
@@ -601,7 +641,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             yield from S.vector_rows(learner.vector())
 
     tasks = max(spark.sparkContext.defaultParallelism, texts.count() // CHUNKS_A_TASK)
-    found = staged(texts.coalesce(tasks).mapInArrow(learn, S.FOUND), "lm-learned")
+    found = staged(texts.coalesce(tasks).mapInArrow(T.tidy(learn), S.FOUND), "lm-learned")
     counts = S.summed(found, int(BASE[-1]))
     weights, map_ = S.learned(found, GATES, INPUTS, GUIDES + 1)
     shared = spark.sparkContext.broadcast(Model(counts, weights, map_))
@@ -618,4 +658,4 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=_names(RESULT))
 
-    return texts.mapInArrow(run, RESULT)
+    return texts.mapInArrow(T.tidy(run), RESULT)

@@ -232,10 +232,20 @@ def _squeeze(counts: np.ndarray) -> bytes:
     return counts.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _widen(raw: bytes) -> np.ndarray:
+def _widened(raw: bytes, most: int = 1 << 18) -> Iterator[np.ndarray]:
+    """What ``_squeeze`` was given, ``most`` slots at a time."""
     n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").astype(np.float32).reshape(-1, 2)
+    planes = np.frombuffer(pa.decompress(memoryview(raw)[8:], 4 * n, "zstd"), np.uint8, 4 * n).reshape(4, n)
+    for a in range(0, n, 2 * most):
+        yield np.ascontiguousarray(planes[:, a : a + 2 * most].T).view("<u4").astype(np.float32).reshape(-1, 2)
+
+
+def _widen(raw: bytes) -> np.ndarray:
+    counts, at = np.empty((int.from_bytes(raw[:8], "little") // 2, 2), np.float32), 0
+    for some in _widened(raw):
+        counts[at : at + len(some)] = some
+        at += len(some)
+    return counts
 
 
 def mix(x: np.ndarray, weights: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -333,5 +343,5 @@ def fit(words: DataFrame, n: int) -> Model:
             yield from table_rows(counts)
             yield from vector_rows(learner.vector())
 
-    found = staged(words.mapInArrow(run, FOUND), "spelling")
+    found = staged(words.mapInArrow(T.tidy(run), FOUND), "spelling")
     return Model(summed(found, int(bases(bits)[-1])), bits, *learned(found, GATES, len(ORDERS) + 1, 256))

@@ -7,7 +7,8 @@ Null texts are empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,3 +171,22 @@ def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def take_columns(rows: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
     return [rows.column(rows.schema.get_field_index(c)) for c in names]
+
+
+def give_back() -> None:
+    """Unused memory goes back to the system: a worker lives on with other tasks and stages, and its allocators
+    else keep what one of them needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a task's function for mapInArrow, with its memory given back at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied

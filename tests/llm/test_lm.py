@@ -262,3 +262,75 @@ def test_chunks_share_their_words(spark, monkeypatch):
         back |= {i: " ".join(words[r.chunk, next(at)].word for _ in range(n)) for i, n in zip(r.doc_ids, r.n_tokens)}
     assert back == {i: t.lower() for i, t, _ in texts}
     assert {r.word: r.n_train for r in words.values()}["same"] == 2 * sum(not h for _, t, h in texts if t)
+
+
+def test_chunking_holds_little(monkeypatch):
+    """Words of some 14 MB are found a piece at a time and leave in small batches: the same words, counts and numbers
+    as by plain counting, without the memory of the whole at once."""
+    import tracemalloc
+
+    import pyspark
+
+    class Docs:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"Word{x}" for x in rng.integers(0, 150_000, 2500)) for _ in range(600)] + ["", "a " * 700_000]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array([i % 5 == 1 for i in range(len(texts))])], names=["doc_id", "text", "held_out"])
+    tracemalloc.start()
+    found, most = [], 0
+    for b in lm.chunked(Docs())(iter([rows])):
+        found.append(b)
+        most = max(most, b.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 1 << 15 and peak < 130e6
+    names, got, at = {}, {}, {}
+    for b in found:
+        for r in b.select(["word", "local", "n_train"]).to_pylist() if b.column("word").null_count == 0 else []:
+            names[r["local"]], got[r["word"]] = r["word"], r["n_train"]
+        for r in b.to_pylist() if b.column("word").null_count else []:
+            number = iter(lm._numbers(r["tokens"], sum(r["n_tokens"])).tolist())
+            at |= {i: " ".join(names[next(number)] for _ in range(n)) for i, n in zip(r["doc_ids"], r["n_tokens"])}
+    want = {}
+    for i, t in enumerate(texts):
+        for w in t.lower().split():
+            want[w] = want.get(w, 0) + (i % 5 != 1)
+    assert got == want and at == {i: " ".join(t.lower().split()) for i, t in enumerate(texts)}
+
+
+def test_words_are_in_no_more_files_than_chunks(spark, monkeypatch):
+    """However many partitions the shuffle of words has."""
+    files, real = {}, lm.staged
+
+    def staged(df, name):
+        made = real(df, name)
+        files[name] = len(made.inputFiles())
+        return made
+
+    monkeypatch.setattr(lm, "staged", staged)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 101}" for k in range(60))) for i in range(40)], "doc_id long, text string").coalesce(1)
+        assert lm.score(docs, F.col("doc_id") % 5 == 1).count() == 40
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert files["lm-words"] <= max(spark.sparkContext.defaultParallelism, files["lm-chunks"])
+
+
+def test_tables_widen_by_parts():
+    counts = np.random.default_rng(9).poisson(0.5, (1000, 2)).astype(np.float32)
+    counts[7] = 1 << 23, 300
+    raw = S._squeeze(counts)
+    parts = list(S._widened(raw, 64))
+    assert max(map(len, parts)) <= 64 and (np.concatenate(parts) == counts).all() and (S._widen(raw) == counts).all()
+    assert S._widen(S._squeeze(counts[:0])).shape == (0, 2)
